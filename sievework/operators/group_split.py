@@ -1,0 +1,177 @@
+"""Train, validation and test splits that never divide a group."""
+
+from __future__ import annotations
+
+import heapq
+import json
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievework.operators.hash_rank import hash_rank
+from sievework.session import stage
+
+OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+def trimmed_lower(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, OUTER, ""))
+
+
+def split_name(c: Column) -> Column:
+    """The split meant, however spelled: outer blanks and case mean nothing, dev and validation are val."""
+    s = trimmed_lower(c)
+    return F.when(s.isin("dev", "validation"), "val").otherwise(s)
+
+
+class Flow:
+    """Successive shortest paths with potentials over a small graph."""
+
+    def __init__(self) -> None:
+        self.arcs: list[list[float]] = []
+        self.out: dict[object, list[int]] = defaultdict(list)
+
+    def arc(self, a: object, b: object, capacity: float, cost: float) -> int:
+        self.out[a].append(len(self.arcs))
+        self.arcs.append([b, capacity, cost])
+        self.out[b].append(len(self.arcs))
+        self.arcs.append([a, 0.0, -cost])
+        return len(self.arcs) - 2
+
+    def run(self, source: object, sink: object) -> None:
+        height: dict[object, float] = defaultdict(float)
+        while True:
+            dist, via, heap, tick = {source: 0.0}, {}, [(0.0, 0, source)], 0
+            while heap:
+                d, _, a = heapq.heappop(heap)
+                if d > dist[a] + 1e-12:
+                    continue
+                for e in self.out[a]:
+                    b, left, cost = self.arcs[e]
+                    if left > 1e-9 and (x := d + cost + height[a] - height[b]) < dist.get(b, 1e300) - 1e-12:
+                        dist[b], via[b] = x, e
+                        tick += 1
+                        heapq.heappush(heap, (x, tick, b))
+            if sink not in dist:
+                return
+            far = max(dist.values())
+            for a in self.out:
+                height[a] += dist.get(a, far)
+            path, a = [], sink
+            while a != source:
+                path.append(via[a])
+                a = self.arcs[via[a] ^ 1][0]
+            push = min(self.arcs[e][1] for e in path)
+            for e in path:
+                self.arcs[e][1] -= push
+                self.arcs[e ^ 1][1] += push
+
+
+def allocate(bundles: list[tuple[str, int, int]], targets: dict[str, float], heavy: float = 0.01) -> dict[str, dict[str, int]]:
+    """How many groups of each bundle go to each split. bundles: (profile, rows of a group, number of groups), the profile
+    being a JSON list of [label, rows].
+
+    A group with more than `heavy` of all rows is placed first, where the most room is left. The rest is a min-cost flow of
+    rows from bundles over (label, split) to splits: rows within a label's quota of a split and within the split's quota are
+    free, others cost their deviation, the split's own more than the label's. Flows become whole numbers of groups by largest
+    remainders, in favour of the splits that are then the furthest below their quota.
+    """
+    names = list(targets)
+    weight = sum(targets.values())
+    share = {k: w / weight for k, w in targets.items()}
+    total = sum(size * n for _, size, n in bundles)
+    parts = {p: json.loads(p) for p, _, _ in bundles}
+    by_label: dict[str, float] = defaultdict(float)
+    for p, _, n in bundles:
+        for label, rows in parts[p]:
+            by_label[label] += rows * n
+    room = {k: total * share[k] for k in names}
+    room_label = {(label, k): rows * share[k] for label, rows in by_label.items() for k in names}
+    out: dict[str, dict[str, int]] = {p: dict.fromkeys(names, 0) for p, _, _ in bundles}
+
+    def place(p: str, size: int, k: str, groups: int) -> None:
+        out[p][k] += groups
+        room[k] -= size * groups
+        for label, rows in parts[p]:
+            room_label[label, k] -= rows * groups
+
+    light = []
+    for p, size, n in sorted(bundles, key=lambda b: (-b[1], b[0])):
+        if size > heavy * total:
+            for _ in range(n):
+                place(p, size, max(names, key=lambda k: room[k]), 1)
+        else:
+            light.append((p, size, n))
+    flow = Flow()
+    of: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for p, size, n in light:
+        flow.arc("source", ("b", p), size * n, 0)
+        for k in names:
+            for label, rows in parts[p]:
+                of[p, k].append(flow.arc(("b", p), ("l", label, k), rows * n, 0))
+    for (label, k), rows in room_label.items():
+        flow.arc(("l", label, k), ("s", k), max(0.0, rows), 0)
+        flow.arc(("l", label, k), ("s", k), float(total), 1)
+    for k in names:
+        flow.arc(("s", k), "sink", max(0.0, room[k]), 0)
+        flow.arc(("s", k), "sink", float(total), 4)
+    flow.run("source", "sink")
+    rests = []
+    for p, size, n in light:
+        want = {k: sum(flow.arcs[e ^ 1][1] for e in of[p, k]) / size for k in names}
+        for k in names:
+            place(p, size, k, int(want[k] + 1e-9))
+        rests.append((size, p, want, n - sum(out[p].values())))
+    for size, p, want, left in sorted(rests, key=lambda r: (-r[0], r[1])):
+        for _ in range(left):
+            place(p, size, max(names, key=lambda k: (min(1.0, want[k] - out[p][k]) * size + room[k], k)), 1)
+    return out
+
+
+def group_table(df: DataFrame, group: str, split: str, label: str) -> DataFrame:
+    """(group_id, n_rows, profile, splits): group_id trimmed and in lower case; rows of a null group or split are left out."""
+    rows = df.select(trimmed_lower(F.col(group)).alias("group_id"), split_name(F.col(split)).alias("split"), F.coalesce(F.col(label), F.lit("")).alias("label"))
+    rows = rows.where("group_id IS NOT NULL AND split IS NOT NULL")
+    cells = rows.groupBy("group_id", "label", "split").agg(F.count(F.lit(1)).alias("n"))
+    labels = cells.groupBy("group_id", "label").agg(F.sum("n").alias("n"), F.collect_set("split").alias("splits"))
+    return labels.groupBy("group_id").agg(
+        F.sum("n").alias("n_rows"),
+        F.to_json(F.array_sort(F.collect_list(F.array(F.col("label"), F.col("n").cast("string"))))).alias("profile"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("splits")))).alias("splits"),
+    )
+
+
+def split_groups(df: DataFrame, targets: DataFrame, group: str = "group_id", split: str = "split", label: str = "config", seed: int = 0, max_bundles: int = 4000) -> DataFrame:
+    """(group_id, n_rows, splits, divided, new_split): every group once, the splits it is in now, whether that is more than one
+    of the targets' splits, and its new one.
+
+    targets has (split, target_share); shares are taken relative to their sum. The driver sees bundles only: groups of one
+    size and label profile counted together, at most max_bundles of them; beyond that, profiles are reduced to their size
+    and largest label. Empty groups don't exist; an empty table gives no rows; without targets it is an error.
+    """
+    shares = {r["split"]: float(r["target_share"]) for r in targets.select("split", "target_share").orderBy("split").limit(1000).collect() if r["target_share"]}
+    if not shares:
+        raise ValueError("targets is empty")
+    groups = stage(group_table(df, group, split, label), "groups")
+    bundles = groups.groupBy("profile", "n_rows").agg(F.count(F.lit(1)).alias("n"))
+    if bundles.limit(max_bundles + 1).count() > max_bundles:
+        top = F.element_at(F.array_sort(F.from_json("profile", "array<array<string>>"), lambda a, b: F.element_at(b, 2).cast("int") - F.element_at(a, 2).cast("int")), 1)
+        size = F.when(F.col("n_rows") < 64, F.col("n_rows")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n_rows") * 8) / 8).cast("long"))
+        groups = groups.withColumn("profile", F.to_json(F.array(F.array(F.element_at(top, 1), size.cast("string")))))
+        bundles = groups.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.avg("n_rows").alias("n_rows"))
+    listed = [(r["profile"], max(1, round(r["n_rows"])), r["n"]) for r in bundles.collect()]
+    plan = {}
+    whole = {p: json.dumps([[a, int(b)] for a, b in json.loads(p)]) for p, _, _ in listed}
+    back = {v: k for k, v in whole.items()}
+    for p, counts in allocate([(whole[p], s, n) for p, s, n in listed], shares).items():
+        plan[back[p]] = counts
+    names = list(shares)
+    cuts = [(p, k, sum(c[x] for x in names[: i + 1])) for p, c in plan.items() for i, k in enumerate(names)]
+    spark = df.sparkSession
+    cut = spark.createDataFrame(cuts or [("", "", 0)], "profile string, new_split string, upto long")
+    cut = cut.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("upto", "new_split"))).alias("cuts"))
+    ranked = hash_rank(groups, "profile", "group_id", seed=seed).join(F.broadcast(cut), "profile")
+    new = F.element_at(F.filter("cuts", lambda c: c["upto"] >= F.col("rank")), 1)["new_split"]
+    inside = F.size(F.array_intersect("splits", F.array(*map(F.lit, names))))
+    return ranked.select("group_id", "n_rows", "splits", (inside > 1).alias("divided"), new.alias("new_split"))

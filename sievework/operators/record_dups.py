@@ -1,0 +1,173 @@
+"""Records that differ only in layout: white space, case, punctuation, order of fields or options.
+
+Texts stream through a skip-and-fold table into rolling polynomial hashes; members of a JSON state and options are summed,
+so their order doesn't matter. Rows whose hashes collide are compared member by member over the folded symbols.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.functions import textkernel as tk
+from sievework.session import stage
+
+STATE, MEMBER, QUESTION, CHOICE, NULL = range(5)
+
+
+def _member(value: object) -> str:
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def _pieces(batch: pa.RecordBatch, suffix: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, row, kind, mate) of everything a batch's records consist of. A member of a JSON state is two texts, its key
+    and its value: mate is the place of the value's text for the key, -1 for texts that stand alone, -2 for values."""
+    texts: list[str] = []
+    row: list[int] = []
+    kind: list[int] = []
+    mate: list[int] = []
+
+    def put(i: int, k: int, text: str, m: int = -1) -> None:
+        texts.append(text)
+        row.append(i)
+        kind.append(k)
+        mate.append(m)
+
+    for i, state in enumerate(batch.column("state" + suffix).to_pylist()):
+        if state is not None and state.lstrip()[:1] == "{":
+            try:
+                members = json.loads(state)
+            except (ValueError, RecursionError):
+                members = None
+            if isinstance(members, dict):
+                for k, v in members.items():
+                    put(i, MEMBER, k, len(texts) + 1)
+                    put(i, MEMBER, _member(v), -2)
+                continue
+        put(i, NULL if state is None else STATE, state or "")
+    for i, q in enumerate(batch.column("question" + suffix).to_pylist()):
+        put(i, NULL if q is None else QUESTION, q or "")
+    for i, choices in enumerate(batch.column("choices" + suffix).to_pylist()):
+        if choices is None:
+            put(i, NULL, "")
+        for c in choices or ():
+            put(i, NULL if c is None else CHOICE, c or "")
+    return pa.array(texts, pa.large_string()), np.array(row), np.array(kind), np.array(mate)
+
+
+def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    cps, offs = tk.codepoints(texts)
+    codes = tk.fold()[cps]
+    keep = codes > 0
+    before = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(keep, out=before[1:])
+    return codes[keep], before[offs]
+
+
+def _hashes(codes: np.ndarray, offs: np.ndarray, kind: np.ndarray, mate: np.ndarray) -> np.ndarray:
+    """One hash a text that stands alone or pair of key and value; that of a value alone is 0."""
+    with np.errstate(over="ignore"):
+        h = tk.Rolling(codes, 7).of(offs[:-1], offs[1:])
+        keys = np.flatnonzero(mate >= 0)
+        h[keys] = tk.mix(h[keys] * np.uint64(3) + h[mate[keys]])
+        h = tk.mix(h + kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h[mate == -2] = 0
+    return h
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in tk.slices(whole, "state"):
+            texts, row, kind, mate = _pieces(batch)
+            h = _hashes(*_folded(texts), kind, mate)
+            key = np.zeros(batch.num_rows, np.uint64)
+            with np.errstate(over="ignore"):
+                np.add.at(key, row, h)
+            yield pa.record_batch([batch.column("id"), pa.array(tk.mix(key).view(np.int64))], ["id", "key"])
+
+
+def _equal(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether the two records of each row are the same: both walk over their members in the same order of hashes, and the
+    symbols of each, skipping what folding skips, are compared one by one."""
+    sides = []
+    for suffix in ("_a", "_b"):
+        texts, row, kind, mate = _pieces(batch, suffix)
+        codes, offs = _folded(texts)
+        h = _hashes(codes, offs, kind, mate)
+        own = np.flatnonzero(mate != -2)
+        own = own[np.lexsort((h[own], kind[own], row[own]))]
+        order = np.stack([own, np.where(mate[own] >= 0, mate[own], -1)], 1).ravel()
+        order = order[order >= 0]
+        sides.append((codes, offs, row[order], kind[order], order))
+    (ca, oa, ra, ka, pa_), (cb, ob, rb, kb, pb) = sides
+    n = batch.num_rows
+    same = np.bincount(ra, minlength=n) == np.bincount(rb, minlength=n)
+    ma, mb = same[ra], same[rb]
+    pa_, pb, rows = pa_[ma], pb[mb], ra[ma]
+    la, lb = oa[pa_ + 1] - oa[pa_], ob[pb + 1] - ob[pb]
+    even = (la == lb) & (ka[ma] == kb[mb])
+    same[rows[~even]] = False
+    pa_, pb, rows, la = pa_[even], pb[even], rows[even], la[even]
+    differs = ca[tk.gather(oa[pa_], la)] != cb[tk.gather(ob[pb], la)]
+    same[np.repeat(rows, la)[differs]] = False
+    return same
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in tk.slices(whole, "state_b"):
+            yield pa.record_batch([batch.column("rep"), batch.column("id_b"), pa.array(_equal(batch))], ["rep", "id", "same"])
+
+
+def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The canonical form itself, only for rows whose hash collided with that of another record."""
+    for batch in batches:
+        texts, row, kind, mate = _pieces(batch)
+        codes, offs = _folded(texts)
+        forms: list[list[str]] = [[] for _ in range(batch.num_rows)]
+        text = ["".join(map(chr, codes[a:b])) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        for i, (r, k, m) in enumerate(zip(row, kind, mate, strict=True)):
+            if m != -2:
+                forms[r].append(f"{k}\x1f{text[i]}" + (f"\x1e{text[m]}" if m >= 0 else ""))
+        yield pa.record_batch([batch.column("id"), pa.array(["\x1d".join(sorted(f)) for f in forms])], ["id", "form"])
+
+
+def layout_duplicates(df: DataFrame, id_col: str, state: str = "state", question: str = "question", choices: str = "choices") -> DataFrame:
+    """(rep, id): each record with several rows, its smallest id paired with each of the others.
+
+    Same record: question and options (in any order) agree after folding, and the states agree after folding, or, where both
+    parse as JSON objects, their members do in any order (a value that isn't text counts as its JSON text).
+    Null and blank states are left out; a null question, list or option equals only another null; ids are expected to be unique
+    and not null. Lower case is taken letter by letter. An empty table gives no rows; other columns are ignored.
+
+    Plan: one pass to (id, 64-bit key), a partially aggregated count per key, then one shuffle of the texts of rows in question
+    and one join with their representatives. A key that holds a third of all rows is pre-aggregated before its shuffle, and
+    the join to its one representative is split by adaptive skew handling.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(state).alias("state"), F.col(question).alias("question"), F.col(choices).alias("choices"))
+    rows = rows.where(F.col("state").isNotNull() & F.col("state").rlike(r"[^\p{Z}\s\x85\x1c-\x1f]"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    keys = stage(rows.mapInArrow(_keys, f"id {id_type}, key bigint"), "record-keys")
+    groups = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    wanted = keys.join(groups, "key").select("id", "rep")
+    texts = rows.join(wanted, "id")
+    reps = texts.where("id = rep").select("rep", *[F.col(c).alias(f"{c}_a") for c in ("state", "question", "choices")])
+    rest = texts.where("id <> rep").select("rep", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in ("state", "question", "choices")])
+    checked = stage(rest.join(reps, "rep").mapInArrow(_verify, f"rep {id_type}, id {id_type}, same boolean"), "record-pairs")
+    odd = stage(rows.join(checked.where("not same").select("id"), "id", "left_semi").mapInArrow(_canonical, f"id {id_type}, form string"), "record-odd")
+    first = odd.groupBy("form").agg(F.min("id").alias("rep"))
+    odd = odd.join(first, "form").where("id <> rep").select("rep", "id")
+    return checked.where("same").select("rep", "id").unionByName(odd)
+
+
+def record_counts(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
+    """(rep, copies): each record once, by its smallest id, with the number of its rows (1 for a single one)."""
+    state = columns.get("state", "state")
+    base = df.where(F.col(state).isNotNull() & F.col(state).rlike(r"[^\p{Z}\s\x85\x1c-\x1f]")).select(F.col(id_col).alias("id"))
+    pairs = layout_duplicates(df, id_col, **columns)
+    return base.join(pairs, "id", "left").groupBy(F.coalesce("rep", "id").alias("rep")).agg(F.count(F.lit(1)).alias("copies"))

@@ -1,0 +1,140 @@
+"""Records of evaluation splits that stand, exactly or nearly, in the training split too."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievework.functions import textkernel as tk
+from sievework.operators.group_split import split_name
+from sievework.operators.word_rarity import BUCKETS, word_rarity
+from sievework.session import stage
+
+NOT_BLANK = r"[^\p{Z}\s\x85\x1c-\x1f]"
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    """So many rarest words of a set of n words are enough: a set at least `threshold` similar shares one of them."""
+    return np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _signatures(rarity: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tk.slices(whole, "state"):
+                n_rows = batch.num_rows
+                cps, offs = tk.codepoints(batch.column("state"))
+                start, end, text = tk.words(cps, offs)
+                h = tk.word_hashes(cps, start, end)
+                common = rarity[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((h, common, text))
+                h, text = h[order], text[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                h, text = h[new], text[new]
+                n = np.bincount(text, minlength=n_rows)
+                first = np.cumsum(n) - n
+                rank = np.arange(len(h)) - first[text]
+                q_cps, q_offs = tk.codepoints(batch.column("question"))
+                codes = tk.fold()[q_cps]
+                before = np.zeros(len(q_cps) + 1, np.int64)
+                np.cumsum(codes > 0, out=before[1:])
+                q = tk.Rolling(codes[codes > 0], 5).of(before[q_offs[:-1]], before[q_offs[1:]])
+                with np.errstate(over="ignore"):
+                    sums = [tk.by_text(tk.mix(h + np.uint64(s)), text, n_rows) for s in (11, 12)]
+                    keys = tk.mix(h + q[text])
+                kept = rank < prefix_length(n, threshold)[text]
+                lengths = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=n_rows))])
+                prefix = pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(keys[kept].view(np.int64)))
+                yield pa.record_batch(
+                    [batch.column("id"), batch.column("train"), *(pa.array(x.view(np.int64)) for x in (q, *sums)), pa.array(n.astype(np.int32)), prefix],
+                    ["id", "train", "q", "set_a", "set_b", "n", "prefix"],
+                )
+
+    return run
+
+
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One automaton over the passages (words) of a shard of evaluation records scans the training texts routed to it;
+    what it finds in each text is merged into the coverage of each evaluation record."""
+    for whole in batches:
+        for batch in tk.slices(whole, "state_e", 1 << 21):
+            ids_e, ids_t = batch.column("id_e").to_pylist(), batch.column("id_t").to_pylist()
+            shard = {i: tk.word_list(s) for i, s in dict(zip(ids_e, batch.column("state_e").to_pylist(), strict=True)).items()}
+            automaton = ahocorasick.Automaton()
+            for i, own in shard.items():
+                for w in own:
+                    automaton.add_word(f" {w} ", w)
+            automaton.make_automaton()
+            hits, sizes = {}, {}
+            for i, s in dict(zip(ids_t, batch.column("state_t").to_pylist(), strict=True)).items():
+                own = tk.word_list(s)
+                hits[i] = {w for _, w in automaton.iter(" " + "  ".join(own) + " ")}
+                sizes[i] = len(set(own))
+            sets = {i: set(own) for i, own in shard.items()}
+            jaccard, coverage = [], []
+            for e, t in zip(ids_e, ids_t, strict=True):
+                both = len(sets[e] & hits[t])
+                jaccard.append(both / max(1, len(sets[e]) + sizes[t] - both))
+                coverage.append(sum(w in hits[t] for w in shard[e]) / max(1, len(shard[e])))
+            yield pa.record_batch([batch.column("id_e"), batch.column("id_t"), pa.array(jaccard), pa.array(coverage)], ["id_e", "id_t", "jaccard", "coverage"])
+
+
+def enough(na: Column, nb: Column, threshold: float) -> Column:
+    """The least number of common words of two sets of these sizes that are `threshold` similar."""
+    return F.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+
+
+def split_overlap(df: DataFrame, id_col: str, state: str = "state", question: str = "question", split: str = "split", threshold: float = 0.8) -> DataFrame:
+    """(id_e, id_t, jaccard, coverage): each pair of a val or test row and a train row whose questions agree after folding and
+    whose states' sets of distinct words have a Jaccard similarity of at least `threshold`; coverage is the share of the
+    evaluation state's words found in the training state.
+
+    Rows with a null or blank state or a null split, and states without any word, are left out; a null question counts as
+    an empty one. Rows of one question and word set form a class; classes are compared, and all pairs of rows of matching
+    classes come out. An empty table gives no rows.
+
+    Plan: a pass for the fixed-size rarity table, a pass for signatures (ids, hashes and the rarest words each set needs), an
+    equi-join of those words with length and position bounds, one shuffle of the texts in question, and the automaton's scan.
+    """
+    s = split_name(F.col(split))
+    rows = df.select(F.col(id_col).alias("id"), F.col(state).alias("state"), F.col(question).alias("question"), (s == "train").alias("train"))
+    rows = rows.where(s.isin("train", "val", "test") & F.col("state").isNotNull() & F.col("state").rlike(NOT_BLANK))
+    kind = rows.schema["id"].dataType.simpleString()
+    rarity = word_rarity(rows.select(F.col("state").alias("text")))
+    signed = rows.mapInArrow(_signatures(rarity, threshold), f"id {kind}, train boolean, q bigint, set_a bigint, set_b bigint, n int, prefix array<bigint>")
+    signed = stage(signed.where("n > 0"), "signatures")
+    key = ["q", "set_a", "set_b"]
+    classes = signed.groupBy(*key).agg(F.min("id").alias("c"), F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e"), F.min("n").alias("n"), F.min_by("prefix", "id").alias("prefix"))
+    words = classes.select("c", "t", "e", "n", F.posexplode("prefix").alias("at", "key"))
+    left = words.where("e").select("key", F.col("c").alias("ce"), F.col("n").alias("ne"), F.col("at").alias("ae"))
+    right = words.where("t").select("key", F.col("c").alias("ct"), F.col("n").alias("nt"), F.col("at").alias("at"))
+    least = enough(F.col("ne"), F.col("nt"), threshold)
+    bounds = (F.col("ce") != F.col("ct")) & (F.col("ne") - F.col("ae") >= least) & (F.col("nt") - F.col("at") >= least)
+    near = stage(left.join(right, "key").where(bounds).select("ce", "ct").distinct(), "near")
+    wanted = near.select(F.col("ce").alias("id")).union(near.select(F.col("ct").alias("id"))).distinct()
+    texts = stage(rows.select("id", "state").join(wanted, "id", "left_semi"), "near-texts")
+    pairs = near.join(texts.select(F.col("id").alias("ct"), F.col("state").alias("state_t")), "ct").join(texts.select(F.col("id").alias("ce"), F.col("state").alias("state_e")), "ce")
+    pairs = pairs.select(F.col("ce").alias("id_e"), F.col("ct").alias("id_t"), "state_e", "state_t")
+    found = stage(pairs.mapInArrow(_cover, f"id_e {kind}, id_t {kind}, jaccard double, coverage double").where(F.col("jaccard") >= threshold - 1e-12), "near-found")
+    # back from classes to rows
+    heads = classes.where("e and t").select(F.col("c").alias("ce"), F.col("c").alias("ct"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("coverage"))
+    links = found.select(F.col("id_e").alias("ce"), F.col("id_t").alias("ct"), "jaccard", "coverage").unionByName(heads)
+    members = signed.join(classes.select(*key, "c"), key).select("c", "id", "train")
+    e = members.where("not train").select(F.col("c").alias("ce"), F.col("id").alias("id_e"))
+    t = members.where("train").select(F.col("c").alias("ct"), F.col("id").alias("id_t"))
+    return links.join(e, "ce").join(t, "ct").select("id_e", "id_t", "jaccard", "coverage")
+
+
+def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str, split: str = "split", source: str = "source") -> DataFrame:
+    """(split, source, n_rows, n_overlapping, n_pairs, mean_coverage) of the evaluation rows; pairs from split_overlap."""
+    best = pairs.groupBy(F.col("id_e").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("coverage").alias("best"))
+    rows = df.select(F.col(id_col).alias("id"), split_name(F.col(split)).alias("split"), F.col(source).alias("source")).where(F.col("split").isin("val", "test"))
+    return rows.join(best, "id", "left").groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.avg("best"), 6).alias("mean_coverage")
+    )

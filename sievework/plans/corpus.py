@@ -1,0 +1,84 @@
+"""Queries on whole record tables: layout duplicates (p3), group splits (p5), overlap across splits (p6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievework.operators.group_split import split_groups
+from sievework.operators.record_dups import layout_duplicates, record_counts
+from sievework.operators.split_overlap import overlap_report, split_overlap
+from sievework.session import table
+
+
+def p3_found(spark, d):
+    pairs = layout_duplicates(table(spark, d, "examples"), "row_id")
+    return pairs.select(F.col("rep").alias("row_id_a"), F.col("id").alias("row_id_b"))
+
+
+def p3_records(spark, d):
+    return record_counts(table(spark, d, "examples"), "row_id").select(F.col("rep").alias("row_id"), "copies")
+
+
+def p5_found(spark, d):
+    return split_groups(table(spark, d, "examples"), table(spark, d, "split_targets")).where("divided").select("group_id")
+
+
+def p5_assign(spark, d):
+    return split_groups(table(spark, d, "examples"), table(spark, d, "split_targets")).select("group_id", "n_rows", "new_split")
+
+
+def p5_shares(spark, d):
+    goal = table(spark, d, "split_targets")
+    got = p5_assign(spark, d).groupBy(F.col("new_split").alias("split")).agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
+    total = got.agg(F.sum("n_rows").alias("total"))
+    got = got.crossJoin(total)  # one row
+    return goal.join(got, "split", "left").select("split", "target_share", "n_rows", "n_groups", F.round(F.col("n_rows") / F.col("total"), 6).alias("share"))
+
+
+def p6_found(spark, d):
+    pairs = split_overlap(table(spark, d, "examples"), "row_id")
+    return pairs.select(F.least("id_e", "id_t").alias("row_id_a"), F.greatest("id_e", "id_t").alias("row_id_b"))
+
+
+def p6_report(spark, d):
+    rows = table(spark, d, "examples")
+    return overlap_report(rows, split_overlap(rows, "row_id"), "row_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_assign, p5_shares, p6_found, p6_report)}
+
+_FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_RECORDS = rf"""
+WITH base AS (
+  SELECT row_id, state, question, choices, CASE WHEN ltrim(state) LIKE '{{%' AND json_valid(state) THEN state END AS js
+  FROM examples WHERE state IS NOT NULL AND regexp_matches(state, '[^\s\p{{Z}}]')),
+members AS (
+  SELECT row_id, list_sort(list({_FOLD.format("k")} || ':' ||
+    CASE WHEN json_type(v) = 'VARCHAR' THEN {_FOLD.format("v ->> '$'")} ELSE {_FOLD.format("v::VARCHAR")} END))::VARCHAR AS m
+  FROM (SELECT row_id, unnest(json_keys(js)) AS k, json_extract(js, '$.' || '"' || unnest(json_keys(js)) || '"') AS v FROM base WHERE js IS NOT NULL)
+  GROUP BY row_id),
+keyed AS (
+  SELECT b.row_id, coalesce('j' || m, 't' || {_FOLD.format("state")}) AS s, {_FOLD.format("question")} AS q,
+    list_sort(list_transform(choices, lambda x: {_FOLD.format("x")}))::VARCHAR AS c
+  FROM base b LEFT JOIN members USING (row_id)),
+records AS (SELECT *, min(row_id) OVER (PARTITION BY s, q, c) AS rep FROM keyed)
+"""
+_SPLIT = r"CASE regexp_replace(lower(split), '^\s+|\s+$', '', 'g') WHEN 'dev' THEN 'val' WHEN 'validation' THEN 'val' ELSE regexp_replace(lower(split), '^\s+|\s+$', '', 'g') END"
+_OVERLAP = rf"""
+WITH rows AS (
+  SELECT row_id, source, {_SPLIT} AS sp, coalesce({_FOLD.format("question")}, '') AS q,
+    list_distinct(list_filter(regexp_split_to_array(lower(state), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w
+  FROM examples WHERE state IS NOT NULL AND regexp_matches(state, '[^\s\p{{Z}}]') AND split IS NOT NULL),
+pairs AS (
+  SELECT e.row_id AS id_e, t.row_id AS id_t FROM rows e JOIN rows t ON e.q = t.q AND e.sp IN ('val', 'test') AND t.sp = 'train'
+    AND len(e.w) >= 0.8 * len(t.w) AND len(t.w) >= 0.8 * len(e.w)
+  WHERE len(e.w) > 0 AND len(list_intersect(e.w, t.w)) * 1.0 / (len(e.w) + len(t.w) - len(list_intersect(e.w, t.w))) >= 0.8 - 1e-12)
+"""
+
+SQL = {
+    "p3_found": _RECORDS + "SELECT rep AS row_id_a, row_id AS row_id_b FROM records WHERE row_id <> rep",
+    "p3_records": _RECORDS + "SELECT rep AS row_id, count(*) AS copies FROM records GROUP BY rep",
+    "p5_found": rf"""SELECT g AS group_id FROM (SELECT regexp_replace(lower(group_id), '^\s+|\s+$', '', 'g') AS g, {_SPLIT} AS sp FROM examples
+        WHERE group_id IS NOT NULL AND split IS NOT NULL) WHERE sp IN ('train', 'val', 'test') GROUP BY g HAVING count(DISTINCT sp) > 1""",
+    "p6_found": _OVERLAP + "SELECT least(id_e, id_t) AS row_id_a, greatest(id_e, id_t) AS row_id_b FROM pairs",
+}
