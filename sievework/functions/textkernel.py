@@ -113,15 +113,21 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+@lru_cache(16)
+def _codes(seed: int) -> np.ndarray:
+    """A random number for each code point."""
+    return mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(seed * 0x632BE59BD9B4E019 & MASK))
+
+
 class Rolling:
-    """Rolling polynomial hashes modulo 2^64 over an array of symbols: the hash of any stretch is one subtraction and one
+    """Rolling polynomial hashes modulo 2^64 over an array of code points or bytes: the hash of any stretch is one subtraction and one
     product, and depends on its symbols alone."""
 
     def __init__(self, symbols: np.ndarray, seed: int = 1, base: int = BASE):
         self.base = base
         n = len(symbols)
         with np.errstate(over="ignore"):
-            coded = mix(symbols.astype(np.uint64) + np.uint64(seed * 0x632BE59BD9B4E019 & MASK))
+            coded = _codes(seed)[symbols]
             coded *= powers(pow(base, -1, 1 << 64), n + 1)[:n]
             self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(coded, out=self.sums[1:])
