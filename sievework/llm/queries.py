@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, leakage, mixing, shared_spans
+from sievework.llm import bpe, langid, leakage, lookalikes, mixing, shared_spans
 from sievework.session import table
 
 
@@ -31,6 +31,27 @@ def p1_items(spark, d):
     return _leaked(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
+def p2_languages(spark, d):
+    return langid.detect_languages(table(spark, d, "examples"), "row_id").withColumnRenamed("id", "row_id")
+
+
+def p2_found(spark, d):
+    rows = p2_languages(spark, d).where((F.col("n_langs") > 1) | ~F.col("fits"))
+    return rows.select("row_id", "field_name", "lang")
+
+
+FIELDS = {"state": "state_lang", "choices": "choice_lang"}
+
+
+def p4_found(spark, d):
+    found = lookalikes.find_lookalikes(table(spark, d, "examples"), "row_id", FIELDS)
+    return found.select(F.col("id").alias("row_id"), "field_name")
+
+
+def p4_repaired(spark, d):
+    return lookalikes.repair_lookalikes(table(spark, d, "examples"), "row_id", FIELDS).withColumnRenamed("id", "row_id")
+
+
 def p7_ids(spark, d):
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -63,7 +84,7 @@ def p9_passages(spark, d):
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"), F.explode("passages").alias("p")).select("doc_id_a", "doc_id_b", "p.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p7_ids, p8_mix, p8_shares, p9_found, p9_shared, p9_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p2_found, p2_languages, p4_found, p4_repaired, p7_ids, p8_mix, p8_shares, p9_found, p9_shared, p9_passages)}
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _LEAKED = f"""
 WITH fields AS (
