@@ -22,7 +22,7 @@ from sievework.functions import textkernel as tk
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "tr", "fa", "ar")
 BOUNDARY, FOREIGN = 0, 1
-#: Sentence ends: a line break, or one of these before white space.
+#: Sentence ends: a line break, or one of these before white space or a closing quotation mark.
 ENDS = np.array([ord(c) for c in ".!?؟…"], np.uint32)
 NOT_BLANK = r"[^\p{Z}\s\x85\x1c-\x1f]"
 
@@ -53,7 +53,7 @@ def segments(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     ender = cps == 10
     if n > 1:
         nxt = cps[1:]
-        ender[:-1] |= np.isin(cps[:-1], ENDS) & ((nxt == 32) | (nxt == 10) | (nxt == 13) | (nxt == 9))
+        ender[:-1] |= np.isin(cps[:-1], ENDS) & np.isin(nxt, [32, 10, 13, 9, 34, 0x201D])
     starts = np.zeros(n + 1, bool)
     starts[1:] = ender
     starts[offs[:-1]] = True

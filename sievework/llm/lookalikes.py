@@ -111,13 +111,19 @@ def look(texts: pa.Array, model: langid.Model | None, by_sentence: bool = True)
 
 def _is_persian(model: langid.Model, cps: np.ndarray, offs: np.ndarray, starts: np.ndarray, least: int = 15) -> np.ndarray:
     """For each stretch, whether its Arabic-script text is Persian rather than Arabic. The profile doesn't tell the forms of
-    yeh and kaf apart, so they have no say; a stretch with few letters goes with its whole text."""
+    yeh and kaf apart, so they have no say; a stretch with few letters goes with its neighbours, or with its whole text."""
     fa, ar = langid.LANGUAGES.index("fa"), langid.LANGUAGES.index("ar")
     cosines, n = model.score(cps, offs, starts)
     lead = (cosines[:, fa] - cosines[:, ar]) * np.sqrt(np.maximum(1, n))
     row = np.searchsorted(offs, starts, side="right") - 1
     whole = np.bincount(row, weights=lead, minlength=len(offs) - 1)
-    return np.where(n >= least, lead, whole[row]) > 0
+    near, size = lead.copy(), n.copy()
+    same = row[1:] == row[:-1]
+    near[1:] += np.where(same, lead[:-1], 0)
+    near[:-1] += np.where(same, lead[1:], 0)
+    size[1:] += np.where(same, n[:-1], 0)
+    size[:-1] += np.where(same, n[1:], 0)
+    return np.where(n >= least, lead, np.where(size >= least, near, whole[row])) > 0
 
 
 def _scan(models: object, fields: list[tuple[str, bool]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
