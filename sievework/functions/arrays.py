@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-12
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f names it; a lambda would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
@@ -19,20 +26,17 @@ def argmax_first(p: Column) -> Column:
 
 def renormalise(p: Column) -> Column:
     """Divided by the sum; null where that is not positive."""
-    s = total(p)
-    return F.when(s > 0, F.transform(p, lambda x: x / s))
+    return let(p, lambda q: let(total(q), lambda s: F.when(s > 0, F.transform(q, lambda x: x / s))))
 
 
 def softmax(z: Column, temperature: float | Column = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(z)
-    return renormalise(F.transform(z, lambda x: F.exp((x - top) / t)))
+    return renormalise(let(z, lambda y: let(F.array_max(y), lambda top: F.transform(y, lambda x: F.exp((x - top) / t)))))
 
 
 def log_softmax(z: Column) -> Column:
-    top = F.array_max(z)
-    norm = F.ln(total(F.transform(z, lambda x: F.exp(x - top))))
-    return F.transform(z, lambda x: x - top - norm)
+    shifted = let(z, lambda y: let(F.array_max(y), lambda top: F.transform(y, lambda x: x - top)))
+    return let(shifted, lambda y: let(F.ln(total(F.transform(y, F.exp))), lambda norm: F.transform(y, lambda x: x - norm)))
 
 
 def sigmoid(x: Column) -> Column:
