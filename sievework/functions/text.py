@@ -22,14 +22,13 @@ TATWEEL = "\\x{0640}"
 GERMAN_WORDS = ["der", "die", "das", "und", "nicht", "ist", "ein", "eine", "mit", "für"]
 
 
-@F.pandas_udf("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def nfc(c: Column) -> Column:
     """Composed form. Texts that are plain ASCII never leave the JVM."""
-    return F.when(c.rlike("[^\\x00-\\x7f]"), _nfc(c)).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.pandas_udf(_nfc, "string")(c)).otherwise(c)
 
 
 def collapse(c: Column) -> Column:

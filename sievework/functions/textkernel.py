@@ -151,7 +151,7 @@ def words(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     inside[1:-1] = is_word()[cps]
     turn = inside[1:] != inside[:-1]
     cut = offs[1:-1]
-    cut = cut[(cut > 0) & (cut < len(cps))]
+    cut = np.unique(cut[(cut > 0) & (cut < len(cps))])
     both = cut[inside[cut] & inside[cut + 1]]  # a run over the border of two texts: it ends and begins there
     edge = np.flatnonzero(turn)
     if len(both):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sievework.functions import textkernel as tk
 from sievework.session import stage
 
-STATE, MEMBER, QUESTION, CHOICE, NULL = range(5)
+STATE, MEMBER, QUESTION, CHOICE, NO_STATE, NO_QUESTION, NO_LIST, NO_CHOICE = range(8)
 
 
 def _member(value: object) -> str:
@@ -49,14 +49,14 @@ def _pieces(batch: pa.RecordBatch, suffix: str = "") -> tuple[pa.Array, np.ndarr
                     put(i, MEMBER, k, len(texts) + 1)
                     put(i, MEMBER, _member(v), -2)
                 continue
-        put(i, NULL if state is None else STATE, state or "")
+        put(i, NO_STATE if state is None else STATE, state or "")
     for i, q in enumerate(batch.column("question" + suffix).to_pylist()):
-        put(i, NULL if q is None else QUESTION, q or "")
+        put(i, NO_QUESTION if q is None else QUESTION, q or "")
     for i, choices in enumerate(batch.column("choices" + suffix).to_pylist()):
         if choices is None:
-            put(i, NULL, "")
+            put(i, NO_LIST, "")
         for c in choices or ():
-            put(i, NULL if c is None else CHOICE, c or "")
+            put(i, NO_CHOICE if c is None else CHOICE, c or "")
     return pa.array(texts, pa.large_string()), np.array(row), np.array(kind), np.array(mate)
 
 
@@ -142,15 +142,15 @@ def layout_duplicates(df: DataFrame, id_col: str, state: str = "state", question
 
     Same record: question and options (in any order) agree after folding, and the states agree after folding, or, where both
     parse as JSON objects, their members do in any order (a value that isn't text counts as its JSON text).
-    Null and blank states are left out; a null question, list or option equals only another null; ids are expected to be unique
-    and not null. Lower case is taken letter by letter. An empty table gives no rows; other columns are ignored.
+    Null and blank states are left out; a null question, list or option equals only another null; rows without an
+    id are left out, and a row that repeats an id adds nothing. Lower case is taken letter by letter. An empty table gives no rows; other columns are ignored.
 
     Plan: one pass to (id, 64-bit key), a partially aggregated count per key, then one shuffle of the texts of rows in question
     and one join with their representatives. A key that holds a third of all rows is pre-aggregated before its shuffle, and
     the join to its one representative is split by adaptive skew handling.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(state).alias("state"), F.col(question).alias("question"), F.col(choices).alias("choices"))
-    rows = rows.where(F.col("state").isNotNull() & F.col("state").rlike(r"[^\p{Z}\s\x85\x1c-\x1f]"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("state").isNotNull() & F.col("state").rlike(r"[^\p{Z}\s\x85\x1c-\x1f]"))
     id_type = rows.schema["id"].dataType.simpleString()
     keys = stage(rows.mapInArrow(_keys, f"id {id_type}, key bigint"), "record-keys")
     groups = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -162,7 +162,7 @@ def layout_duplicates(df: DataFrame, id_col: str, state: str = "state", question
     odd = stage(rows.join(checked.where("not same").select("id"), "id", "left_semi").mapInArrow(_canonical, f"id {id_type}, form string"), "record-odd")
     first = odd.groupBy("form").agg(F.min("id").alias("rep"))
     odd = odd.join(first, "form").where("id <> rep").select("rep", "id")
-    return checked.where("same").select("rep", "id").unionByName(odd)
+    return checked.where("same").select("rep", "id").unionByName(odd).distinct()
 
 
 def record_counts(df: DataFrame, id_col: str, **columns: str) -> DataFrame:

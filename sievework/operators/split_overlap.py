@@ -95,7 +95,7 @@ def split_overlap(df: DataFrame, id_col: str, state: str = "state", question: st
     whose states' sets of distinct words have a Jaccard similarity of at least `threshold`; coverage is the share of the
     evaluation state's words found in the training state.
 
-    Rows with a null or blank state or a null split, and states without any word, are left out; a null question counts as
+    Rows with a null id, a null or blank state or a null split, and states without any word, are left out; a null question counts as
     an empty one. Rows of one question and word set form a class; classes are compared, and all pairs of rows of matching
     classes come out. An empty table gives no rows.
 
@@ -104,7 +104,7 @@ def split_overlap(df: DataFrame, id_col: str, state: str = "state", question: st
     """
     s = split_name(F.col(split))
     rows = df.select(F.col(id_col).alias("id"), F.col(state).alias("state"), F.col(question).alias("question"), (s == "train").alias("train"))
-    rows = rows.where(s.isin("train", "val", "test") & F.col("state").isNotNull() & F.col("state").rlike(NOT_BLANK))
+    rows = rows.where(s.isin("train", "val", "test") & F.col("id").isNotNull() & F.col("state").isNotNull() & F.col("state").rlike(NOT_BLANK))
     kind = rows.schema["id"].dataType.simpleString()
     rarity = word_rarity(rows.select(F.col("state").alias("text")))
     signed = rows.mapInArrow(_signatures(rarity, threshold), f"id {kind}, train boolean, q bigint, set_a bigint, set_b bigint, n int, prefix array<bigint>")
@@ -118,7 +118,7 @@ def split_overlap(df: DataFrame, id_col: str, state: str = "state", question: st
     bounds = (F.col("ce") != F.col("ct")) & (F.col("ne") - F.col("ae") >= least) & (F.col("nt") - F.col("at") >= least)
     near = stage(left.join(right, "key").where(bounds).select("ce", "ct").distinct(), "near")
     wanted = near.select(F.col("ce").alias("id")).union(near.select(F.col("ct").alias("id"))).distinct()
-    texts = stage(rows.select("id", "state").join(wanted, "id", "left_semi"), "near-texts")
+    texts = stage(rows.select("id", "state").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     pairs = near.join(texts.select(F.col("id").alias("ct"), F.col("state").alias("state_t")), "ct").join(texts.select(F.col("id").alias("ce"), F.col("state").alias("state_e")), "ce")
     pairs = pairs.select(F.col("ce").alias("id_e"), F.col("ct").alias("id_t"), "state_e", "state_t")
     found = stage(pairs.mapInArrow(_cover, f"id_e {kind}, id_t {kind}, jaccard double, coverage double").where(F.col("jaccard") >= threshold - 1e-12), "near-found")
@@ -128,7 +128,7 @@ def split_overlap(df: DataFrame, id_col: str, state: str = "state", question: st
     members = signed.join(classes.select(*key, "c"), key).select("c", "id", "train")
     e = members.where("not train").select(F.col("c").alias("ce"), F.col("id").alias("id_e"))
     t = members.where("train").select(F.col("c").alias("ct"), F.col("id").alias("id_t"))
-    return links.join(e, "ce").join(t, "ct").select("id_e", "id_t", "jaccard", "coverage")
+    return links.join(e, "ce").join(t, "ct").select("id_e", "id_t", "jaccard", "coverage").distinct()
 
 
 def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str, split: str = "split", source: str = "source") -> DataFrame:
