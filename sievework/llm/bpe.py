@@ -15,10 +15,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
+#: Name of the text column on its way to the encoder; a column of the caller is not called so.
+INPUT = "_text_to_encode"
 #: A pair of ids as one number; more ids than a vocabulary can have.
 PAIR = 1 << 24
 # The pieces' pattern splits off these endings after an apostrophe.
@@ -302,14 +305,14 @@ def encoder(vocabulary: dict[str, np.ndarray]) -> Encoder:
 def _run(vocabulary: object, lists: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tk.slices(whole, "text", 1 << 22):
-                ids, n = encoder(vocabulary.value).encode(batch.column("text"))
+            for batch in tk.slices(whole, INPUT, 1 << 22):
+                ids, n = encoder(vocabulary.value).encode(batch.column(INPUT))
                 if lists:
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 else:
                     out = pa.array(n)
-                rest = [c for c in batch.schema.names if c != "text"]
+                rest = [c for c in batch.schema.names if c != INPUT]
                 yield pa.record_batch([*(batch.column(c) for c in rest), out], [*rest, "ids" if lists else "n_tokens"])
 
     return run
@@ -325,8 +328,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", lists: bool =
     spark = df.sparkSession
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(tokenizer_path))
     new = "ids" if lists else "n_tokens"
-    rows = df.drop(new).withColumnRenamed(text, "text")
-    kept = [f for f in rows.schema.fields if f.name != "text"]
-    rows = rows.select(*[f"`{f.name}`" for f in kept], "text")
+    kept = [f for f in df.schema.fields if f.name not in (text, new)]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias(INPUT))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{new} {'array<int>' if lists else 'bigint'}"])
     return rows.mapInArrow(_run(vocabulary, lists), schema)

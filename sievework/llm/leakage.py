@@ -100,16 +100,17 @@ def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "
     of a field of an item.
 
     Words are runs of letters and digits, compared in lower case, letter by letter. Null and short texts (fewer than
-    run_length words) hold nothing; equal texts of items are compared once; ids are expected to be unique and not null.
+    run_length words) hold nothing; equal texts of items are compared once; rows without an id are left out and
+    repeated rows add nothing.
     Empty tables give no rows.
 
     Plan: one pass over all texts for the fixed-size table of word rarity; a pass that keeps, of every window of run_length
     words, the rarest shingle (containment of a window needs it, on both sides); an equi-join of these; then only candidate
     texts are shuffled and the runs verified around the places of the shingles.
     """
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     e = items.select(F.col(item_id).alias("item"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f"))
-    e = e.select("item", "f.field", "f.text").where(F.col("text").isNotNull())
+    e = e.select("item", "f.field", "f.text").where(F.col("text").isNotNull() & F.col("item").isNotNull())
     # equal texts of items count once: their digest stands for them
     e = stage(e.withColumn("id", F.md5("text")), "eval-fields")
     distinct = e.groupBy("id").agg(F.first("text").alias("text"))
@@ -120,7 +121,7 @@ def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "
     right = distinct.select("id", "text").mapInArrow(run, "key bigint, id string, at array<int>").select("key", F.col("id").alias("id_e"), F.col("at").alias("e"))
     met = left.join(right, "key").groupBy("id_d", "id_e").agg(F.collect_list(F.struct("d", "e")).alias("keys"))
     met = stage(met, "leak-candidates")
-    texts = d.join(met.select(F.col("id_d").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("id_d"), F.col("text").alias("text_d"))
+    texts = d.join(met.select(F.col("id_d").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("id_d"), F.col("text").alias("text_d"))
     pairs = met.join(distinct.select(F.col("id").alias("id_e"), F.col("text").alias("text_e")), "id_e").join(texts, "id_d")
     found = pairs.mapInArrow(_verify(run_length), f"id_d {kind}, id_e string, found boolean").where("found")
-    return found.join(e.select(F.col("id").alias("id_e"), "item", "field"), "id_e").select(F.col("id_d").alias("doc_id"), F.col("item").alias("item_id"), "field")
+    return found.join(e.select(F.col("id").alias("id_e"), "item", "field"), "id_e").select(F.col("id_d").alias("doc_id"), F.col("item").alias("item_id"), "field").distinct()
