@@ -149,19 +149,18 @@ def _scan(models: object, fields: list[tuple[str, bool]]) -> Callable[[Iterator[
 
 
 def fit_models(df: DataFrame, id_col: str, fields: dict[str, str | None], per_language: int = 1000, seed: int = 0) -> list[langid.Model | None]:
-    """Profiles that tell Persian from Arabic for each field, fitted on its labelled rows (see langid); None without a label."""
-    models = []
+    """For each field the profile that tells Persian from Arabic, None for fields without a label. One profile serves all,
+    fitted on about per_language labelled rows of each field and language (see langid), as short options alone teach little."""
+    parts = []
     for name, label in fields.items():
-        if label is None:
-            models.append(None)
-            continue
-        is_list = df.schema[name].dataType.simpleString().startswith("array")
-        text = F.concat_ws(" | ", F.col(name)) if is_list else F.col(name)
-        arabic = df.where(text.rlike("[\\u0600-\\u06ff]"))
-        named = arabic.where(langid.label_code(F.col(label)).isin("fa", "ar"))
-        texts, labels = langid._sample(named, text, F.col(label), id_col, per_language, seed)
-        models.append(langid.Model(seed=seed).fit(texts, labels) if len(set(labels)) == 2 else None)
-    return models
+        if label is not None:
+            is_list = df.schema[name].dataType.simpleString().startswith("array")
+            text = F.concat_ws(" | ", F.col(name)) if is_list else F.col(name)
+            named = df.where(text.rlike("[\\u0600-\\u06ff]") & langid.label_code(F.col(label)).isin("fa", "ar"))
+            parts.append(langid._sample(named, text, F.col(label), id_col, per_language, seed))
+    labels = np.concatenate([of for _, of in parts]) if parts else np.zeros(0, np.int64)
+    model = langid.Model(seed=seed).fit(pa.concat_arrays([t for t, _ in parts]), labels) if len(set(labels)) == 2 else None
+    return [None if label is None else model for label in fields.values()]
 
 
 def find_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None], models: list | None = None) -> DataFrame:
@@ -181,15 +180,13 @@ def find_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None], m
 
 
 def substitutes(word: str) -> list[str]:
-    """A mixed-script word in its dominant script (the one most of its letters have; of equals, any): each candidate has all
-    letters of other scripts replaced by their look-alikes. Empty if one has none."""
+    """A mixed-script word in one script, its dominant one (that of most of its letters) first: letters of other scripts are
+    replaced by their look-alikes. A script in which a letter has none gives no candidate."""
     table = scripts()
     of = [int(table[ord(c)]) for c in word]
     counts = {s: of.count(s) for s in set(of) - {0}}
     out = []
     for target in sorted(counts, key=lambda s: (-counts[s], s)):
-        if counts[target] < max(counts.values()):
-            break
         there = {LATIN: LATIN_OF, CYRILLIC: CYRILLIC_OF, GREEK: GREEK_OF}.get(target, {})
         letters = [c if s in (0, target) else there.get(c, there.get(LATIN_OF.get(c, ""), "")) for c, s in zip(word, of, strict=True)]
         if all(letters):
@@ -243,8 +240,8 @@ def repair(text: str, words: dict[str, str], persian: bool | None = None) -> str
 def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None]) -> DataFrame:
     """(id, field_name, kinds, text): the fields that find_lookalikes names, in their consistent form (a list as a JSON array).
 
-    A mixed-script word is replaced only if the word that comes out stands somewhere in the fields of df; words are looked up
-    in lower case. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
+    A mixed-script word is replaced only if the word that comes out stands somewhere in the fields of df, in its dominant
+    script if that is there, else in another; words are looked up in lower case. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
     """
     models = fit_models(df, id_col, fields)
     found = stage(find_lookalikes(df, id_col, fields, models), "lookalikes")
@@ -253,15 +250,17 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(w, s) for w in batch.column("word").to_pylist() for s in substitutes(w)]
-            subs = [s for _, s in pairs]
-            yield pa.record_batch([pa.array([w for w, _ in pairs], pa.string()), pa.array(subs, pa.string()), pa.array(word_key(subs), pa.int64())], ["word", "sub", "key"])
+            found = [(w, k, s) for w in batch.column("word").to_pylist() for k, s in enumerate(substitutes(w))]
+            subs = [s for *_, s in found]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            columns = ([w for w, *_ in found], [k for _, k, _ in found], subs, word_key(subs))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "rank", "sub", "key"])
 
     text_of = {f: F.concat_ws("\n", F.col(f)) if df.schema[f].dataType.simpleString().startswith("array") else F.col(f) for f in fields}
     texts = df.select(F.explode(F.array(*text_of.values())).alias("text")).where(F.col("text").isNotNull())
     vocabulary = texts.mapInArrow(_vocabulary, "key bigint").distinct()
-    proposals = words.mapInArrow(propose, "word string, sub string, key bigint").join(vocabulary, "key", "left_semi")
-    chosen = proposals.groupBy("word").agg(F.min("sub").alias("sub"))
+    proposals = words.mapInArrow(propose, "word string, rank int, sub string, key bigint").join(vocabulary, "key", "left_semi")
+    chosen = proposals.groupBy("word").agg(F.min_by("sub", "rank").alias("sub"))
     per_row = found.select("id", "field_name", F.explode("words").alias("word")).join(chosen, "word").groupBy("id", "field_name").agg(F.map_from_entries(F.collect_set(F.struct("word", "sub"))).alias("subs"))
     shared = df.sparkSession.sparkContext.broadcast(dict(zip(fields, models, strict=True)))
 
