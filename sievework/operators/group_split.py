@@ -148,7 +148,7 @@ def split_groups(df: DataFrame, targets: DataFrame, group: str = "group_id", spl
 
     targets has (split, target_share); shares are taken relative to their sum. The driver sees bundles only: groups of one
     size and label profile counted together, at most max_bundles of them; beyond that, profiles are reduced to their size
-    and largest label. Empty groups don't exist; an empty table gives no rows; without targets it is an error.
+    and largest label, and then to their size, which leaves a few hundred at any scale. Empty groups don't exist; an empty table gives no rows; without targets it is an error.
     """
     shares = {r["split"]: float(r["target_share"]) for r in targets.select("split", "target_share").orderBy("split").limit(1000).collect() if r["target_share"]}
     if not shares:
@@ -158,8 +158,12 @@ def split_groups(df: DataFrame, targets: DataFrame, group: str = "group_id", spl
     if bundles.limit(max_bundles + 1).count() > max_bundles:
         top = F.element_at(F.array_sort(F.from_json("profile", "array<array<string>>"), lambda a, b: F.element_at(b, 2).cast("int") - F.element_at(a, 2).cast("int")), 1)
         size = F.when(F.col("n_rows") < 64, F.col("n_rows")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n_rows") * 8) / 8).cast("long"))
-        groups = groups.withColumn("profile", F.to_json(F.array(F.array(F.element_at(top, 1), size.cast("string")))))
-        bundles = groups.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.avg("n_rows").alias("n_rows"))
+        for label_of in (F.element_at(top, 1), F.lit("")):  # sizes alone make a few hundred profiles
+            coarse = groups.withColumn("profile", F.to_json(F.array(F.array(label_of, size.cast("string")))))
+            bundles = coarse.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.avg("n_rows").alias("n_rows"))
+            if bundles.limit(max_bundles + 1).count() <= max_bundles:
+                break
+        groups = coarse
     listed = [(r["profile"], max(1, round(r["n_rows"])), r["n"]) for r in bundles.collect()]
     plan = {}
     whole = {p: json.dumps([[a, int(b)] for a, b in json.loads(p)]) for p, _, _ in listed}

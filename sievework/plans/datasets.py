@@ -284,12 +284,12 @@ def p32_source_split(spark, d):
     return _ex(spark, d).select("row_id", F.when(F.col("source") == "hand-written", "test").when(bucket < 0.1, "test").otherwise("train").alias("part"))
 
 
-@query("""SELECT row_id, CASE label_format WHEN 'key' THEN list_transform(choices, lambda c: replace(lower(c), ' ', '_')) WHEN 'title' THEN list_transform(choices, lambda c: upper(substr(c, 1, 1)) || substr(c, 2)) ELSE choices END AS options FROM examples WHERE choice_lang = 'en'""")
+@query("""SELECT row_id, CASE label_format WHEN 'key' THEN list_transform(choices, lambda c: replace(lower(c), ' ', '_')) WHEN 'title' THEN list_transform(choices, lambda c: upper(substr(c, 1, 1)) || substr(c, 2)) ELSE choices END AS options FROM examples""")
 def p33_option_style(spark, d):
     c = F.col("choices")
     key = F.transform(c, lambda x: F.replace(F.lower(x), F.lit(" "), F.lit("_")))
     title = F.transform(c, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30)))
-    return _ex(spark, d).where("choice_lang = 'en'").select("row_id", F.when(F.col("label_format") == "key", key).when(F.col("label_format") == "title", title).otherwise(c).alias("options"))
+    return _ex(spark, d).select("row_id", F.when(F.col("label_format") == "key", key).when(F.col("label_format") == "title", title).otherwise(c).alias("options"))
 
 
 @query("SELECT row_id, md5(concat_ws(chr(10), question, state)) AS digest FROM examples")
@@ -427,13 +427,13 @@ def j08_segment_overlap(spark, d):
 
 
 def _near_sql(setexpr, least):
-    return f"""WITH r AS (SELECT row_id AS id, {_SPLIT} AS part, {setexpr} AS s FROM examples WHERE state IS NOT NULL AND trim(state) <> '' AND config IN ('kg_judge', 'routing', 'moderation')), f AS (SELECT * FROM r WHERE len(s) >= {least})
+    return f"""WITH r AS (SELECT row_id AS id, {_SPLIT} AS part, {setexpr} AS s FROM examples WHERE state IS NOT NULL AND trim(state) <> ''), f AS (SELECT * FROM r WHERE len(s) >= {least})
       SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM f a JOIN f b ON a.part IN ('val', 'test') AND b.part = 'train'
         AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s) WHERE len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.8"""
 
 
 def _near(spark, d, f, least):
-    train, evals = (x.where("state IS NOT NULL AND trim(state) <> '' AND config IN ('kg_judge', 'routing', 'moderation')").select("row_id", f(F.col("state")).alias("s")) for x in _parts(spark, d))
+    train, evals = (x.where("state IS NOT NULL AND trim(state) <> ''").select("row_id", f(F.col("state")).alias("s")) for x in _parts(spark, d))
     return S.near_duplicates(evals, train, "row_id", "s", 0.8, least)
 
 
