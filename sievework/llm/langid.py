@@ -22,8 +22,10 @@ from sievework.functions import textkernel as tk
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "tr", "fa", "ar")
 BOUNDARY, FOREIGN = 0, 1
-#: Sentence ends: a line break, or one of these before white space or a closing quotation mark.
-ENDS = np.array([ord(c) for c in ".!?؟…"], np.uint32)
+#: A part of a stretch must lead by so much more than a whole sentence.
+PART_MARGIN = 0.01
+#: Sentence ends: a line break, or one of these (a stroke between sentences too) before white space or a closing quotation mark.
+ENDS = np.array([ord(c) for c in ".!?؟…/|"], np.uint32)
 NOT_BLANK = r"[^\p{Z}\s\x85\x1c-\x1f]"
 
 
@@ -161,9 +163,12 @@ class Model:
         """(cosines with the prototypes, number of letters) of the stretches that begin at starts. The norm of a bundle of n
         trigrams is taken as that of n random vectors."""
         codes, place = self._codes(cps, offs)
-        at = np.searchsorted(place, np.append(starts, len(cps)))
+        return self.stretches(codes, np.searchsorted(place, np.append(starts, len(cps))))
+
+    def stretches(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of trigrams at[i] to at[i + 1]."""
         n = np.diff(at)
-        sums = np.zeros((len(starts), len(LANGUAGES)), np.float32)
+        sums = np.zeros((len(n), len(LANGUAGES)), np.float32)
         some = np.flatnonzero(n)
         if len(some):
             sums[some] = np.add.reduceat(self.products[self.row[codes]], at[some], axis=0)
@@ -205,7 +210,7 @@ def confidence(cosines: np.ndarray, sharpness: float = 12.0) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _detect(states: Model, choices: Model, min_letters: int, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _detect(states: Model, choices: Model, min_letters: int, margin: float, part: int = 32) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = np.array(LANGUAGES)
 
     def field(ids: list, lists: list[list[str] | None], model: Model, name: str, mixed: bool) -> Iterator[tuple]:
@@ -215,7 +220,9 @@ def _detect(states: Model, choices: Model, min_letters: int, margin: float) -> C
             return
         starts = segments(cps, offs) if mixed else offs[:-1][np.diff(offs) > 0]
         row = rows[np.searchsorted(offs, starts, side="right") - 1]
-        cosines, n = model.score(cps, offs, starts)
+        codes, place = model._codes(cps, offs)
+        at = np.searchsorted(place, np.append(starts, len(cps)))
+        cosines, n = model.stretches(codes, at)
         weighed = cosines * np.sqrt(np.maximum(1, n))[:, None]
         sums = np.stack([np.bincount(row, weights=x, minlength=len(lists)) for x in weighed.T], 1)
         letters_of = np.bincount(row, weights=n, minlength=len(lists))
@@ -224,17 +231,47 @@ def _detect(states: Model, choices: Model, min_letters: int, margin: float) -> C
         own = cosines.argmax(1)
         lead = cosines[np.arange(len(n)), own] - cosines[np.arange(len(n)), best[row]]
         other = (own != best[row]) & (n >= min_letters) & (lead > margin)
+        if mixed:
+            # sentences that follow each other without any mark: long stretches are looked at in parts as well
+            long = np.flatnonzero(n >= 2 * part)
+            parts = n[long] // part
+            cut = np.repeat(at[long], parts) + (tk.gather(np.zeros(len(long), np.int64), parts) * np.repeat(n[long] / np.maximum(1, parts), parts)).astype(np.int64)
+            # the last part of a stretch ends where the stretch does
+            ends = np.append(cut[1:], len(codes))
+            last = np.cumsum(parts) - 1
+            ends[last] = at[long + 1]
+            edges = np.stack([cut, ends], 1).ravel()
+            c2, n2 = (x[::2] for x in model.stretches(codes, edges)) if len(cut) else (cosines[:0], n[:0])
+            r2 = np.repeat(row[long], parts)
+            o2 = c2.argmax(1) if len(c2) else own[:0]
+            l2 = c2[np.arange(len(n2)), o2] - c2[np.arange(len(n2)), best[r2]]
+            keep = (o2 != best[r2]) & (n2 >= min_letters) & (l2 > margin + PART_MARGIN)
+            cosines, n = np.concatenate([cosines, c2[keep]]), np.concatenate([n, n2[keep]])
+            row, other = np.concatenate([row, r2[keep]]), np.concatenate([other, np.ones(keep.sum(), bool)])
+            floor = np.where(np.arange(len(n)) < len(own), margin, margin + PART_MARGIN)
         sure = confidence(whole)
-        seg_sure = confidence(cosines)
         found: dict[int, dict[int, list]] = {}
         for i in np.flatnonzero(letters_of > 0):
             found[int(i)] = {int(best[i]): [float(sure[i, best[i]]), int(letters_of[i])]}
-        for s in np.flatnonzero(other) if mixed else ():
-            i, lang = int(row[s]), int(own[s])
-            had = found[i].setdefault(lang, [0.0, 0])
-            had[0] = max(had[0], float(seg_sure[s, lang]))
-            had[1] += int(n[s])
-            found[i][int(best[i])][1] -= int(n[s])
+        if mixed:
+            at_other = np.flatnonzero(other)
+            at_other = at_other[np.argsort(row[at_other], kind="stable")]
+            for group in np.split(at_other, np.flatnonzero(np.diff(row[at_other])) + 1) if len(at_other) else ():
+                i = int(row[group[0]])
+                # one language at a time, the one with the most to say for it; a stretch counts for a new language only if it
+                # leads over all that are known by then, so that names between them make no third
+                known = [int(best[i])]
+                while True:
+                    led = cosines[group] - cosines[group][:, known].max(1, keepdims=True)
+                    leader = led.argmax(1)
+                    lead = led[np.arange(len(group)), leader]
+                    new = lead > floor[group]
+                    if not new.any():
+                        break
+                    lang = int(np.bincount(leader[new], weights=(lead * n[group])[new]).argmax())
+                    known.append(lang)
+                    mine = group[new & (leader == lang)]
+                    found[i][lang] = [float(confidence(cosines[mine])[:, lang].max()), int(n[mine].sum())]
         for i, langs in found.items():
             for lang, (p, size) in langs.items():
                 yield ids[i], name, str(names[lang]), p, size, len(langs)
@@ -275,12 +312,13 @@ def _sample(df: DataFrame, text: Column, label: Column, id_col: str, per_languag
 
 def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices: str = "choices", state_label: str = "state_lang", choice_label: str = "choice_lang", per_language: int = 1000, min_letters: int = 15, margin: float = 0.05, seed: int = 0) -> DataFrame:
     """(id, field_name, lang, confidence, letters, n_langs, fits): for each row the language of its options, and of its state
-    each language that has at least one whole sentence, with the letters in it; n_langs tells how many there are.
+    each language that has at least one whole sentence, with the letters seen as its own (for the main language, all of the
+    state); n_langs tells how many there are.
     fits: the label of the field names that language.
 
     Of a JSON state the string values count, not its keys. A sentence is in another language than the state's main one if it
     has min_letters letters and its cosine with that language's prototype is greater by `margin`; shorter ones, phrases,
-    names and codes are not. Null and blank texts, empty lists and texts without a letter give no row; the order of equal
+    names and codes are not. Stretches without a sentence mark are looked at in parts of 32 letters as well. Null and blank texts, empty lists and texts without a letter give no row; the order of equal
     cosines is that of LANGUAGES. Prototypes are fitted on about per_language rows of each language, drawn over the whole
     table (the bound on what the driver reads); all rows are then labelled in one pass without a shuffle. Without any usable
     label, nothing can be fitted and no row comes out.
