@@ -88,3 +88,30 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     marked = df.withColumn("reason", reason)
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def contained(evals: DataFrame, train: DataFrame, longer_than: int = 18, gram: int = 9) -> DataFrame:
+    """(id_e, id_t): evaluation texts of more than longer_than characters that stand inside a training text; both tables are
+    (id, text) with single blanks. A word inside the evaluation text, its longest but for the first and last, is a whole word
+    of whatever holds it, so the join is on that word; texts of one or two words are joined on the first characters of
+    their longer word, against the character grams of long words. Candidates are compared exactly, none is dropped."""
+    e = evals.where(F.length("text") > longer_than).select(F.col("id").alias("id_e"), F.col("text").alias("e"), F.split("text", " ").alias("w"))
+    longest = lambda a: F.element_at(F.array_sort(a, lambda x, y: F.length(y) - F.length(x)), 1)
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    e = e.withColumn("anchor", F.when(F.size("w") >= 3, F.concat(F.lit("w:"), longest(inner))).otherwise(F.concat(F.lit("g:"), F.substring(longest(F.col("w")), 1, gram))))
+    t = train.select(F.col("id").alias("id_t"), F.col("text").alias("t"), F.array_distinct(F.split("text", " ")).alias("w"))
+    grams = F.flatten(F.transform(F.filter("w", lambda x: F.length(x) >= gram), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - gram + 1), lambda i: F.concat(F.lit("g:"), F.substring(x, i, F.lit(gram))))))
+    keys = F.array_distinct(F.concat(F.transform("w", lambda x: F.concat(F.lit("w:"), x)), grams))
+    near = t.select("id_t", F.explode(keys).alias("anchor")).join(e.select("id_e", "anchor"), "anchor").select("id_e", "id_t").distinct()
+    pairs = near.join(e.select("id_e", "e"), "id_e").join(t.select("id_t", "t"), "id_t")
+    return pairs.where(F.contains("t", F.col("e"))).select("id_e", "id_t")
+
+
+def command_overlap(evals: DataFrame, train: DataFrame, id_col: str, text: str, least: int = 10) -> DataFrame:
+    """(id_e, id_t): training texts that equal an evaluation text after normalisation, hold one of more than 18 characters, or
+    whose sets of at least 4 tokens are 0.8 similar. Texts of at most `least` characters and nulls are left out."""
+    e, t = (x.select(F.col(id_col).alias("id"), T.norm_agent(F.col(text)).alias("text")).where(F.length("text") > least) for x in (evals, train))
+    equal = e.withColumnRenamed("id", "id_e").join(t.withColumnRenamed("id", "id_t"), "text").select("id_e", "id_t")
+    sets = [x.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("s")) for x in (e, t)]
+    near = near_duplicates(*sets, "id", "s", 0.8, 4).select(F.col("id_a").alias("id_e"), F.col("id_b").alias("id_t"))
+    return equal.unionByName(contained(e, t)).unionByName(near).distinct()

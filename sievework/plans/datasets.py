@@ -447,6 +447,15 @@ def j10_near_shingles(spark, d):
     return _near(spark, d, lambda c: T.shingles(T.tokens(T.norm_web(c))), 2)
 
 
+@query(f"""WITH r AS (SELECT row_id, {_SPLIT} AS part, {_NORM_AGENT.format("state ->> '$.proposed'")} AS t FROM examples WHERE json_valid(state) AND json_exists(state, '$.proposed')),
+    f AS (SELECT *, list_distinct({_TOK.format("t")}) AS s FROM r WHERE length(t) > 10)
+    SELECT e.row_id AS id_e, t.row_id AS id_t FROM f e JOIN f t ON e.part IN ('val', 'test') AND t.part = 'train' AND (e.t = t.t OR (length(e.t) > 18 AND contains(t.t, e.t))
+      OR (len(e.s) >= 4 AND len(t.s) >= 4 AND len(list_intersect(e.s, t.s)) * 1.0 / (len(e.s) + len(t.s) - len(list_intersect(e.s, t.s))) >= 0.8))""")
+def j11_command_overlap(spark, d):
+    train, evals = (x.where(F.json_object_keys("state").isNotNull()).select("row_id", F.get_json_object("state", "$.proposed").alias("t")) for x in _parts(spark, d))
+    return S.command_overlap(evals, train, "row_id", "t")
+
+
 @query(f"""WITH r AS (SELECT row_id, {_SPLIT} AS part, state FROM examples WHERE state IS NOT NULL) SELECT row_id FROM r WHERE part = 'train' AND state NOT IN (SELECT state FROM r WHERE part = 'test')""")
 def j12_train_not_in_test(spark, d):
     train, evals = _parts(spark, d)

@@ -124,6 +124,11 @@ def test_chain_parts():
     assert D.split_chain("cd a && ls 'x;y' | wc; echo \"a||b\" || true\nnext") == ["cd a", "ls 'x;y'", "wc", 'echo "a||b"', "true", "next"]
 
 
+def test_strip_cd(spark):
+    assert one(spark, D.strip_cd(F.lit("cd /a/b && cd 'c d'; ls -l && cd x"))) == "ls -l && cd x"
+    assert one(spark, D.strip_cd(F.lit("cdrom && ls"))) == "cdrom && ls"
+
+
 def test_text_functions(spark):
     assert one(spark, T.scrub_emails(F.lit("a@x.com b@mail.example.org c@y.test"))) == "user@example.org b@mail.example.org c@y.test"
     assert one(spark, T.lenient_json(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}' and one(spark, T.lenient_json(F.lit("{a"))) is None

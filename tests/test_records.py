@@ -137,3 +137,15 @@ def test_split_overlap_against_brute_force(spark):
             if a[4] != "train" and b[4] == "train" and a[2] == b[2] and len(x & y) >= 0.8 * len(x | y):
                 want.add((a[0], b[0]))
     assert got == want and want
+
+
+def test_contained_and_command_overlap(spark):
+    from sievework.operators.selection import command_overlap, contained
+
+    e = spark.createDataFrame([(1, "rm -rf the/whole/build folder"), (2, "averyveryverylongsinglecommand"), (3, "longfirstword secondword"), (4, "short one"), (5, None), (6, "echo one two three four five")], "id int, text string")
+    t = spark.createDataFrame(
+        [(10, "sudo rm -rf the/whole/build folders now"), (11, "x/averyveryverylongsinglecommand/y"), (12, "alongfirstword secondwords"), (13, "short one"), (14, "five echo one two three four"), (15, ""), (16, None)], "id int, text string"
+    )
+    assert {tuple(r) for r in contained(e, t).collect()} == {(1, 10), (2, 11), (3, 12)}
+    assert {tuple(r) for r in command_overlap(e, t, "id", "text").collect()} == {(1, 10), (2, 11), (3, 12), (6, 14)}
+    assert command_overlap(e.limit(0), t, "id", "text").collect() == []
