@@ -83,13 +83,10 @@ _SPEC_ROWS = ", ".join(
 @query(f"""WITH q(qid, kind, options, keys, need) AS (VALUES {_SPEC_ROWS}), s AS (SELECT row_id, {_W.format("state")} AS w, CASE WHEN json_valid(state) THEN json_type(state) = 'OBJECT' AND NOT json_exists(state, '$.claim') ELSE false END AS lacks FROM examples WHERE state IS NOT NULL AND trim(state) <> ''),
     z AS (SELECT row_id, qid, kind, keys, list_transform(options, lambda o: len(list_intersect(w, {_W.format("o")})) * 1.0 / len({_W.format("o")}) / 0.25) AS z FROM s, q WHERE NOT (need AND coalesce(lacks, false))),
     e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z), p AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
-    SELECT row_id AS id, qid, CASE WHEN kind = 'score' THEN round(list_sum(list_transform(p, lambda x, i: x * (i - 1))))::INT::VARCHAR ELSE keys[list_position(p, list_max(p))] END AS answer, round(list_max(p), 6) AS top FROM p""")
+    SELECT row_id AS id, qid, CASE WHEN kind = 'score' THEN round(list_sum(list_transform(p, lambda x, i: x * (i - 1))))::INT::VARCHAR ELSE keys[list_position(p, list_max(p))] END AS answer, round(list_max(p), 4) AS top FROM p""")
 def d02_decide(spark, d):
     rows = table(spark, d, "examples").where("state IS NOT NULL AND trim(state) <> ''")
-    out = decide.decide(rows, "row_id", "state", SPEC)
-    asked = decide.lexical_scorer(rows.select(F.col("row_id").alias("id"), "state").crossJoin(F.broadcast(decide.question_table(spark, decide.compile_questions(SPEC)))))
-    tops = asked.select("id", "qid", F.round(F.array_max(decide.probabilities(F.col("z"), F.col("kind"))), 6).alias("top"))
-    return out.select("id", "qid", "answer").join(tops, ["id", "qid"])
+    return decide.decide(rows, "row_id", "state", SPEC).select("id", "qid", "answer", F.array_max("probs").alias("top"))
 
 
 @query()
