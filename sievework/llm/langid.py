@@ -102,7 +102,10 @@ class Model:
         a = self.per_group + 2
         k, rest = np.divmod(codes, a**3)
         if self.letter is None:
-            self.letter = np.random.default_rng(self.seed).integers(0, 2, (3 * a, self.dimension), np.int8) * 2 - 1
+            # a letter's vector depends on the letter alone, not on its rank in the sample
+            draw = lambda k, c: np.random.default_rng([self.seed, k, c]).integers(0, 2, self.dimension, np.int8) * 2 - 1
+            marks = [[BOUNDARY, FOREIGN, *map(int, own), *range(0x110000, 0x110000 + self.per_group - len(own))] for own in self.alphabets]
+            self.letter = np.stack([draw(k, c) for k, own in enumerate(marks) for c in own])
             self.turned = [np.roll(self.letter, n, 1) for n in (2, 1, 0)]
         places = (rest // (a * a), rest // a % a, rest % a)
         x, y, z = (t[k * a + i] for t, i in zip(self.turned, places, strict=True))
@@ -130,7 +133,7 @@ class Model:
         texts = normal(texts)
         cps, offs = tk.codepoints(texts)
         low, group = letters()
-        self.numbers = [np.zeros(0)] * 4
+        self.numbers, self.alphabets = [np.zeros(0)] * 4, []
         for k in (1, 2, 3):
             number = np.zeros(0x110000, np.uint8)
             number[low[(group > 0) & (group != k)]] = FOREIGN
@@ -138,6 +141,7 @@ class Model:
             seen, n = np.unique(low[cps[group[cps] == k]], return_counts=True)
             top = seen[np.lexsort((seen, -n))][: self.per_group]
             number[top] = 2 + np.arange(len(top))
+            self.alphabets.append(top)
             number[0] = BOUNDARY
             self.numbers[k] = number
         codes, place = self._codes(cps, offs)
@@ -331,7 +335,7 @@ def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices:
         return df.sparkSession.createDataFrame([], f"{schema}, fits boolean")
     states, options = parts
     texts, of = _flat([strings_of(s) for s in states[0].to_pylist()])
-    models = [Model(4096, seed=seed).fit(texts, states[1][of]), Model(seed=seed).fit(*options)]
+    models = [Model(4096, seed=seed).fit(texts, states[1][of]), Model(32768, seed=seed).fit(*options)]
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(models)
 
