@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ from sievework.session import stage
 
 RUN = "array<struct<a:int,b:int,n:int>>"
 PASSAGE = "array<struct<a:int,a_end:int,b:int,b_end:int,exact:int>>"
-#: So many pairs of equal seeds are chained; a pair of documents with more (periodic text) is compared by all its windows.
-MANY = 4096
+#: All pairs of equal seeds are chained if they are at most MANY or PER_PLACE for each place of a seed; a pair of documents
+#: with more (periodic text) is compared by all its windows.
+MANY, PER_PLACE = 4096, 8
 #: The longest word that counts for a k-mer's rarity, and the rarity of a k-mer without any.
 LONGEST, COMMON = 16, 1 << 19
 
@@ -66,7 +68,7 @@ def chain(anchors: list[tuple[int, int]], k: int, gap: float = 0.05) -> list[lis
     anchors = sorted(set(anchors))
     ranks = sorted({b for _, b in anchors})
     tree: list[tuple[float, int]] = [(-1e300, -1)] * (len(ranks) + 1)
-    score, back, waiting = [0.0] * len(anchors), [-1] * len(anchors), []
+    score, back, waiting = [0.0] * len(anchors), [-1] * len(anchors), deque()
 
     def settle(i: int) -> None:
         a, b = anchors[i]
@@ -78,7 +80,7 @@ def chain(anchors: list[tuple[int, int]], k: int, gap: float = 0.05) -> list[lis
 
     for i, (a, b) in enumerate(anchors):
         while waiting and anchors[waiting[0]][0] < a:
-            settle(waiting.pop(0))
+            settle(waiting.popleft())
         best, r = (-1e300, -1), bisect_left(ranks, b)
         while r:
             best = max(best, tree[r])
@@ -115,7 +117,14 @@ def _ahead(a: str, i: int, b: str, j: int) -> int:
 
 
 def _behind(a: str, i: int, b: str, j: int) -> int:
-    return _ahead(a[:i][::-1], 0, b[:j][::-1], 0)
+    """Number of equal characters just before a[i] and b[j]; it reads no more than about twice as many."""
+    n = 0
+    while size := min(max(64, n), i - n, j - n):
+        more = _ahead(a[i - n - size : i - n][::-1], 0, b[j - n - size : j - n][::-1], 0)
+        n += more
+        if more < size:
+            break
+    return n
 
 
 def exact_runs(a: str, b: str, anchors: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -132,45 +141,101 @@ def exact_runs(a: str, b: str, anchors: list[tuple[int, int]], least: int) -> li
     return runs
 
 
-def _all_runs(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """The same by all windows, for pairs with very many equal seeds: each stretch of a that stands in b, once."""
-    cps, offs = tk.codepoints(pa.array([a, b]))
-    h = tk.Rolling(cps, 9).windows(least)
-    ha, hb = h[: max(0, len(a) - least + 1)], h[len(a) : len(a) + max(0, len(b) - least + 1)]
-    at = np.flatnonzero(np.isin(ha, hb))
-    where = dict(zip(hb[::-1].tolist(), range(len(hb) - 1, -1, -1), strict=True))
+def _one_way(a: str, b: str, ha: np.ndarray, hb: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Maximal equal runs that hold every window of a that stands in b, each with one place in b."""
+    seen, first = np.unique(hb, return_index=True)
     runs, upto = [], -1
-    for i in at.tolist():
-        j = where[int(ha[i])]
-        if i < upto or a[i : i + least] != b[j : j + least]:
+    for i in np.flatnonzero(np.isin(ha, seen)).tolist():
+        if i < upto:
             continue
-        n = _ahead(a, i, b, j)
-        runs.append((i, j, n))
+        j = int(first[np.searchsorted(seen, ha[i])])
+        if a[i : i + least] != b[j : j + least]:
+            j = b.find(a[i : i + least])  # another window has the same hash
+            if j < 0:
+                continue
+        back, n = _behind(a, i, b, j), _ahead(a, i, b, j)
+        runs.append((i - back, j - back, back + n))
         upto = i + n - least + 1
     return runs
 
 
+def _all_runs(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
+    """The same by all windows, for pairs with very many equal seeds: maximal runs that hold every stretch of a that stands
+    in b and every stretch of b that stands in a, with one place in the other text each."""
+    cps, _ = tk.codepoints(pa.array([a, b]))
+    h = tk.Rolling(cps, 9).windows(least)
+    ha, hb = h[: max(0, len(a) - least + 1)], h[len(a) : len(a) + max(0, len(b) - least + 1)]
+    return sorted({*_one_way(a, b, ha, hb, least), *((i, j, n) for j, i, n in _one_way(b, a, hb, ha, least))})
+
+
+def _nearest(at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted place the nearest of at (ascending)."""
+    i = np.clip(np.searchsorted(at, wanted), 1, max(1, len(at) - 1))
+    return np.where(np.abs(at[i - 1] - wanted) <= np.abs(at[np.minimum(i, len(at) - 1)] - wanted), at[i - 1], at[np.minimum(i, len(at) - 1)])
+
+
+def _matches(seeds: list[tuple[list[int], list[int]]], runs: list[tuple[int, int, int]], k: int) -> list[tuple[int, int]]:
+    """Matches of k-mers to chain where all pairs of equal seeds are too many, in proportion to their places: every seed's
+    places in a and b one by one, the fewer ones over and over; each place with the one in the other text that is nearest
+    to where seeds that stand once in both would have it; and the runs, by their k-mers."""
+    sure = np.array(sorted((x[0], y[0]) for x, y in seeds if len(x) == len(y) == 1), np.int64).reshape(-1, 2)
+    found = [sure]
+    for i, j, n in runs:
+        at = np.array([*range(0, n - k, k), n - k], np.int64)
+        found.append(np.stack([i + at, j + at], 1))
+    for x, y in seeds:
+        if len(x) == len(y) == 1:
+            continue
+        x, y = np.unique(x), np.unique(y)
+        turn = np.arange(max(len(x), len(y)))
+        found.append(np.stack([x[turn % len(x)], y[turn % len(y)]], 1))
+        for side, own, other in ((0, x, y), (1, y, x)):
+            shift = np.zeros(len(own), np.int64)
+            if len(sure):
+                by = sure[np.argsort(sure[:, side], kind="stable")]
+                last = np.clip(np.searchsorted(by[:, side], own, side="right") - 1, 0, len(by) - 1)
+                shift = by[last, 1 - side] - by[last, side]
+            near = np.stack([own, _nearest(other, own + shift)], 1)
+            found.append(near if side == 0 else near[:, ::-1])
+    m = np.concatenate(found)
+    # k-mers that overlap on one diagonal lie in one equal stretch, so one of them stands for it
+    _, at = np.unique(np.stack([m[:, 0] - m[:, 1], m[:, 0] // (k // 2)], 1), axis=0, return_index=True)
+    return [tuple(x) for x in m[at].tolist()]
+
+
+def _passages(chains: list[list[tuple[int, int]]], runs: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    """Each chain's ends and equal characters, of the runs that its matches lie in."""
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for r in sorted(set(runs)):
+        by.setdefault(r[0] - r[1], []).append(r)
+    out = []
+    for c in chains:
+        own = set()
+        for i, j in c:
+            on = by.get(i - j, [])
+            at = bisect_right(on, i, key=lambda r: r[0]) - 1
+            if at >= 0 and i < on[at][0] + on[at][2]:
+                own.add(on[at])
+        if own:
+            ends = [min(r[0] for r in own), max(r[0] + r[2] for r in own), min(r[1] for r in own), max(r[1] + r[2] for r in own)]
+            out.append(dict(zip(("a", "a_end", "b", "b_end", "exact"), [*ends, sum(r[2] for r in own)], strict=True)))
+    return out
+
+
 def _align(k: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tk.slices(whole, "text_a", 1 << 22):
                 out_runs, out_passages = [], []
                 for a, b, seeds in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), batch.column("seeds").to_pylist(), strict=True):
-                    if sum(len(s["a"]) * len(s["b"]) for s in seeds) > MANY:
+                    pairs, places = (sum(f(len(s["a"]), len(s["b"])) for s in seeds) for f in (lambda x, y: x * y, lambda x, y: x + y))
+                    if pairs > max(MANY, PER_PLACE * places):
                         runs = _all_runs(a, b, span)
-                        chains = [[(i, j), (i + n - 1, j + n - 1)] for i, j, n in runs]
-                        inner = runs
+                        anchors = _matches([(s["a"], s["b"]) for s in seeds], runs, k)
                     else:
                         anchors = [(i, j) for s in seeds for i in s["a"] for j in s["b"]]
                         runs = exact_runs(a, b, anchors, span)
-                        chains = chain(anchors, k)
-                        inner = exact_runs(a, b, anchors, k)
-                    found = []
-                    for c in chains:
-                        own = {r for r in inner for i, j in c if r[0] <= i < r[0] + r[2] and r[0] - r[1] == i - j}
-                        if own:
-                            ends = [min(r[0] for r in own), max(r[0] + r[2] for r in own), min(r[1] for r in own), max(r[1] + r[2] for r in own)]
-                            found.append(dict(zip(("a", "a_end", "b", "b_end", "exact"), [*ends, sum(r[2] for r in own)], strict=True)))
+                    found = _passages(chain(anchors, k), exact_runs(a, b, anchors, k))
                     out_runs.append([{"a": i, "b": j, "n": n} for i, j, n in sorted(set(runs))])
                     out_passages.append(found)
                 ints = pa.int32()
@@ -185,7 +250,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
     """(pairs, classes). pairs: (id_a, id_b, runs, passages) of different texts that share a stretch: runs are the maximal
     equal stretches of at least `span` characters (start in a, in b, length), passages the chains of shared k-mers with
     the ends of their equal stretches and the characters these have; a pair may have passages only. id_a < id_b are the least
-    ids of their texts. classes: (id, rep), each document and the least id with the very same text.
+    ids of their texts. A pair whose equal seeds are very many (periodic text) has no list of every two equal places: its runs
+    hold each shared stretch of either text with one place in the other, and its chains each place of a seed at least once.
+    classes: (id, rep), each document and the least id with the very same text.
 
     Characters are code points, compared as they are. Null texts and texts shorter than span have no spans, nor have rows
     without an id; a row that repeats an id adds nothing. A stretch that only repeats within one document doesn't count. Any k of at most `span` finds all runs of

@@ -294,6 +294,44 @@ def test_passages_join_runs_over_a_gap(spark):
     assert len(r["passages"]) == 1 and r["passages"][0]["exact"] == 130 and r["passages"][0]["a_end"] - r["passages"][0]["a"] == 132
 
 
+def test_repeats_count_on_both_sides(spark):
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    block = text(250)
+    rows = [(1, "-" * 300), (2, "-" * 5000), *((i, "".join(text(rng.randrange(20, 90)) + block for _ in range(n)) + text(30)) for i, n in ((3, 45), (4, 60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, classes = shared_spans.shared_spans(df)
+    own = dict(rows)
+    for r in pairs.collect():
+        a, b = own[r["id_a"]], own[r["id_b"]]
+        for i, j, n in r["runs"]:
+            assert a[i : i + n] == b[j : j + n] and n >= 200
+            assert (i == 0 or j == 0 or a[i - 1] != b[j - 1]) and a[i + n : i + n + 1] != b[j + n : j + n + 1]
+        if r["id_a"] == 3:
+            assert all(any(p["b"] <= x < p["b_end"] for p in r["passages"]) for x in range(len(b)) if b.find(block, max(0, x - 249), x + 250) >= 0)
+    shared = {r["id"]: r["shared_chars"] for r in shared_spans.shared_share(df, pairs, classes).collect()}
+    grams = {i: {t[j : j + 200] for j in range(len(t) - 199)} for i, t in rows}
+    for i, t in rows:
+        covered = set()
+        for j in range(len(t) - 199):
+            if any(t[j : j + 200] in grams[o] for o in own if o != i):
+                covered |= set(range(j, j + 200))
+        assert shared[i] == len(covered), i
+
+
+def test_passages_of_pairs_with_many_seeds(spark):
+    rng = random.Random(16)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    edited = lambda t, step: "".join(t[i : i + step - 1] + "X" for i in range(0, len(t), step))
+    long, short = text(60_000), text(2000)
+    cases = [(long, edited(long, 400)), (short + "=" * 3000, edited(short, 39) + "=" * 2500)]
+    for a, b in cases:
+        pairs, _ = shared_spans.shared_spans(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), span=40, k=20)
+        passages = pairs.first()["passages"]
+        best = max(passages, key=lambda p: min(p["a_end"], len(a.rstrip("="))) - p["a"])
+        assert min(best["a_end"], len(a.rstrip("="))) - best["a"] > 0.9 * len(a.rstrip("="))
+
+
 # all queries
 
 
