@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -73,6 +74,19 @@ def _rows_with(hit: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offs, hit, side="right") - 1)
 
 
+def _mixed(cps: np.ndarray, offs: np.ndarray, script: np.ndarray) -> dict[int, list[str]]:
+    """The mixed-script words of each text that has any."""
+    mixed: dict[int, list[str]] = {}
+    start, end, text = tk.words(cps, offs)
+    if len(start):
+        high = np.maximum.reduceat(script, start)
+        low = np.minimum.reduceat(np.where(script == 0, 255, script), start)
+        # reduceat runs to the next word's start; between words there are no letters
+        for w in np.flatnonzero((high > 0) & (low < high)):
+            mixed.setdefault(int(text[w]), []).append("".join(map(chr, cps[start[w] : end[w]])))
+    return mixed
+
+
 def look(texts: pa.Array, model: langid.Model | None, by_sentence: bool = True) -> tuple[np.ndarray, dict[int, list[str]]]:
     """(kinds of oddities of each text as bits, the mixed-script words of those that have any)."""
     cps, offs = tk.codepoints(texts)
@@ -90,13 +104,7 @@ def look(texts: pa.Array, model: langid.Model | None, by_sentence: bool = True)
     script = scripts()[cps]
     foreign = script > LATIN
     if foreign.any():
-        start, end, text = tk.words(cps, offs)
-        if len(start):
-            high = np.maximum.reduceat(script, start)
-            low = np.minimum.reduceat(np.where(script == 0, 255, script), start)
-            # reduceat runs to the next word's start; between words there are no letters
-            for w in np.flatnonzero((high > 0) & (low < high)):
-                mixed.setdefault(int(text[w]), []).append("".join(map(chr, cps[start[w] : end[w]])))
+        mixed = _mixed(cps, offs, script)
         out[list(mixed)] |= FOREIGN
         forms = np.isin(cps, [ord(c) for x in (YEH, KAF) for c in x.values()])
         if forms.any() and model is not None:
@@ -223,14 +231,40 @@ def _patterns() -> tuple:
     return regex.compile(f"[{regex.escape(drop, special_only=False)}]"), regex.compile(f"[{regex.escape(blank, special_only=False)}]"), frozenset(compatible)
 
 
-def repair(text: str, words: dict[str, str], persian: bool | None = None) -> str:
-    """The text in its consistent form: invisible signs dropped, blanks to spaces, compatibility forms and marks to ordinary
-    letters, mixed-script words by the given table, and yeh and kaf as the language has them."""
+@lru_cache(None)
+def _marked() -> re.Pattern:
+    """A word with the combining marks on its letters."""
+    marks = re.escape("".join(map(chr, np.flatnonzero(signs() == MARK))))
+    return re.compile(f"[^\\W_](?:[^\\W_]|[{marks}])*")
+
+
+def plain(text: str) -> str:
+    """Invisible signs dropped, blanks to spaces, compatibility forms and marks to ordinary letters."""
     drop, blank, compatible = _patterns()
     text = blank.sub(" ", drop.sub("", text))
-    text = unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in compatible else c for c in text))
+    return unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in compatible else c for c in text))
+
+
+def words_to_replace(texts: list[str]) -> list[list[str]]:
+    """The mixed-script words of each plain text, those with marks that no composed letter holds as wholes and in their parts."""
+    col = pa.array(texts, pa.string())
+    cps, offs = tk.codepoints(col)
+    script = scripts()[cps]
+    mixed = _mixed(cps, offs, script) if (script > LATIN).any() else {}
+    for i in _rows_with(np.flatnonzero(signs()[cps] == MARK), offs):
+        found = [w for w in _marked().findall(texts[int(i)]) if not w.isascii() and len({int(scripts()[ord(c)]) for c in w} - {0}) > 1]
+        if found:
+            mixed.setdefault(int(i), []).extend(found)
+    return [sorted(set(mixed.get(i, ()))) for i in range(len(texts))]
+
+
+def repair(text: str, words: dict[str, str], persian: bool | None = None) -> str:
+    """The text in its consistent form: made plain, mixed-script words by the given table, and yeh and kaf as the language
+    has them."""
+    text = plain(text)
     if words:
-        text = tk.WORD.sub(lambda m: words.get(m[0], m[0]), text)
+        text = _marked().sub(lambda m: words.get(m[0]) or tk.WORD.sub(lambda w: words.get(w[0], w[0]), m[0]), text)
+        text = unicodedata.normalize("NFC", text)
     if persian is not None:
         a, b = ("ar", "fa") if persian else ("fa", "ar")
         text = text.replace(YEH[a], YEH[b]).replace(KAF[a], KAF[b])
@@ -241,16 +275,34 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
     """(id, field_name, kinds, text): the fields that find_lookalikes names, in their consistent form (a list as a JSON array).
 
     A mixed-script word is replaced only if the word that comes out stands somewhere in the fields of df, in its dominant
-    script if that is there, else in another; words are looked up in lower case. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
+    script if that is there, else in another; words are looked up in lower case, as they are once the field is plain. kinds
+    tells what the field had before. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
     """
     models = fit_models(df, id_col, fields)
-    found = stage(find_lookalikes(df, id_col, fields, models), "lookalikes")
+    found = find_lookalikes(df, id_col, fields, models).select("id", "field_name", "kinds")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tk.slices(whole, "text"):
+                fields_of = zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True)
+                texts = ["\n".join(plain(x) for x in ([t] if parts is None else parts) if x is not None) for t, parts in fields_of]
+                yield pa.record_batch([*batch.columns, pa.array(words_to_replace(texts), pa.list_(pa.string()))], [*batch.schema.names, "words"])
+
+    cells = []
+    for f in fields:
+        is_list = df.schema[f].dataType.simpleString().startswith("array")
+        none = F.lit(None)
+        cells.append(F.struct(F.lit(f).alias("field_name"), (none.cast("string") if is_list else F.col(f)).alias("text"), (F.col(f) if is_list else none.cast("array<string>")).alias("parts")))
+    long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
+    kind = df.schema[id_col].dataType.simpleString()
+    odd = long.join(found, ["id", "field_name"]).mapInArrow(collect, f"id {kind}, field_name string, text string, parts array<string>, kinds int, words array<string>")
+    odd = stage(odd, "lookalikes")
     # words are matched as they are after the other repairs
-    words = found.select(F.explode("words").alias("word")).distinct()
+    words = odd.select(F.explode("words").alias("word")).distinct()
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, k, s) for w in batch.column("word").to_pylist() for k, s in enumerate(substitutes(w))]
+            found = [(w, k, unicodedata.normalize("NFC", s)) for w in batch.column("word").to_pylist() for k, s in enumerate(substitutes(w))]
             subs = [s for *_, s in found]
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
             columns = ([w for w, *_ in found], [k for _, k, _ in found], subs, word_key(subs))
@@ -261,7 +313,7 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
     vocabulary = texts.mapInArrow(_vocabulary, "key bigint").distinct()
     proposals = words.mapInArrow(propose, "word string, rank int, sub string, key bigint").join(vocabulary, "key", "left_semi")
     chosen = proposals.groupBy("word").agg(F.min_by("sub", "rank").alias("sub"))
-    per_row = found.select("id", "field_name", F.explode("words").alias("word")).join(chosen, "word").groupBy("id", "field_name").agg(F.map_from_entries(F.collect_set(F.struct("word", "sub"))).alias("subs"))
+    per_row = odd.select("id", "field_name", F.explode("words").alias("word")).join(chosen, "word").groupBy("id", "field_name").agg(F.map_from_entries(F.collect_set(F.struct("word", "sub"))).alias("subs"))
     shared = df.sparkSession.sparkContext.broadcast(dict(zip(fields, models, strict=True)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +337,5 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
                 out.append(fix(text) if parts is None else json.dumps([None if x is None else fix(x) for x in parts], ensure_ascii=False))
             yield pa.record_batch([*(batch.column(c) for c in ("id", "field_name", "kinds")), pa.array(out, pa.string())], ["id", "field_name", "kinds", "text"])
 
-    cells = []
-    for f in fields:
-        is_list = df.schema[f].dataType.simpleString().startswith("array")
-        none = F.lit(None)
-        cells.append(F.struct(F.lit(f).alias("field_name"), (none.cast("string") if is_list else F.col(f)).alias("text"), (F.col(f) if is_list else none.cast("array<string>")).alias("parts")))
-    long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
-    rows = long.join(found.select("id", "field_name", "kinds"), ["id", "field_name"]).join(per_row, ["id", "field_name"], "left")
-    return rows.mapInArrow(apply, f"id {df.schema[id_col].dataType.simpleString()}, field_name string, kinds int, text string")
+    rows = odd.drop("words").join(per_row, ["id", "field_name"], "left")
+    return rows.mapInArrow(apply, f"id {kind}, field_name string, kinds int, text string")

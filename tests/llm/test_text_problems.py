@@ -165,6 +165,19 @@ def test_substitutes():
     assert lookalikes.substitutes("gжz") == []
 
 
+def test_repair_of_words_with_two_disguises(spark):
+    cases = {
+        "pay\u200bp\u0430l": "paypal", "payp\u200b\u0430\u200bl": "paypal", "\uff50ayp\u0430l": "paypal", "\u0441afe\u0301": "caf\u00e9", "caf\u0435\u0301": "caf\u00e9", "r\u0435\u0301sum\u0435\u0301.": "r\u00e9sum\u00e9.",
+        "p\u0430yp\u0430l and c\u0430f\u00e9": "paypal and caf\u00e9", "p\u0430ypal\u0303": "paypal\u0303", "zz\u0430\u200bz": "zz\u0430z",
+    }
+    rows = [(i, t, [t, None], "en") for i, t in enumerate(cases)] + [(99, "Paypal café résumé", ["ok"], "en")]
+    df = spark.createDataFrame(rows, "row_id long, state string, choices array<string>, lang string")
+    got = {(r["id"], r["field_name"]): r["text"] for r in lookalikes.repair_lookalikes(df, "row_id", {"state": "lang", "choices": None}).collect()}
+    for i, want in enumerate(cases.values()):
+        assert got[i, "state"] == want and got[i, "choices"] == f'["{want}", null]', i
+    assert len(got) == 2 * len(cases)
+
+
 # 7: tokens
 
 
