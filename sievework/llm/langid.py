@@ -314,6 +314,14 @@ def _sample(df: DataFrame, text: Column, label: Column, id_col: str, per_languag
     return got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), labels
 
 
+def _with_lacking(own: tuple[pa.Array, np.ndarray], other: tuple[pa.Array, np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """A field's labelled texts, and the other field's of the languages that it has none of."""
+    lacking = ~np.isin(other[1], own[1])
+    if not lacking.any():
+        return own
+    return pa.concat_arrays([own[0].cast(pa.string()), other[0].cast(pa.string()).filter(pa.array(lacking))]), np.concatenate([own[1], other[1][lacking]])
+
+
 def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices: str = "choices", state_label: str = "state_lang", choice_label: str = "choice_lang", per_language: int = 1000, min_letters: int = 15, margin: float = 0.05, seed: int = 0) -> DataFrame:
     """(id, field_name, lang, confidence, letters, n_langs, fits): for each row the language of its options, and of its state
     each language that has at least one whole sentence, with the letters seen as its own (for the main language, all of the
@@ -324,18 +332,20 @@ def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices:
     has min_letters letters and its cosine with that language's prototype is greater by `margin`; shorter ones, phrases,
     names and codes are not. Stretches without a sentence mark are looked at in parts of 32 letters as well. Null and blank texts, empty lists and texts without a letter give no row; the order of equal
     cosines is that of LANGUAGES. Prototypes are fitted on about per_language rows of each language, drawn over the whole
-    table (the bound on what the driver reads); all rows are then labelled in one pass without a shuffle. Without any usable
-    label, nothing can be fitted and no row comes out.
+    table (the bound on what the driver reads); all rows are then labelled in one pass without a shuffle. A language
+    that no label of one field names is fitted on the other field's texts. Without any usable label in either, nothing can be
+    fitted and no row comes out.
     """
     joined = F.concat_ws(" | ", F.col(choices))
     parts = [_sample(df, F.col(state), F.col(state_label), id_col, per_language, seed), _sample(df, joined, F.col(choice_label), id_col, per_language, seed)]
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, field_name string, lang string, confidence double, letters int, n_langs int"
-    if not all(len(t) for t, _ in parts):
+    if not any(len(t) for t, _ in parts):
         return df.sparkSession.createDataFrame([], f"{schema}, fits boolean")
     states, options = parts
-    texts, of = _flat([strings_of(s) for s in states[0].to_pylist()])
-    models = [Model(4096, seed=seed).fit(texts, states[1][of]), Model(32768, seed=seed).fit(*options)]
+    texts, of = _flat([strings_of(s) for s in states[0].to_pylist()]) if len(states[0]) else states
+    states = (texts, states[1][of] if len(of) else of)
+    models = [Model(4096, seed=seed).fit(*_with_lacking(states, options)), Model(32768, seed=seed).fit(*_with_lacking(options, states))]
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(models)
 

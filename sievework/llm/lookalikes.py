@@ -175,7 +175,8 @@ def find_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None], m
     """(id, field_name, kinds, words): each field (text, or list of texts, taken together) that holds a character with a
     compatibility form, a mark where a composed letter exists, an invisible character, a blank other than the space, a letter
     of another script inside a word, or yeh or kaf in the form of the other of Persian and Arabic. fields maps each to the
-    column of its language label or None. kinds has a bit for each of KINDS, words are the mixed-script words.
+    column of its language label or None; the labels of all fields together must name both Persian and Arabic, else the two can't
+    be told apart and yeh and kaf are not looked at. kinds has a bit for each of KINDS, words are the mixed-script words.
 
     Tabs and line breaks, typographic quotes, dashes and dots, emoji selectors and whole words in another script are
     ordinary. Null and empty fields hold nothing. One pass without a shuffle.

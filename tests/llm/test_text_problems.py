@@ -117,6 +117,18 @@ def test_languages(spark):
     assert langid.detect_languages(df.limit(0), "row_id").collect() == []
 
 
+@pytest.mark.parametrize("missing", ["state_lang", "choice_lang"])
+def test_languages_with_labels_of_one_field(spark, missing):
+    rows = [r for r in language_rows(random.Random(3)) if r[3] != "??"]
+    df = spark.createDataFrame(rows, "row_id long, state string, choices array<string>, state_lang string, choice_lang string")
+    got = {}
+    for r in langid.detect_languages(df.withColumn(missing, F.lit(None).cast("string")), "row_id").collect():
+        got.setdefault((r["id"], r["field_name"]), {})[r["lang"]] = r["fits"]
+    field, labelled = ("state", "choices") if missing == "state_lang" else ("choices", "state")
+    assert all(got[r[0], labelled] == {r[4]: True} for r in rows)
+    assert all((r[0], field) in got and not any(got[r[0], field].values()) for r in rows)
+
+
 def test_held_out_accuracy():
     rng = random.Random(4)
     rows = language_rows(rng)
