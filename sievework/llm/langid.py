@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sievework.functions import textkernel as tk
 
 LANGUAGES = ("en", "de", "fr", "es", "ru", "tr", "fa", "ar")
+#: The script group (see letters) of each language, and the fewest letters of a sentence that its script alone gives away.
+SCRIPT, SHORT = np.array([1, 1, 1, 1, 2, 1, 3, 3]), 5
 BOUNDARY, FOREIGN = 0, 1
 #: A part of a stretch must lead by so much more than a whole sentence.
 PART_MARGIN = 0.01
@@ -276,6 +278,20 @@ def _detect(states: Model, choices: Model, min_letters: int, margin: float, part
                     known.append(lang)
                     mine = group[new & (leader == lang)]
                     found[i][lang] = [float(confidence(cosines[mine])[:, lang].max()), int(n[mine].sum())]
+            # shorter sentences in a script that none of the row's languages is written in
+            short: dict[tuple[int, int], list[int]] = {}
+            group = letters()[1][cps]
+            high = np.maximum.reduceat(group, starts)
+            low = np.minimum.reduceat(np.where(group == 0, 9, group), starts)
+            n = n[: len(own)]
+            for k in np.flatnonzero((n >= SHORT) & (n < min_letters) & (high == low) & (high != SCRIPT[best[row[: len(own)]]])):
+                i, script = int(row[k]), int(high[k])
+                stretch = "".join(map(chr, cps[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(cps)])).rstrip(" \r\n\t\"'”)»")
+                if script not in SCRIPT[list(found[i])] and stretch and stretch[-1] in ".!?؟…" and sum(w[0].isalpha() for w in tk.WORD.findall(stretch)) > 1:
+                    short.setdefault((i, script), []).append(k)
+            for (i, script), mine in short.items():
+                lang = int(np.where(SCRIPT == script, weighed[mine].sum(0), -np.inf).argmax())
+                found[i][lang] = [float(confidence(cosines[mine])[:, lang].max()), int(n[mine].sum())]
         for i, langs in found.items():
             for lang, (p, size) in langs.items():
                 yield ids[i], name, str(names[lang]), p, size, len(langs)
@@ -329,8 +345,9 @@ def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices:
     fits: the label of the field names that language.
 
     Of a JSON state the string values count, not its keys. A sentence is in another language than the state's main one if it
-    has min_letters letters and its cosine with that language's prototype is greater by `margin`; shorter ones, phrases,
-    names and codes are not. Stretches without a sentence mark are looked at in parts of 32 letters as well. Null and blank texts, empty lists and texts without a letter give no row; the order of equal
+    has min_letters letters and its cosine with that language's prototype is greater by `margin`; phrases,
+    names and codes are not. A shorter one counts only if it is written in a script of none of the state's other languages,
+    ends in a sentence mark and has two words and SHORT letters. Stretches without a sentence mark are looked at in parts of 32 letters as well. Null and blank texts, empty lists and texts without a letter give no row; the order of equal
     cosines is that of LANGUAGES. Prototypes are fitted on about per_language rows of each language, drawn over the whole
     table (the bound on what the driver reads); all rows are then labelled in one pass without a shuffle. A language
     that no label of one field names is fitted on the other field's texts. Without any usable label in either, nothing can be

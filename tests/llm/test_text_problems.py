@@ -117,6 +117,20 @@ def test_languages(spark):
     assert langid.detect_languages(df.limit(0), "row_id").collect() == []
 
 
+def test_short_sentences_in_another_script(spark):
+    rows = language_rows(random.Random(8))
+    n = len(rows)
+    cases = [(f"{PHRASES['fa']}. C'est tout. {PHRASES['fa']}.", True), (f"{PHRASES['en']}. Да, так! {PHRASES['en']}.", True), (f"{PHRASES['fa']}. Tanetrog {PHRASES['fa']}.", False), (f"{PHRASES['ru']}. OK. {PHRASES['ru']}.", False)]
+    rows += [(n + i, t, ["yes", "no"], None, None) for i, (t, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "row_id long, state string, choices array<string>, state_lang string, choice_lang string")
+    got = {}
+    for r in langid.detect_languages(df, "row_id").where("field_name = 'state'").collect():
+        got.setdefault(r["id"], set()).add(r["lang"])
+    assert [len(got[n + i]) > 1 for i in range(len(cases))] == [two for _, two in cases]
+    assert got[n + 1] == {"en", "ru"} and "fa" in got[n]
+    assert all(got[r[0]] == {r[4]} for r in rows[:n])
+
+
 @pytest.mark.parametrize("missing", ["state_lang", "choice_lang"])
 def test_languages_with_labels_of_one_field(spark, missing):
     rows = [r for r in language_rows(random.Random(3)) if r[3] != "??"]
