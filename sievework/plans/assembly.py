@@ -198,7 +198,7 @@ def a46_by_language(spark, d):
 
 @query()
 def e10_bootstrap_by_suite(spark, d):
-    return metrics.bootstrap_ci(_ev(spark, d), ["system_name", "suite"], F.md5("state"), draws=200, blocks=512)
+    return metrics.bootstrap_ci(_ev(spark, d), ["system_name", "suite"], F.md5("state"))
 
 
 QUERIES = Q

@@ -54,3 +54,14 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_bootstrap_by_suite_has_the_operators_defaults(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators.metrics import bootstrap_ci
+    from sievework.plans.evaluation import _ev
+
+    want = bootstrap_ci(_ev(spark, SF), ["system_name", "suite"], F.md5("state"), draws=1000, blocks=4096)
+    assert rows(entry.queries()["e10_bootstrap_by_suite"](spark, SF).toPandas()) == rows(want.toPandas())
