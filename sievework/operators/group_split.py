@@ -6,25 +6,13 @@ import heapq
 import json
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.text import split_name, trimmed_lower
 from sievework.operators.hash_rank import hash_rank
 from sievework.session import stage
 
-OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-
-
-def trimmed_lower(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, OUTER, ""))
-
-
-def split_name(c: Column) -> Column:
-    """The split meant, however spelled: outer blanks and case mean nothing, dev and validation are val."""
-    s = trimmed_lower(c)
-    return F.when(s.isin("dev", "validation"), "val").otherwise(s)
-
-
 class Flow:
     """Successive shortest paths with potentials over a small graph."""
 

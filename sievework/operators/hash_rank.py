@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_rank(df: DataFrame, key: str, id_col: str, weight: str | None = None, seed: int = 0, per_bucket: int = 2000) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, id_col: str, weight: str | None = None, seed: int = 0, per_bucket: int = 2000, few_keys: bool = False) -> DataFrame:
     """df with `rank` (from 1, in the order of a seeded hash of id_col, then id_col, within key) and, with a weight column,
     `before`: the summed weight of the earlier rows.
 
     The hash range of a key is cut into as many buckets as keep about per_bucket rows each. Counts per bucket give each
-    bucket's offset; only the order inside a bucket needs a window. Keys must be few enough to broadcast (callers bound
-    them); the number of rows of a key is unbounded. Null keys form a key of their own.
+    bucket's offset; only the order inside a bucket needs a window. Neither the keys nor the rows of a key are bounded;
+    few_keys says that the caller bounds the keys, whose sizes are broadcast then. Null keys form a key of their own.
     """
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") / F.lit(float(1 << 53))
     k = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
     rows = df.withColumn("_k", k).withColumn("_u", u)
     sizes = rows.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / per_bucket).alias("_buckets"))
-    rows = rows.join(F.broadcast(sizes), "_k").withColumn("_bucket", F.floor(F.col("_u") * F.col("_buckets")))
+    rows = rows.join(F.broadcast(sizes) if few_keys else sizes, "_k").withColumn("_bucket", F.floor(F.col("_u") * F.col("_buckets")))
     w = F.col(weight) if weight else F.lit(0)
     counts = rows.groupBy("_k", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(w).alias("_w"))
     earlier = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators.key_filter import rows_in
+from sievework.operators.word_rarity import enough, set_prefixes, word_rarity
+from sievework.session import stage
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,14 +26,23 @@ def drop_conflicts(df: DataFrame, key: Column, label: str, order: list[str]) ->
 
 
 def cap_per(df: DataFrame, keys: list[str], n: int, id_col: str, seed: int = 0) -> DataFrame:
-    """At most n rows of each key, the first in the order of a seeded hash. Rows beyond n fall away in a threshold per salted
-    part first, so no task sorts a whole hot key: n rows of each of 32 parts hold the n first of all."""
+    """At most n rows of each key, the first in the order of a seeded hash. A hash range of the key that surely holds n rows
+    is found from counts by the hash's leading bits, so whatever lies beyond falls away before anything is sorted: about n
+    rows of a key reach its window, however many it has."""
     h = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = df.withColumn("_h", h).withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(32)))
-    part = Window.partitionBy(*keys, "_part").orderBy("_h", id_col)
-    kept = rows.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= n)
+    # the hash in its order, cut into 64 ranges an octave: ranges near the start are fine, as a hot key needs few of its rows
+    rows = df.withColumn("_h", F.shiftrightunsigned(h, 1))
+    rows = rows.withColumn("_range", F.floor(F.log2(F.col("_h") + 1.0) * 64))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    last = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_b") < n).groupBy(*keys).agg(F.max("_range").alias("_last"))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    kept = rows.alias("a").join(last.alias("b"), on & (F.col("a._range") <= F.col("b._last"))).select("a.*")
     whole = Window.partitionBy(*keys).orderBy("_h", id_col)
-    return kept.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= n).drop("_h", "_part", "_n")
+    return kept.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= n).drop("_h", "_range", "_n")
 
 
 def round_robin(df: DataFrame, source: str, order: list[str], quota: int, source_cap: int) -> DataFrame:
@@ -58,20 +70,22 @@ def segments(df: DataFrame, id_col: str, text: str, least: int = 8, prefix: int
 
 def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, sets: str, threshold: float = 0.8, least: int = 5) -> DataFrame:
     """(id_a, id_b, jaccard): pairs of a left and a right row whose string sets are at least `threshold` similar, both of at
-    least `least` members. Members are ordered by how many rows have them; a pair must share one of each side's rarest
-    n - ceil(threshold n) + 1, so only these are joined, with a bound on positions, and the sets compared exactly."""
-    both = left.select(F.col(id_col).alias("id"), F.col(sets).alias("s"), F.lit(0).alias("side")).unionByName(right.select(F.col(id_col).alias("id"), F.col(sets).alias("s"), F.lit(1).alias("side")))
-    both = both.where(F.size("s") >= least)
-    members = both.select("id", "side", F.size("s").alias("n"), F.explode("s").alias("m"))
-    df = members.groupBy("m").agg(F.count(F.lit(1)).alias("df"))
-    ranked = members.join(df, "m").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = ranked.select("side", "id", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "e")).select("side", "id", "n", "i", F.col("e.m").alias("m"))
-    a = prefix.where("side = 0").select("m", F.col("id").alias("id_a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = prefix.where("side = 1").select("m", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    least_common = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    near = a.join(b, "m").where((F.col("na") - F.col("ia") >= least_common) & (F.col("nb") - F.col("ib") >= least_common)).select("id_a", "id_b").distinct()
-    pairs = near.join(left.select(F.col(id_col).alias("id_a"), F.col(sets).alias("sa")), "id_a").join(right.select(F.col(id_col).alias("id_b"), F.col(sets).alias("sb")), "id_b")
+    least `least` members; ids are unique on each side. Members are ordered by how common they are; a pair must share one of
+    each side's rarest n - ceil(threshold n) + 1, so only the hashes of these are shuffled and joined, with a bound on
+    positions. The sets of candidates alone are fetched, and compared exactly."""
+    sides = [x.select(F.lit(i).alias("side"), F.col(id_col).alias("id"), F.col(sets).alias("s")).where(F.size("s") >= least) for i, x in enumerate((left, right))]
+    both = sides[0].unionByName(sides[1])
+    kind = both.schema["id"].dataType.simpleString()
+    rarity = word_rarity(both.select(F.col("s").alias("text")))
+    signed = both.mapInArrow(set_prefixes(rarity, threshold), f"side int, id {kind}, n int, prefix array<bigint>")
+    keys = signed.select("side", "id", "n", F.posexplode("prefix").alias("at", "key"))
+    a = keys.where("side = 0").select("key", F.col("id").alias("id_a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = keys.where("side = 1").select("key", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    common = enough(F.col("na"), F.col("nb"), threshold)
+    near = a.join(b, "key").where((F.col("na") - F.col("ia") >= common) & (F.col("nb") - F.col("ib") >= common)).select("id_a", "id_b").distinct()
+    near = stage(near, "near-sets")
+    of_a, of_b = (rows_in(x.select("id", "s"), "id", stage(near.select(F.col(c).alias("id")).distinct(), "near-ids")).withColumnsRenamed({"id": c, "s": v}) for x, c, v in ((sides[0], "id_a", "sa"), (sides[1], "id_b", "sb")))
+    pairs = near.join(of_a, "id_a").join(of_b, "id_b")
     return pairs.withColumn("jaccard", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("jaccard") >= threshold).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 

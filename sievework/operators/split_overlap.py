@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
-from sievework.operators.group_split import split_name
+from sievework.functions.text import split_name
 from sievework.operators.word_rarity import BUCKETS, word_rarity
 from sievework.session import stage
 

@@ -60,16 +60,20 @@ def a08_macro_f1_union(spark, d):
     return M.macro_f1(_texts(_ev(spark, d)), KEYS, F.col("gold_text"), F.col("pred_text"), union=True)
 
 
+def _grid(spark, d, items):
+    """Every system by every suite with the suite's number of items: two short lists, whatever the number of items."""
+    suites = items.groupBy("suite").agg(F.count(F.lit(1)).alias("n_items"))
+    return table(spark, d, "preds").select("system_name").distinct().crossJoin(suites)
+
+
 def a09_conservative_f1(spark, d):
-    """Unanswered items count in the denominator of their gold label."""
+    """Unanswered items count in the denominator of their gold label; a label without any answer has F1 0."""
     items = table(spark, d, "items").where("split = 'eval' AND group_id IS NULL")
-    goals = items.select("suite", "id", A.at(F.col("choices"), F.col("gold")).alias("label")).groupBy("suite", "label").agg(F.count(F.lit(1)).alias("n_items"))
-    counts = M.label_counts(_texts(_ev(spark, d)), KEYS, F.col("gold_text"), F.col("pred_text"))
-    systems = table(spark, d, "preds").select("system_name").distinct()
-    grid = goals.crossJoin(F.broadcast(systems.limit(10_000)))  # a list of systems
-    full = grid.join(counts, ["system_name", "suite", "label"], "left").na.fill(0, ["tp", "n_gold", "n_pred"])
-    tp, fn, fp, missing = F.col("tp"), F.col("n_gold") - F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_items") - F.col("n_gold")
-    return full.groupBy(*KEYS).agg(_r(F.avg(2 * tp / (2 * tp + fp + fn + missing)), "f1"))
+    goals = items.select("suite", A.at(F.col("choices"), F.col("gold")).alias("label")).groupBy("suite", "label").agg(F.count(F.lit(1)).alias("n_items"))
+    counts = M.label_counts(_texts(_ev(spark, d)), KEYS, F.col("gold_text"), F.col("pred_text")).join(goals, ["suite", "label"])
+    sums = counts.groupBy(*KEYS).agg(F.sum(2 * F.col("tp") / (F.col("n_pred") + F.col("n_items"))).alias("f1"))
+    labels = goals.groupBy("suite").agg(F.count(F.lit(1)).alias("n"))
+    return _grid(spark, d, items).join(labels, "suite").join(sums, KEYS, "left").select(*KEYS, _r(F.coalesce("f1", F.lit(0.0)) / F.col("n"), "f1"))
 
 
 def _ndcg(spark, d):
@@ -103,12 +107,13 @@ def a13_case_exact(spark, d):
 
 def a14_valid_groups(spark, d):
     """A case counts only if every item of it was answered."""
-    items = table(spark, d, "items").where("split = 'eval' AND group_id IS NULL").select("suite", "id", F.md5("state").alias("case"))
-    systems = table(spark, d, "preds").select("system_name").distinct()
-    grid = items.crossJoin(F.broadcast(systems.limit(10_000)))
-    full = grid.join(_ev(spark, d).select("system_name", "id", "correct"), ["system_name", "id"], "left")
-    cases = full.groupBy("system_name", "suite", "case").agg(F.bool_and(F.col("correct").isNotNull()).alias("good"), F.coalesce(F.sum("correct"), F.lit(0)).alias("right"), F.count(F.lit(1)).alias("n"))
-    return cases.groupBy(*KEYS).agg(F.sum(F.col("good").cast("int")).alias("n_good"), _r(F.sum(F.when(F.col("good"), F.col("right")).otherwise(0)) / F.sum("n"), "score"))
+    items = table(spark, d, "items").where("split = 'eval' AND group_id IS NULL")
+    cases = items.groupBy("suite", F.md5("state").alias("case")).agg(F.count(F.lit(1)).alias("n"))
+    got = _ev(spark, d).groupBy(*KEYS, F.md5("state").alias("case")).agg(F.count(F.lit(1)).alias("answered"), F.sum("correct").alias("right"))
+    good = got.join(cases, (got["suite"] == cases["suite"]) & got["case"].eqNullSafe(cases["case"]) & (got["answered"] == cases["n"])).select("system_name", got["suite"], "right")
+    sums = good.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_good"), F.sum("right").alias("right"))
+    full = _grid(spark, d, items).join(sums, KEYS, "left").na.fill(0, ["n_good", "right"])
+    return full.select(*KEYS, "n_good", _r(F.col("right") / F.col("n_items"), "score"))
 
 
 def a15_macro_by_lang(spark, d):
@@ -159,7 +164,7 @@ def a21_temperature(spark, d):
 
 def a22_tempered_ece(spark, d):
     fit = a21_temperature(spark, d).select("system_name", "temperature")
-    rows = _ev(spark, d).where("kind <> 'rank'").join(F.broadcast(fit.limit(10_000)), "system_name")
+    rows = _ev(spark, d).where("kind <> 'rank'").join(fit, "system_name")
     rows = rows.withColumn("top", F.array_max(A.temper(F.col("p"), F.col("temperature"))))
     return M.ece(rows, ["system_name"], 15)
 

@@ -30,13 +30,15 @@ def get_spark(master: str = "local[8]", app: str = "sievework", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset (tests, local mode)
-    a temporary folder of this machine stands in."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only in local mode, where that is unset (tests),
+    a temporary folder of this machine stands in; on a cluster that is an error."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + os.path.join(tempfile.gettempdir(), f"sievework-{os.getpid()}")
         sc.setCheckpointDir(d)
     return d.rstrip("/")
