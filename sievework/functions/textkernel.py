@@ -121,23 +121,34 @@ def _codes(seed: int) -> np.ndarray:
 
 class Rolling:
     """Rolling polynomial hashes modulo 2^64 over an array of code points or bytes: the hash of any stretch is one subtraction and one
-    product, and depends on its symbols alone."""
+    product, and depends on its symbols alone. With skip, symbols that are 0 are passed over as if they were not there, so a
+    stretch has the hash of its other symbols, which are never put together."""
 
-    def __init__(self, symbols: np.ndarray, seed: int = 1, base: int = BASE):
+    def __init__(self, symbols: np.ndarray, seed: int = 1, base: int = BASE, skip: bool = False):
         self.base = base
         n = len(symbols)
+        self.rank = None
         with np.errstate(over="ignore"):
             coded = _codes(seed)[symbols]
-            coded *= powers(pow(base, -1, 1 << 64), n + 1)[:n]
+            falling = powers(pow(base, -1, 1 << 64), n + 1)
+            if skip:
+                counts = symbols > 0
+                self.rank = np.zeros(n + 1, np.int64)
+                np.cumsum(counts, out=self.rank[1:])
+                coded *= counts
+                coded *= falling[self.rank[:-1]]
+            else:
+                coded *= falling[:n]
             self.sums = np.zeros(n + 1, np.uint64)
             np.cumsum(coded, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = (start, end) if self.rank is None else (self.rank[start], self.rank[end])
         with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * powers(self.base, len(self.sums))[start] + (end - start).astype(np.uint64))
+            return mix((self.sums[end] - self.sums[start]) * powers(self.base, len(self.sums))[a] + (b - a).astype(np.uint64))
 
     def windows(self, k: int) -> np.ndarray:
-        """The hash of every stretch of k symbols."""
+        """The hash of every stretch of k symbols (without skip)."""
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)

@@ -47,3 +47,12 @@ def test_slices_cover_batches():
     parts = list(tk.slices(batch, "text", 1 << 20))
     assert sum(p.num_rows for p in parts) == 5 and len(parts) >= 2
     assert list(tk.slices(batch.slice(0, 0), "text")) == []
+
+
+def test_skipped_symbols_leave_no_trace():
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 4, 500).astype(np.uint32)
+    h = tk.Rolling(symbols, skip=True)
+    a, b = np.sort(rng.integers(0, 501, (2, 200)), axis=0)
+    whole = [tk.Rolling(symbols[i:j][symbols[i:j] > 0]).of(np.array([0]), np.array([int((symbols[i:j] > 0).sum())]))[0] for i, j in zip(a, b, strict=True)]
+    assert (h.of(a, b) == np.array(whole)).all()
