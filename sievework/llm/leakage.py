@@ -6,19 +6,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
-from sievework.operators.word_rarity import BUCKETS, word_rarity
+from sievework.operators.key_filter import likely_in, rows_in
+from sievework.operators.word_rarity import bucket, word_rarity
 from sievework.session import stage
 
-#: So many pairs of equal shingles of a document and a text are followed one by one; beyond it all windows are compared.
-MANY = 1024
+
+def _windows(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive values."""
+    m = len(values) - n + 1
+    out = np.zeros(max(0, m), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = tk.mix(out * np.uint64(tk.BASE) + values[j : j + m]) if m > 0 else out
+    return out
 
 
 def _prefixes(rarity: np.ndarray, run_length: int, shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each text the shingles that the prefix filter needs: of every window of run_length words, the rarest one."""
+    """For each text the shingles that the prefix filter needs: of every window of run_length words, the rarest one, with its
+    places and the number of the text's words."""
+    seen = rarity.astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -28,69 +38,70 @@ def _prefixes(rarity: np.ndarray, run_length: int, shingle: int) -> Callable[[It
                 if len(start) < run_length:
                     continue
                 h = tk.word_hashes(cps, start, end)
-                count = np.minimum(rarity[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
-                n = len(h) - shingle + 1
-                rare = tk.sliding(count, shingle, np.minimum)
-                value = np.zeros(n, np.uint64)
-                with np.errstate(over="ignore"):
-                    for j in range(shingle):
-                        value = tk.mix(value * np.uint64(tk.BASE) + h[j : j + n])
-                order = (rare << np.uint64(44)) | (value >> np.uint64(20)) | np.uint64(1)
+                rare = tk.sliding(seen[bucket(h)].astype(np.uint64), shingle, np.minimum)
+                value = _windows(h, shingle)
+                n = len(value)
+                order = (rare << np.uint64(48)) | (value >> np.uint64(16)) | np.uint64(1)
                 whole_window = np.zeros(n, bool)
                 m = len(h) - run_length + 1
                 whole_window[:m] = text[:m] == text[run_length - 1 :]
                 at = tk.minimal(order, run_length - shingle + 1, whole_window)
                 doc, key = text[at], value[at]
-                first_word = np.searchsorted(text, doc)
+                first_word, last_word = np.searchsorted(text, doc), np.searchsorted(text, doc, side="right")
                 by = np.lexsort((at, key, doc))
-                at, doc, key, first_word = at[by], doc[by], key[by], first_word[by]
+                at, doc, key, first_word, size = at[by], doc[by], key[by], first_word[by], (last_word - first_word)[by]
                 new = np.ones(len(at), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
                 first = np.flatnonzero(new)
                 places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at - first_word).astype(np.int32)))
-                yield pa.record_batch([pa.array(key[first].view(np.int64)), batch.column("id").take(pa.array(doc[first])), places], ["key", "id", "at"])
+                yield pa.record_batch([pa.array(key[first].view(np.int64)), batch.column("id").take(pa.array(doc[first])), places, pa.array(size[first].astype(np.int32))], ["key", "id", "at", "n"])
 
     return run
 
 
-def holds_run(doc: list[str], text: list[str], anchors: list[tuple[int, int]], run_length: int) -> bool:
-    """Whether an equal run of run_length words passes through one of the anchors (place in doc, place in text): only the
-    windows that hold the anchor are in question, so at most run_length words to each side are read."""
-    for i, j in anchors:
-        n = 0
-        while n < run_length and i + n < len(doc) and j + n < len(text) and doc[i + n] == text[j + n]:
-            n += 1
-        m = 1
-        while n and m + n <= run_length and i >= m and j >= m and doc[i - m] == text[j - m]:
-            m += 1
-        if n and n + m - 1 >= run_length:
-            return True
-    return False
+def room(at_d: Column, n_d: Column, at_e: Column, n_e: Column, run_length: int) -> Column:
+    """Whether a run of run_length words can pass through an equal shingle at one of these places of both texts: as many words
+    must lie around it on both sides together, within the shorter reach of either text."""
+    return F.exists(at_d, lambda i: F.exists(at_e, lambda j: F.least(i, j) + F.least(n_d - i, n_e - j) >= run_length))
+
+
+class Words:
+    """The words of a column of texts: code points in lower case, their borders, hashes, and those of all runs of n words."""
 
+    def __init__(self, texts: pa.Array, n: int):
+        cps, offs = tk.codepoints(texts)
+        self.start, self.end, text = tk.words(cps, offs)
+        self.low = tk.lower()[cps]
+        self.runs = _windows(tk.word_hashes(cps, self.start, self.end), n)
+        self.first = np.searchsorted(text, np.arange(len(texts) + 1))
+        self.n = n
 
-def _windows(words: list[str], n: int) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    def of(self, i: int) -> np.ndarray:
+        """Hashes of the runs of text i, by their first word."""
+        return self.runs[self.first[i] : max(self.first[i], self.first[i + 1] - self.n + 1)]
+
+    def run(self, i: int, at: int) -> list[bytes]:
+        a = self.first[i] + at
+        return [self.low[self.start[w] : self.end[w]].tobytes() for w in range(a, a + self.n)]
+
+
+def holds_run(d: Words, i: int, e: Words, j: int) -> bool:
+    """Whether text i of d and text j of e hold a run of words in common. Runs of equal hash are compared letter by letter."""
+    a, b = d.of(i), e.of(j)
+    for h in np.intersect1d(a, b):
+        of_b = [e.run(j, int(y)) for y in np.flatnonzero(b == h)]
+        if any(d.run(i, int(x)) in of_b for x in np.flatnonzero(a == h)):
+            return True
+    return False
 
 
 def _verify(run_length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tk.slices(whole, "text_d", 1 << 22):
-                known: dict[str, list[str]] = {}
-
-                def words(s: str, known: dict[str, list[str]] = known) -> list[str]:
-                    if s not in known:
-                        known[s] = tk.word_list(s)
-                    return known[s]
-
-                found = []
-                for d, t, keys in zip(batch.column("text_d").to_pylist(), batch.column("text_e").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                    a, b = words(d), words(t)
-                    if sum(len(k["d"]) * len(k["e"]) for k in keys) > MANY:
-                        found.append(bool(_windows(a, run_length) & _windows(b, run_length)))
-                    else:
-                        found.append(holds_run(a, b, [(i, j) for k in keys for i in k["d"] for j in k["e"]], run_length))
-                yield pa.record_batch([batch.column("id_d"), batch.column("id_e"), pa.array(found)], ["id_d", "id_e", "found"])
+            for batch in tk.slices(whole, "text_d"):
+                d, e = (Words(batch.column(c), run_length) for c in ("text_d", "text_e"))
+                found = [holds_run(d, i, e, i) for i in range(batch.num_rows)]
+                yield pa.record_batch([batch.column("id_d"), batch.column("id_e"), pa.array(found, pa.bool_())], ["id_d", "id_e", "found"])
 
     return run
 
@@ -105,8 +116,9 @@ def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "
     Empty tables give no rows.
 
     Plan: one pass over all texts for the fixed-size table of word rarity; a pass that keeps, of every window of run_length
-    words, the rarest shingle (containment of a window needs it, on both sides); an equi-join of these; then only candidate
-    texts are shuffled and the runs verified around the places of the shingles.
+    words, the rarest shingle (containment of a window needs it, on both sides); an equi-join of these, bounded by whether the
+    texts' lengths and the shingle's places leave room for a run. Then the texts of candidates alone are fetched, by a bounded
+    filter of their ids before the shuffle, and all their windows compared.
     """
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     e = items.select(F.col(item_id).alias("item"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f"))
@@ -117,11 +129,14 @@ def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "
     rarity = word_rarity(d.select("text").unionByName(distinct.select("text")))
     run = _prefixes(rarity, run_length, shingle)
     kind = d.schema["id"].dataType.simpleString()
-    left = d.mapInArrow(run, f"key bigint, id {kind}, at array<int>").select("key", F.col("id").alias("id_d"), F.col("at").alias("d"))
-    right = distinct.select("id", "text").mapInArrow(run, "key bigint, id string, at array<int>").select("key", F.col("id").alias("id_e"), F.col("at").alias("e"))
-    met = left.join(right, "key").groupBy("id_d", "id_e").agg(F.collect_list(F.struct("d", "e")).alias("keys"))
+    right = distinct.select("id", "text").mapInArrow(run, "key bigint, id string, at array<int>, n int")
+    right = stage(right.select("key", F.col("id").alias("id_e"), F.col("at").alias("e"), F.col("n").alias("n_e")), "eval-shingles")
+    left = d.mapInArrow(run, f"key bigint, id {kind}, at array<int>, n int").select("key", F.col("id").alias("id_d"), F.col("at").alias("d"), F.col("n").alias("n_d"))
+    left = likely_in(left, "key", right.select("key"))
+    met = left.join(right, "key").where(room(F.col("d"), F.col("n_d"), F.col("e"), F.col("n_e"), run_length)).select("id_d", "id_e").distinct()
     met = stage(met, "leak-candidates")
-    texts = d.join(met.select(F.col("id_d").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("id_d"), F.col("text").alias("text_d"))
+    wanted = stage(met.select(F.col("id_d").alias("id")).distinct(), "leak-ids")
+    texts = rows_in(d, "id", wanted).dropDuplicates(["id"]).select(F.col("id").alias("id_d"), F.col("text").alias("text_d"))
     pairs = met.join(distinct.select(F.col("id").alias("id_e"), F.col("text").alias("text_e")), "id_e").join(texts, "id_d")
     found = pairs.mapInArrow(_verify(run_length), f"id_d {kind}, id_e string, found boolean").where("found")
     return found.join(e.select(F.col("id").alias("id_e"), "item", "field"), "id_e").select(F.col("id_d").alias("doc_id"), F.col("item").alias("item_id"), "field").distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
 from sievework.llm import langid
+from sievework.operators.key_filter import likely_in
 from sievework.session import stage
 
 # Letters of other scripts that look like Latin ones, and the Latin letters, in the same order.
@@ -22,19 +23,28 @@ CYRILLIC_FORMS = "АВЕЅІЈКМНОРСТХУЬаеорсухіјѕһԁԛԝ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTXYbaeopcyxijshdqw"
 GREEK_FORMS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαειηκνορτυχγϲ"
 GREEK_LATIN = "ABEZHIKMNOPTYXaeinkvoptuxyc"
-LATIN_OF = dict(zip(CYRILLIC_FORMS + GREEK_FORMS, CYRILLIC_LATIN + GREEK_LATIN, strict=True))
+ARMENIAN_FORMS = "ԼՍՏՕզհոսցօ"
+ARMENIAN_LATIN = "LUSOqhnugo"
+CHEROKEE_FORMS = "ᎠᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏙᏢᏦᏞᏟᏴ"
+CHEROKEE_LATIN = "DTAJEWMHGZRVPKLCB"
+LATIN_OF = dict(zip(CYRILLIC_FORMS + GREEK_FORMS + ARMENIAN_FORMS + CHEROKEE_FORMS, CYRILLIC_LATIN + GREEK_LATIN + ARMENIAN_LATIN + CHEROKEE_LATIN, strict=True))
 CYRILLIC_OF = dict(zip(CYRILLIC_LATIN, CYRILLIC_FORMS, strict=True)) | {"k": "к", "t": "т", "m": "м", "n": "п", "r": "г", "u": "и", "v": "ѵ", "B": "В"}
 GREEK_OF = dict(zip(GREEK_LATIN, GREEK_FORMS, strict=True))
 LATIN, GREEK, CYRILLIC, ARABIC = 1, 2, 3, 4
 BLOCKS = ((0x41, 0x250, LATIN), (0x1E00, 0x1F00, LATIN), (0x2C60, 0x2C80, LATIN), (0xA720, 0xA800, LATIN), (0xFB00, 0xFB07, LATIN), (0xFF21, 0xFF5B, LATIN),
           (0x370, 0x400, GREEK), (0x1F00, 0x2000, GREEK), (0x400, 0x530, CYRILLIC), (0x1C80, 0x1C90, CYRILLIC), (0x2DE0, 0x2E00, CYRILLIC), (0xA640, 0xA6A0, CYRILLIC),
           (0x600, 0x700, ARABIC), (0x750, 0x780, ARABIC), (0x8A0, 0x900, ARABIC), (0xFB50, 0xFE00, ARABIC), (0xFE70, 0xFF00, ARABIC),
-          (0x530, 0x590, 5), (0x590, 0x600, 6), (0x900, 0xE00, 7), (0xE00, 0xE80, 8), (0x10A0, 0x1100, 9), (0x1100, 0x1200, 10), (0xAC00, 0xD7B0, 10), (0x2E80, 0xA000, 11))
+          (0x530, 0x590, 5), (0x590, 0x600, 6), (0x900, 0xE00, 7), (0xE00, 0xE80, 8), (0x10A0, 0x1100, 9), (0x1100, 0x1200, 10), (0xAC00, 0xD7B0, 10), (0x2E80, 0xA000, 11), (0x13A0, 0x1400, 12), (0xAB70, 0xABC0, 12))
 YEH, KAF = {"ar": "ي", "fa": "ی"}, {"ar": "ك", "fa": "ک"}
 COMPATIBLE, MARK, INVISIBLE, BLANK, FOREIGN, PERSIAN_ARABIC = 1, 2, 4, 8, 16, 32
 KINDS = {"compatibility": COMPATIBLE, "mark": MARK, "invisible": INVISIBLE, "blank": BLANK, "mixed_script": FOREIGN, "yeh_kaf": PERSIAN_ARABIC}
 #: Variation selectors choose between two shapes of an emoji; they and typographic quotes, dashes and dots stay.
 KEPT = {0xFE0E, 0xFE0F, 0x2026}
+#: A joiner between two pictographs makes one of them and stays; a non-joiner inside a word of Arabic script parts its letters.
+PICTOGRAPH = "[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff]"
+EMOJI_JOINER = re.compile(f"(?<={PICTOGRAPH})\u200d(?={PICTOGRAPH})")
+PARTED = re.compile("[\u0620-\u06ff]+(?:\u200c[\u0620-\u06ff]+)+")
+HELD = "\ue000"
 
 
 @lru_cache(None)
@@ -87,6 +97,10 @@ def _mixed(cps: np.ndarray, offs: np.ndarray, script: np.ndarray) -> dict[int, l
     return mixed
 
 
+def _pictograph(c: np.ndarray) -> np.ndarray:
+    return ((c >= 0x2190) & (c <= 0x2BFF)) | (c == 0xFE0F) | ((c >= 0x1F000) & (c <= 0x1FAFF))
+
+
 def look(texts: pa.Array, model: langid.Model | None, by_sentence: bool = True) -> tuple[np.ndarray, dict[int, list[str]]]:
     """(kinds of oddities of each text as bits, the mixed-script words of those that have any)."""
     cps, offs = tk.codepoints(texts)
@@ -95,6 +109,10 @@ def look(texts: pa.Array, model: langid.Model | None, by_sentence: bool = True)
     if not len(cps):
         return out, mixed
     odd = signs()[cps]
+    joins = np.flatnonzero(cps == 0x200D)
+    joins = joins[(joins > 0) & (joins < len(cps) - 1)]
+    if len(joins):
+        odd[joins[_pictograph(cps[joins - 1]) & _pictograph(cps[joins + 1]) & ~np.isin(joins, offs) & ~np.isin(joins + 1, offs)]] = 0
     for bit in (COMPATIBLE, INVISIBLE, BLANK):
         out[_rows_with(np.flatnonzero(odd == bit), offs)] |= bit
     for i in _rows_with(np.flatnonzero(odd == MARK), offs):
@@ -204,7 +222,8 @@ def substitutes(word: str) -> list[str]:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each slice by their hash: clean ones only, so a mixed-script word is no evidence for itself."""
+    """Distinct words of each slice by their hash: clean ones only, neither mixed-script words nor pieces beside an invisible
+    sign, so a word to repair is no evidence for itself."""
     for whole in batches:
         for batch in tk.slices(whole, "text"):
             cps, offs = tk.codepoints(batch.column("text"))
@@ -214,7 +233,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             script = scripts()[cps]
             high = np.maximum.reduceat(script, start)
             low = np.minimum.reduceat(np.where(script == 0, 255, script), start)
-            clean = (high == 0) | (low >= high)
+            hidden = np.concatenate([[False], signs()[cps] == INVISIBLE, [False]])
+            clean = ((high == 0) | (low >= high)) & ~hidden[start] & ~hidden[end + 1]
             yield pa.record_batch([pa.array(np.unique(tk.word_hashes(cps, start[clean], end[clean])).view(np.int64))], ["word"])
 
 
@@ -242,7 +262,11 @@ def _marked() -> re.Pattern:
 def plain(text: str) -> str:
     """Invisible signs dropped, blanks to spaces, compatibility forms and marks to ordinary letters."""
     drop, blank, compatible = _patterns()
-    text = blank.sub(" ", drop.sub("", text))
+    if "\u200d" in text and HELD not in text:
+        text = drop.sub("", EMOJI_JOINER.sub(HELD, text)).replace(HELD, "\u200d")
+    else:
+        text = drop.sub("", text)
+    text = blank.sub(" ", text)
     return unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in compatible else c for c in text))
 
 
@@ -259,9 +283,21 @@ def words_to_replace(texts: list[str]) -> list[list[str]]:
     return [sorted(set(mixed.get(i, ()))) for i in range(len(texts))]
 
 
+def proposals(word: str) -> list[tuple[int, str, list[str]]]:
+    """(rank, text to put, words that must stand in the vocabulary for it) of a word to replace: the forms of a mixed-script
+    word in one script, its dominant one first; of a parted word the whole, then its parts with blanks."""
+    if "\u200c" in word:
+        parts = word.split("\u200c")
+        return [(0, "".join(parts), ["".join(parts)] * 2), (1, " ".join(parts), [parts[0], parts[-1]])]
+    forms = [unicodedata.normalize("NFC", s) for s in substitutes(word)]
+    return [(k, s, [s, s]) for k, s in enumerate(forms)]
+
+
 def repair(text: str, words: dict[str, str], persian: bool | None = None) -> str:
-    """The text in its consistent form: made plain, mixed-script words by the given table, and yeh and kaf as the language
-    has them."""
+    """The text in its consistent form: made plain, mixed-script and parted words by the given table (a parted word that is not
+    in it becomes one), and yeh and kaf as the language has them."""
+    if "\u200c" in text:
+        text = PARTED.sub(lambda m: words.get(m[0], m[0]), text)
     text = plain(text)
     if words:
         text = _marked().sub(lambda m: words.get(m[0]) or tk.WORD.sub(lambda w: words.get(w[0], w[0]), m[0]), text)
@@ -273,11 +309,14 @@ def repair(text: str, words: dict[str, str], persian: bool | None = None) -> str
 
 
 def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None]) -> DataFrame:
-    """(id, field_name, kinds, text): the fields that find_lookalikes names, in their consistent form (a list as a JSON array).
-
-    A mixed-script word is replaced only if the word that comes out stands somewhere in the fields of df, in its dominant
-    script if that is there, else in another; words are looked up in lower case, as they are once the field is plain. kinds
-    tells what the field had before. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
+    """(id, field_name, kinds, text, changed, unsolved): the fields that find_lookalikes names, in their consistent form (a list as
+    a JSON array), whether that differs from what they hold, and their mixed-script words for which there was none.
+
+    Each word's dominant script is that of most of its letters. A mixed-script word is replaced only if the word that comes out
+    stands somewhere in the fields of df, in its dominant
+    script if that is there, else in another; words are looked up in lower case, as they are once the field is plain. A
+    non-joiner inside a word of Arabic script goes if the whole is a word elsewhere, else it becomes a blank if its parts are,
+    else it goes. kinds tells what the field had before. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
     """
     models = fit_models(df, id_col, fields)
     found = find_lookalikes(df, id_col, fields, models).select("id", "field_name", "kinds")
@@ -286,8 +325,10 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
         for whole in batches:
             for batch in tk.slices(whole, "text"):
                 fields_of = zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True)
-                texts = ["\n".join(plain(x) for x in ([t] if parts is None else parts) if x is not None) for t, parts in fields_of]
-                yield pa.record_batch([*batch.columns, pa.array(words_to_replace(texts), pa.list_(pa.string()))], [*batch.schema.names, "words"])
+                raw = ["\n".join(x for x in ([t] if parts is None else parts) if x is not None) for t, parts in fields_of]
+                words = words_to_replace([plain(t) for t in raw])
+                words = [[*own, *sorted(set(PARTED.findall(t)))] if "\u200c" in t else own for own, t in zip(words, raw, strict=True)]
+                yield pa.record_batch([*batch.columns, pa.array(words, pa.list_(pa.string()))], [*batch.schema.names, "words"])
 
     cells = []
     for f in fields:
@@ -296,6 +337,8 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
         cells.append(F.struct(F.lit(f).alias("field_name"), (none.cast("string") if is_list else F.col(f)).alias("text"), (F.col(f) if is_list else none.cast("array<string>")).alias("parts")))
     long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
     kind = df.schema[id_col].dataType.simpleString()
+    found = stage(found, "lookalike-fields")
+    long = likely_in(long, "id", found.select("id"))
     odd = long.join(found, ["id", "field_name"]).mapInArrow(collect, f"id {kind}, field_name string, text string, parts array<string>, kinds int, words array<string>")
     odd = stage(odd, "lookalikes")
     # words are matched as they are after the other repairs
@@ -303,17 +346,19 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, k, unicodedata.normalize("NFC", s)) for w in batch.column("word").to_pylist() for k, s in enumerate(substitutes(w))]
-            subs = [s for *_, s in found]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            columns = ([w for w, *_ in found], [k for _, k, _ in found], subs, word_key(subs))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "rank", "sub", "key"])
+            made = [(w, k, s, of) for w in batch.column("word").to_pylist() for k, s, of in proposals(w)]
+            keys = [word_key([of[i] for *_, of in made]) for i in (0, 1)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            columns = ([w for w, *_ in made], [k for _, k, *_ in made], [s for _, _, s, _ in made], *keys)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "rank", "sub", "key", "last"])
 
     text_of = {f: F.concat_ws("\n", F.col(f)) if df.schema[f].dataType.simpleString().startswith("array") else F.col(f) for f in fields}
     texts = df.select(F.explode(F.array(*text_of.values())).alias("text")).where(F.col("text").isNotNull())
-    vocabulary = texts.mapInArrow(_vocabulary, "key bigint").distinct()
-    proposals = words.mapInArrow(propose, "word string, rank int, sub string, key bigint").join(vocabulary, "key", "left_semi")
-    chosen = proposals.groupBy("word").agg(F.min_by("sub", "rank").alias("sub"))
+    sought = stage(words.mapInArrow(propose, "word string, rank int, sub string, key bigint, last bigint"), "lookalike-proposals")
+    keys = sought.select("key").union(sought.select("last")).distinct()
+    vocabulary = stage(likely_in(texts.mapInArrow(_vocabulary, "key bigint"), "key", stage(keys, "lookalike-keys")).distinct(), "lookalike-vocabulary")
+    known = sought.join(vocabulary, "key", "left_semi").join(vocabulary.withColumnRenamed("key", "last"), "last", "left_semi")
+    chosen = known.groupBy("word").agg(F.min_by("sub", "rank").alias("sub"))
     per_row = odd.select("id", "field_name", F.explode("words").alias("word")).join(chosen, "word").groupBy("id", "field_name").agg(F.map_from_entries(F.collect_set(F.struct("word", "sub"))).alias("subs"))
     shared = df.sparkSession.sparkContext.broadcast(dict(zip(fields, models, strict=True)))
 
@@ -321,22 +366,29 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
         import json
 
         for batch in batches:
-            out = []
-            for name, kinds, text, parts, subs in zip(*(batch.column(c).to_pylist() for c in ("field_name", "kinds", "text", "parts", "subs")), strict=True):
-                table = dict(subs or ())
-                model = shared.value[name]
-
-                def fix(t: str, bits: int = kinds, table: dict = table, model: langid.Model | None = model, sentences: bool = parts is None) -> str:
-                    if not bits & PERSIAN_ARABIC or model is None:
-                        return repair(t, table)
-                    cps, offs = tk.codepoints(pa.array([t]))
-                    starts = langid.segments(cps, offs) if sentences and len(cps) else offs[:-1]
-                    persian = _is_persian(model, cps, offs, starts) if len(cps) else [False]
-                    ends = [*starts[1:], len(t)]
-                    return "".join(repair(t[a:b], table, bool(p)) for a, b, p in zip(starts, ends, persian, strict=True))
-
-                out.append(fix(text) if parts is None else json.dumps([None if x is None else fix(x) for x in parts], ensure_ascii=False))
-            yield pa.record_batch([*(batch.column(c) for c in ("id", "field_name", "kinds")), pa.array(out, pa.string())], ["id", "field_name", "kinds", "text"])
-
-    rows = odd.drop("words").join(per_row, ["id", "field_name"], "left")
-    return rows.mapInArrow(apply, f"id {kind}, field_name string, kinds int, text string")
+            out, changed, unsolved = [], [], []
+            for name, kinds, text, parts, subs, words in zip(*(batch.column(c).to_pylist() for c in ("field_name", "kinds", "text", "parts", "subs", "words")), strict=True):
+                table, model = dict(subs or ()), shared.value[name]
+                pieces = [text] if parts is None else parts
+                asked = bool(kinds & PERSIAN_ARABIC) and model is not None
+                fixed = None
+                if asked:
+                    whole = "\n".join(x for x in pieces if x is not None)
+                    cps, offs = tk.codepoints(pa.array([whole]))
+                    starts = langid.segments(cps, offs) if parts is None else offs[:-1]
+                    persian = _is_persian(model, cps, offs, starts)
+                    if parts is None:
+                        fixed = ["".join(repair(whole[a:b], table, bool(p)) for a, b, p in zip(starts, [*starts[1:], len(whole)], persian, strict=True))]
+                    else:  # the options of a list are of one language
+                        fixed = [None if x is None else repair(x, table, bool(persian[0])) for x in pieces]
+                fixed = [None if x is None else repair(x, table) for x in pieces] if fixed is None else fixed
+                changed.append(fixed != pieces)
+                unsolved.append([w for w in words if w not in table and "\u200c" not in w])
+                out.append(fixed[0] if parts is None else json.dumps(fixed, ensure_ascii=False))
+            yield pa.record_batch(
+                [*(batch.column(c) for c in ("id", "field_name", "kinds")), pa.array(out, pa.string()), pa.array(changed, pa.bool_()), pa.array(unsolved, pa.list_(pa.string()))],
+                ["id", "field_name", "kinds", "text", "changed", "unsolved"],
+            )
+
+    rows = odd.join(per_row, ["id", "field_name"], "left")
+    return rows.mapInArrow(apply, f"id {kind}, field_name string, kinds int, text string, changed boolean, unsolved array<string>")

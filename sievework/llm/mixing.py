@@ -65,45 +65,55 @@ def _round(budgets: list[tuple], edge: dict, source: dict) -> list[tuple[str, bo
     return out
 
 
-def token_sizes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """(doc_id, source, lang, n_tokens), written once: encoding is the costly part and all later steps read its result."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return stage(encode(rows, tokenizer_path, lists=False), "token-sizes")
+def token_sizes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", domain: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, n_tokens, and domain where a column of it is named), written once: encoding is the costly part
+    and all later steps read its result."""
+    names = {"doc_id": id_col, "source": source, "lang": lang, "text": text} | ({"domain": domain} if domain else {})
+    return stage(encode(docs.select(*[F.col(c).alias(n) for n, c in names.items()]), tokenizer_path, lists=False), "token-sizes")
 
 
-def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, max_leaves: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, seed: int = 0, max_leaves: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). chosen: (doc_id, source, lang, epoch, n_tokens), one row a use of a document; shares: (source,
     target_share, max_repeats, n_documents, available_tokens, mixed_tokens, share), a row a source of targets.
 
-    sizes is (doc_id, source, lang, n_tokens), targets (source, target_share, max_repeats). Weights run down a tree of
-    sources and their languages (these in proportion to their tokens). Without total_tokens the mix is as large as every
-    source with tokens can meet its share; with it, what a source lacks goes to its languages' siblings first, then to the
-    other sources. A leaf's budget is whole epochs over its documents and then a prefix of the next, in an order of its own
+    sizes is (doc_id, source, lang, n_tokens) and may have a domain, targets (source, target_share, max_repeats). Weights run
+    down a tree: the sources by their targets, their domains if there are any, their languages (these in proportion to
+    their tokens). total_tokens is the size wanted: a number, or "available" for all tokens that the targets' sources have; what a source then lacks, even
+    with max_repeats uses of each document, goes to its leaves' siblings first and then to the other sources, and shares tells
+    what was reached. Without it the mix is as large as every source with tokens can meet its share. A leaf's budget is whole epochs over its documents and then a prefix of the next, in an order of its own
     drawn by seeded hash; where the prefixes of a source's leaves end is rounded so that their sum is nearest its budget. No document is used more than max_repeats times.
 
     Sources without tokens get nothing and are reported with share 0, their weight falling to the others; documents of
-    sources that have no target, of null sources, and those without tokens are not chosen; a null language is a language of
-    its own; repeated targets of a source count as one, their shares added. The driver sees one row a leaf (source and
-    language), at most max_leaves.
+    sources that have no target, of null sources, and those without tokens are not chosen; a null language or domain is one of
+    its own; repeated targets of a source count as one, their shares added. The driver sees one row a leaf and one a target, at
+    most max_leaves of each; more are an error.
     """
     goal = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    sized = sizes.where("n_tokens > 0 AND source IS NOT NULL").join(F.broadcast(goal.select("source").limit(max_leaves)), "source", "left_semi")
-    sized = sized.withColumn("leaf", F.to_json(F.array("source", "lang")))
-    leaves = sized.groupBy("source", "leaf").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    aims = goal.limit(max_leaves + 1).collect()
+    wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in aims}
+    levels = [c for c in ("domain", "lang") if c in sizes.columns]
+    sized = sizes.where("n_tokens > 0 AND source IS NOT NULL").join(goal.select("source"), "source", "left_semi")
+    sized = sized.withColumn("leaf", F.to_json(F.array("source", *levels)))
+    leaves = sized.groupBy("source", *levels, "leaf").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     listed = leaves.limit(max_leaves + 1).collect()
-    if len(listed) > max_leaves:
-        raise ValueError(f"more than {max_leaves} pairs of source and language")
-    wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in goal.collect()}
+    if max(len(listed), len(aims)) > max_leaves:
+        raise ValueError(f"more than {max_leaves} targets, or leaves of sources and languages")
     tokens = {r["leaf"]: r["tokens"] for r in listed}
     root = Node(1.0)
     for r in listed:
         share, repeats = wanted[r["source"]]
-        leaf = root.child(r["source"], share).child(r["leaf"], float(r["tokens"]))
+        node = root.child(r["source"], share)
+        for c in levels[:-1]:
+            node = node.child((c, r[c]), 0.0)
+            node.weight += float(r["tokens"])
+        leaf = node.child(r["leaf"], float(r["tokens"]))
         leaf.own = float(r["tokens"] * repeats)
     usable = {s: n for s, n in root.children.items() if n.weight > 0 and n.capacity() > 0}
     weight = sum(n.weight for n in usable.values())
     if total_tokens is None:
         total_tokens = min((n.capacity() * weight / n.weight for n in usable.values()), default=0.0)
+    elif total_tokens == "available":
+        total_tokens = float(sum(r["tokens"] for r in listed if r["source"] in usable))
     root.children = usable
     rows = []
     for path, budget in distribute(root, total_tokens).items():
@@ -113,7 +123,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: float | None
             rows.append((leaf, epochs, float(budget - epochs * tokens[leaf])))
     spark = sizes.sparkSession
     budgets = spark.createDataFrame(rows, "leaf string, epochs int, rest double")
-    ranked = hash_rank(sized.join(F.broadcast(budgets), "leaf"), "leaf", "doc_id", "n_tokens", seed)
+    ranked = hash_rank(sized.join(F.broadcast(budgets), "leaf"), "leaf", "doc_id", "n_tokens", seed, few_keys=True)
     edge = ranked.where("before < rest AND before + n_tokens > rest").select("source", "leaf", "before", "n_tokens").collect()
     extra = spark.createDataFrame(_round(rows, {r["leaf"]: r for r in edge}, {r["leaf"]: r["source"] for r in listed}), "leaf string, extra boolean")
     ranked = ranked.join(F.broadcast(extra), "leaf")

@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
-from sievework.operators.word_rarity import BUCKETS, word_rarity
+from sievework.operators.key_filter import rows_in
+from sievework.operators.word_rarity import bucket, word_rarity
 from sievework.session import stage
 
 RUN = "array<struct<a:int,b:int,n:int>>"
-PASSAGE = "array<struct<a:int,a_end:int,b:int,b_end:int,exact:int>>"
+PASSAGE = "array<struct<a:int,a_end:int,b:int,b_end:int,exact:int,edits:int>>"
 #: All pairs of equal seeds are chained if they are at most MANY or PER_PLACE for each place of a seed; a pair of documents
 #: with more (periodic text) is compared by all its windows.
 MANY, PER_PLACE = 4096, 8
 #: The longest word that counts for a k-mer's rarity, and the rarity of a k-mer without any.
-LONGEST, COMMON = 16, 1 << 19
+LONGEST, COMMON = 16, (1 << 16) - 1
 
 
-def _rarest_word(cps: np.ndarray, offs: np.ndarray, k: int, rarity: np.ndarray) -> np.ndarray:
+def _rarest_word(cps: np.ndarray, offs: np.ndarray, k: int, seen: np.ndarray) -> np.ndarray:
     """For each k-mer an estimate of how common its rarest word is; it depends on the k-mer's own characters alone, so only
     words that end and begin inside it, and of at most LONGEST letters, count."""
     start, end, text = tk.words(cps, offs)
@@ -32,11 +33,13 @@ def _rarest_word(cps: np.ndarray, offs: np.ndarray, k: int, rarity: np.ndarray)
     whole = (start > offs[text]) & (end < offs[text + 1]) & (end - start <= LONGEST)
     start, end = start[whole], end[whole]
     h = tk.word_hashes(cps, start, end)
-    value[start - 1] = np.minimum(rarity[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], COMMON - 1)
+    value[start - 1] = np.minimum(seen[bucket(h)].astype(np.int64), COMMON - 1)
     return tk.sliding(value, k - LONGEST - 1, np.minimum)[: len(cps) - k + 1]
 
 
 def _seeds(k: int, span: int, rarity: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    seen = rarity.astype(np.uint16)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tk.slices(whole, "text"):
@@ -44,8 +47,8 @@ def _seeds(k: int, span: int, rarity: np.ndarray) -> Callable[[Iterator[pa.Recor
                 if len(cps) < span:
                     continue
                 value = tk.Rolling(cps, 9).windows(k)
-                rare = _rarest_word(cps, offs, k, rarity).astype(np.uint64)
-                order = (rare << np.uint64(44)) | (value >> np.uint64(20)) | np.uint64(1)
+                rare = _rarest_word(cps, offs, k, seen).astype(np.uint64)
+                order = (rare << np.uint64(48)) | (value >> np.uint64(16)) | np.uint64(1)
                 end = np.repeat(offs[1:], np.diff(offs))
                 at = tk.minimal(order, span - k + 1, np.arange(len(cps)) + span <= end)
                 doc = np.searchsorted(offs, at, side="right") - 1
@@ -55,8 +58,11 @@ def _seeds(k: int, span: int, rarity: np.ndarray) -> Callable[[Iterator[pa.Recor
                 new = np.ones(len(at), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1])
                 first = np.flatnonzero(new)
-                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at - offs[doc]).astype(np.int32)))
-                yield pa.record_batch([pa.array(seed[first].view(np.int64)), batch.column("id").take(pa.array(doc[first])), places], ["seed", "id", "at"])
+                place = (at - offs[doc]).astype(np.int32)
+                lone = np.diff(np.append(first, len(at))) == 1
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(place))
+                more = lists.take(pa.array(np.where(lone, None, np.arange(len(first))), pa.int64()))
+                yield pa.record_batch([pa.array(seed[first].view(np.int64)), batch.column("id").take(pa.array(doc[first])), pa.array(place[first]), more], ["seed", "id", "at", "more"])
 
     return run
 
@@ -203,23 +209,66 @@ def _matches(seeds: list[tuple[list[int], list[int]]], runs: list[tuple[int, int
     return [tuple(x) for x in m[at].tolist()]
 
 
-def _passages(chains: list[list[tuple[int, int]]], runs: list[tuple[int, int, int]]) -> list[dict[str, int]]:
-    """Each chain's ends and equal characters, of the runs that its matches lie in."""
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for r in sorted(set(runs)):
-        by.setdefault(r[0] - r[1], []).append(r)
-    out = []
-    for c in chains:
-        own = set()
-        for i, j in c:
-            on = by.get(i - j, [])
-            at = bisect_right(on, i, key=lambda r: r[0]) - 1
-            if at >= 0 and i < on[at][0] + on[at][2]:
-                own.add(on[at])
-        if own:
-            ends = [min(r[0] for r in own), max(r[0] + r[2] for r in own), min(r[1] for r in own), max(r[1] + r[2] for r in own)]
-            out.append(dict(zip(("a", "a_end", "b", "b_end", "exact"), [*ends, sum(r[2] for r in own)], strict=True)))
-    return out
+def edits(x: str, y: str) -> int:
+    """Edit distance of two texts, by the bits of whole numbers: a column of the table at a time."""
+    if not x or not y:
+        return len(x) + len(y)
+    where: dict[str, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, distance = full, 0, len(x)
+    for c in y:
+        equal = where.get(c, 0)
+        carry = (((equal & up) + up) ^ up) | equal | down
+        rise, fall = down | (full & ~(carry | up)), up & carry
+        distance += bool(rise & last) - bool(fall & last)
+        rise = (rise << 1 | 1) & full
+        fall = fall << 1 & full
+        steady = equal | down
+        up, down = fall | (full & ~(steady | rise)), rise & steady
+    return distance
+
+
+def align(a: str, b: str, path: list[tuple[int, int]], runs_on: dict[int, list[tuple[int, int, int]]]) -> tuple[dict[str, int] | None, list[tuple[int, int, int]]]:
+    """(passage, runs) of a chain: the maximal equal runs that its matches lie in, one after the other, and the passage from
+    the first to the last of them, with its equal characters and the edits between a and b where the runs leave gaps. Where two
+    runs overlap in a text, the later one counts from the end of the earlier."""
+    runs: list[tuple[int, int, int]] = []
+    for i, j in path:
+        on = runs_on.get(i - j, [])
+        at = bisect_right(on, i, key=lambda r: r[0]) - 1
+        if at >= 0 and i < on[at][0] + on[at][2] and (not runs or runs[-1] != on[at]):
+            runs.append(on[at])
+    if not runs:
+        return None, []
+    i, j, n = runs[0]
+    ends, exact, cost = [i, i + n, j, j + n], n, 0
+    for i, j, n in runs[1:]:
+        over = max(0, ends[1] - i, ends[3] - j)
+        if over >= n:
+            continue
+        gap_a, gap_b = a[ends[1] : i + over], b[ends[3] : j + over]
+        cost += edits(gap_a, gap_b)
+        exact += n - over
+        ends[1], ends[3] = i + n, j + n
+    return dict(zip(("a", "a_end", "b", "b_end", "exact", "edits"), [*ends, exact, cost], strict=True)), runs
+
+
+def compare(a: str, b: str, seeds: list[tuple[list[int], list[int]]], k: int, span: int) -> tuple[list[tuple[int, int, int]], list[dict[str, int]]]:
+    """(runs, passages) of two texts with equal seeds (places in a, places in b): seeds are chained, each chain is aligned, and
+    what its matches lie in of at least `span` characters are its runs."""
+    pairs, places = (sum(f(len(x), len(y)) for x, y in seeds) for f in (lambda x, y: x * y, lambda x, y: x + y))
+    if pairs > max(MANY, PER_PLACE * places):
+        matches = _matches(seeds, _all_runs(a, b, span), k)
+    else:
+        matches = [(i, j) for x, y in seeds for i in x for j in y]
+    runs_on: dict[int, list[tuple[int, int, int]]] = {}
+    for r in sorted(set(exact_runs(a, b, matches, k))):
+        runs_on.setdefault(r[0] - r[1], []).append(r)
+    aligned = [align(a, b, path, runs_on) for path in chain(matches, k)]
+    runs = sorted({r for _, own in aligned for r in own if r[2] >= span})
+    return runs, [p for p, _ in aligned if p]
 
 
 def _align(k: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -228,30 +277,24 @@ def _align(k: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for batch in tk.slices(whole, "text_a", 1 << 22):
                 out_runs, out_passages = [], []
                 for a, b, seeds in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), batch.column("seeds").to_pylist(), strict=True):
-                    pairs, places = (sum(f(len(s["a"]), len(s["b"])) for s in seeds) for f in (lambda x, y: x * y, lambda x, y: x + y))
-                    if pairs > max(MANY, PER_PLACE * places):
-                        runs = _all_runs(a, b, span)
-                        anchors = _matches([(s["a"], s["b"]) for s in seeds], runs, k)
-                    else:
-                        anchors = [(i, j) for s in seeds for i in s["a"] for j in s["b"]]
-                        runs = exact_runs(a, b, anchors, span)
-                    found = _passages(chain(anchors, k), exact_runs(a, b, anchors, k))
-                    out_runs.append([{"a": i, "b": j, "n": n} for i, j, n in sorted(set(runs))])
-                    out_passages.append(found)
+                    runs, passages = compare(a, b, [(s["more_a"] or [s["a"]], s["more_b"] or [s["b"]]) for s in seeds], k, span)
+                    out_runs.append([{"a": i, "b": j, "n": n} for i, j, n in runs])
+                    out_passages.append(passages)
                 ints = pa.int32()
                 run_type = pa.list_(pa.struct([(x, ints) for x in ("a", "b", "n")]))
-                passage_type = pa.list_(pa.struct([(x, ints) for x in ("a", "a_end", "b", "b_end", "exact")]))
+                passage_type = pa.list_(pa.struct([(x, ints) for x in ("a", "a_end", "b", "b_end", "exact", "edits")]))
                 yield pa.record_batch([batch.column("id_a"), batch.column("id_b"), pa.array(out_runs, run_type), pa.array(out_passages, passage_type)], ["id_a", "id_b", "runs", "passages"])
 
     return run
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = 200, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs, classes). pairs: (id_a, id_b, runs, passages) of different texts that share a stretch: runs are the maximal
-    equal stretches of at least `span` characters (start in a, in b, length), passages the chains of shared k-mers with
-    the ends of their equal stretches and the characters these have; a pair may have passages only. id_a < id_b are the least
+    """(pairs, classes). pairs: (id_a, id_b, runs, passages) of different texts that share a stretch: passages are the aligned
+    chains of shared k-mers, from their first to their last equal stretch, with the characters that are equal and the edits
+    in the gaps; runs are the maximal equal stretches of at least `span` characters in these chains (start in a, in b,
+    length); a pair may have passages only. id_a < id_b are the least
     ids of their texts. A pair whose equal seeds are very many (periodic text) has no list of every two equal places: its runs
-    hold each shared stretch of either text with one place in the other, and its chains each place of a seed at least once.
+    hold each shared stretch of either text with at least one place in the other, and its chains each place of a seed at least once.
     classes: (id, rep), each document and the least id with the very same text.
 
     Characters are code points, compared as they are. Null texts and texts shorter than span have no spans, nor have rows
@@ -260,26 +303,27 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
 
     Plan: equal texts fold into classes by a digest before anything is compared. One pass makes the fixed-size table of word
     rarity. Each window of `span` characters yields its k-mer with the rarest word (of equals, the least hash): phrases
-    that many documents share serve as seeds only where a whole window has nothing rarer. So documents that share a run share a seed: a sampled index of about 2/(span-k+2) rows a character.
-    Seeds are joined, pairs get their texts, and chains decide in parallel.
+    that many documents share serve as seeds only where a whole window has nothing rarer. So documents that share a run share a seed: a sampled index of about 2/(span-k+2) rows a character,
+    most of them three numbers. Seeds are joined; the texts of pairs alone are fetched, by a bounded filter of their ids
+    before the shuffle; chains and their alignment decide in parallel.
     """
-    k = k or span // 2
+    k = k or span // 3
     if not LONGEST + 2 <= k <= span:
         raise ValueError(f"k must lie between {LONGEST + 2} and span")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where((F.length("text") >= span) & F.col("id").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
     digests = stage(rows.select("id", F.unhex(F.md5("text")).alias("digest")).dropDuplicates(["id"]), "digests")
     heads = digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
-    classes = digests.join(heads, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    classes = stage(digests.join(heads, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")), "span-classes")
     copies = classes.where("id <> rep").select("id")
     rarity = word_rarity(rows.select("text"))
-    seeds = stage(rows.mapInArrow(_seeds(k, span, rarity), f"seed bigint, id {kind}, at array<int>").join(copies, "id", "left_anti"), "seeds")
-    a = seeds.select("seed", F.col("id").alias("id_a"), F.col("at").alias("a"))
-    b = seeds.select("seed", F.col("id").alias("id_b"), F.col("at").alias("b"))
-    met = a.join(b, "seed").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.collect_list(F.struct("a", "b")).alias("seeds"))
+    seeds = stage(rows.mapInArrow(_seeds(k, span, rarity), f"seed bigint, id {kind}, at int, more array<int>").join(copies, "id", "left_anti"), "seeds")
+    a = seeds.select("seed", F.col("id").alias("id_a"), F.col("at").alias("a"), F.col("more").alias("more_a"))
+    b = seeds.select("seed", F.col("id").alias("id_b"), F.col("at").alias("b"), F.col("more").alias("more_b"))
+    met = a.join(b, "seed").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.collect_list(F.struct("a", "b", "more_a", "more_b")).alias("seeds"))
     met = stage(met, "seed-pairs")
-    wanted = met.select(F.col("id_a").alias("id")).union(met.select(F.col("id_b").alias("id"))).distinct()
-    texts = stage(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "span-texts")
+    wanted = stage(met.select(F.col("id_a").alias("id")).union(met.select(F.col("id_b").alias("id"))).distinct(), "span-ids")
+    texts = stage(rows_in(rows, "id", wanted).dropDuplicates(["id"]), "span-texts")
     pairs = met.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     pairs = pairs.join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     found = pairs.mapInArrow(_align(k, span), f"id_a {kind}, id_b {kind}, runs {RUN}, passages {PASSAGE}")
