@@ -1,144 +1,21 @@
-"""Layout duplicates, group splits and overlap across splits on small tables with every odd case."""
-
-import json
-import random
+"""Ranks in groups of any size, and texts that stand inside others."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators.group_split import allocate, split_groups
 from sievework.operators.hash_rank import hash_rank
-from sievework.operators.record_dups import layout_duplicates, record_counts
-from sievework.operators.split_overlap import split_overlap
-
-SCHEMA = "row_id long, state string, question string, choices array<string>, split string, id string, key string, rep string"
-
-
-def table(spark, rows):
-    return spark.createDataFrame([(*r, *["x"] * 3) for r in rows], SCHEMA)
-
-
-def test_layout_duplicates(spark):
-    rows = [
-        (1, "Hello,  World", "Is it?", ["Yes", "no"], "train"),
-        (2, "hello world!", "IS IT", ["NO.", "yes"], "train"),
-        (3, "hello worlds", "is it", ["no", "yes"], "train"),
-        (4, '{"a": "X y", "b": [1, 2]}', "q", ["a"], "train"),
-        (5, '{"B": [1,2], "a": "xy"}', "q", ["a"], "train"),
-        (6, '{"a": "x", "yb": [1,2]}', "q", ["a"], "train"),
-        (7, '{"a": "X y", "b": [1', "q", ["a"], "train"),
-        (8, '{ "a": "xy", "b": [1', "q", ["a"], None),
-        (9, None, "q", ["a"], "train"),
-        (10, "  \n", "q", ["a"], "train"),
-        (11, "t", None, None, "train"),
-        (12, "T", None, None, "train"),
-        (13, "t", "", [], "train"),
-        (14, "t", None, [None], "train"),
-        (15, "x" * 200_000 + "İ", "q", ["a"], "train"),
-        (16, "X" * 200_000 + "i", "q", ["a"], "train"),
-        (16, "X" * 200_000 + "i", "q", ["a"], "train"),
-        (None, "t", None, None, "train"),
-    ]
-    df = table(spark, rows)
-    got = sorted(map(tuple, layout_duplicates(df, "row_id").collect()))
-    assert got == [(1, 2), (4, 5), (7, 8), (11, 12), (15, 16)]
-    counts = {r["rep"]: r["copies"] for r in record_counts(df, "row_id").collect()}
-    assert counts[1] == 2 and counts[3] == 1 and 9 not in counts
-    assert layout_duplicates(df.limit(0), "row_id").collect() == []
-
-
-def test_layout_duplicates_hot_record(spark):
-    df = spark.range(6000).select(
-        F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "Same  Text").otherwise(F.concat(F.lit("t"), "id")).alias("state"), F.lit("q").alias("question"), F.array(F.lit("a")).alias("choices")
-    )
-    got = layout_duplicates(df, "row_id")
-    assert got.count() == 1999 and {r["rep"] for r in got.collect()} == {0}
 
 
-def test_split_groups(spark):
-    rng = random.Random(3)
-    rows = []
-    for g in range(400):
-        for _ in range(rng.choice([1, 1, 2, 5, 9])):
-            rows.append((f" G{g} " if rng.random() < 0.3 else f"g{g}", rng.choice(["train", "Dev", " test\t", "validation", "TRAIN"]), rng.choice(["a", "b"]), "x"))
-    rows += [("hub", "train", "a", "x")] * 150 + [(None, "train", "a", "x"), ("lost", None, "a", "x"), ("nolabel", "train", None, "x")]
-    df = spark.createDataFrame(rows, "group_id string, split string, config string, n_rows string")
-    targets = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split string, target_share double")
-    got = split_groups(df, targets).toPandas()
-    want = {}
-    for g, s, _, _ in rows:
-        if g and s:
-            s = s.strip().lower()
-            want.setdefault(g.strip().lower(), set()).add({"dev": "val", "validation": "val"}.get(s, s))
-    assert dict(zip(got.group_id, got.divided)) == {g: len(s) > 1 for g, s in want.items()}
-    assert got.group_id.is_unique and got.new_split.notna().all()
-    share = got.groupby("new_split").n_rows.sum() / got.n_rows.sum()
-    assert abs(share["train"] - 0.8) < 0.02 and abs(share["val"] - 0.1) < 0.02
-    assert split_groups(df.limit(0), targets).count() == 0
-    coarse = split_groups(df, targets, max_bundles=3).toPandas()  # profiles reduced
-    assert len(coarse) == len(got) and coarse.new_split.notna().all()
-
-
-def test_allocation_is_near_the_quotas():
-    bundles = [(json.dumps([["a", s]]), s, n) for s, n in ((1, 31), (2, 17), (3, 9), (7, 5), (40, 1))]
-    out = allocate(bundles, {"train": 0.7, "test": 0.3})
-    total = sum(s * n for _, s, n in bundles)
-    rows = {k: sum(s * out[p][k] for p, s, _ in bundles) for k in ("train", "test")}
-    assert all(sum(out[p].values()) == n for p, _, n in bundles) and abs(rows["train"] - 0.7 * total) <= 4
-
-
-def test_hash_rank(spark):
+@pytest.mark.parametrize("few", [False, True])
+def test_hash_rank(spark, few):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id"), (F.col("id") % 7).alias("w"))
-    got = hash_rank(df.withColumn("k", F.when(F.col("k") > 0, F.col("k"))), "k", "id", "w", per_bucket=50).toPandas()
+    got = hash_rank(df.withColumn("k", F.when(F.col("k") > 0, F.col("k"))), "k", "id", "w", per_bucket=50, few_keys=few).toPandas()
     for _, part in got.groupby("k", dropna=False):
         part = part.sort_values("rank")
         assert part["rank"].tolist() == list(range(1, len(part) + 1))
         assert (part.before == part.w.cumsum() - part.w).all()
 
 
-def test_split_overlap(spark):
-    base = [f"w{i}" for i in range(30)]
-    near = " ".join(base[:28] + ["other"])
-    rows = [
-        (1, " ".join(base), "Q?", ["a"], "train"),
-        (2, "! ".join(reversed(base)).upper(), "q", ["a"], "Test "),
-        (3, near, "q", ["a"], "dev"),
-        (4, near, "another", ["a"], "val"),
-        (5, " ".join(base[:15]), "q", ["a"], "val"),
-        (6, None, "q", ["a"], "val"),
-        (7, " ", "q", ["a"], "val"),
-        (8, "?!", "q", ["a"], "val"),
-        (9, "?!", "q", ["a"], "train"),
-        (10, " ".join(base), "q", ["a"], None),
-        (11, "short", None, ["a"], "train"),
-        (12, "SHORT", "", ["a"], "test"),
-        (13, " ".join(base) + " w1" * 50_000, "q", ["a"], "validation"),
-        (13, " ".join(base) + " w1" * 50_000, "q", ["a"], "validation"),
-        (None, " ".join(base), "q", ["a"], "val"),
-    ]
-    df = table(spark, rows)
-    got = {(r["id_e"], r["id_t"]): r["jaccard"] for r in split_overlap(df, "row_id").collect()}
-    assert set(got) == {(2, 1), (3, 1), (12, 11), (13, 1)}
-    assert abs(got[3, 1] - 28 / 31) < 1e-9
-    assert split_overlap(df.limit(0), "row_id").collect() == []
-
-
-def test_split_overlap_against_brute_force(spark):
-    rng = random.Random(5)
-    words = [f"v{i}" for i in range(60)]
-    rows = []
-    for i in range(160):
-        own = rng.sample(words[: rng.choice([12, 20, 60])], rng.randint(1, 12))
-        rows.append((i, " ".join(own), rng.choice(["a", "b"]), ["x"], rng.choice(["train", "val", "test"])))
-    got = {(r["id_e"], r["id_t"]) for r in split_overlap(table(spark, rows), "row_id").collect()}
-    want = set()
-    for a in rows:
-        for b in rows:
-            x, y = set(a[1].split()), set(b[1].split())
-            if a[4] != "train" and b[4] == "train" and a[2] == b[2] and len(x & y) >= 0.8 * len(x | y):
-                want.add((a[0], b[0]))
-    assert got == want and want
-
-
 def test_contained_and_command_overlap(spark):
     from sievework.operators.selection import command_overlap, contained
 
