@@ -3,6 +3,7 @@ that they mean the same in Java and in other engines."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -194,3 +195,41 @@ def split_name(c: Column) -> Column:
     """The split meant, however spelled: outer blanks and case mean nothing, dev and validation are val."""
     s = trimmed_lower(c)
     return F.when(s.isin("dev", "validation"), "val").otherwise(s)
+
+
+def _rendered(value: object, depth: int = 0) -> str:
+    pad = "  " * depth
+    if isinstance(value, dict):
+        return "\n".join(f"{pad}{k}: {_below(v, depth)}" for k, v in value.items())
+    if isinstance(value, list):
+        return "\n".join(f"{pad}- {_below(v, depth + 1)}" for v in value)
+    return str(value)
+
+
+def _below(value: object, depth: int) -> str:
+    """A value after its key: text with its own lines indented, an object or list from the next line on."""
+    if isinstance(value, (dict, list)):
+        return "\n" + _rendered(value, depth + 1) if value else ""
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.replace("\n", "\n" + "  " * (depth + 1))
+
+
+def _render(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else _rendered(json.loads(t)))
+
+
+def render_state(c: Column) -> Column:
+    """JSON objects as indented lines, of any depth; other texts never leave the JVM."""
+    return F.when(F.json_object_keys(c).isNotNull(), F.pandas_udf(_render, "string")(F.when(F.json_object_keys(c).isNotNull(), c))).otherwise(c)
+
+
+TOKENS = "[\\p{L}\\p{N}]{1,6}|[^\\p{L}\\p{N}\\s]"
+
+
+def fitting_heads(words_: Column, question: Column, options: Column, limit: int) -> Column:
+    """For each option how many of the question's words may stand before it so that head, one mark and option have at most
+    limit tokens; all of them where the whole question fits."""
+    size = lambda c: F.regexp_count(c, F.lit(TOKENS))
+    heads = lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda k: size(F.array_join(F.slice(w, F.lit(1), k), " ")))
+    fit = lambda w, h, q: F.transform(options, lambda o: F.when(q + size(o) + 1 <= limit, F.size(w)).otherwise(F.greatest(F.lit(0), F.size(F.filter(h, lambda x: x + size(o) + 1 <= limit)) - 1)).cast("bigint"))
+    return let(words_, lambda w: let(heads(w), lambda h: let(size(question), lambda q: fit(w, h, q))))

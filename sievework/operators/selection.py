@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators.hash_rank import hash_rank
 from sievework.operators.key_filter import rows_in
 from sievework.operators.word_rarity import enough, set_prefixes, word_rarity
 from sievework.session import stage
@@ -129,3 +130,39 @@ def command_overlap(evals: DataFrame, train: DataFrame, id_col: str, text: str,
     sets = [x.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("s")) for x in (e, t)]
     near = near_duplicates(*sets, "id", "s", 0.8, 4).select(F.col("id_a").alias("id_e"), F.col("id_b").alias("id_t"))
     return equal.unionByName(contained(e, t)).unionByName(near).distinct()
+
+
+def owners(sets: list[tuple[str, DataFrame]], id_col: str) -> DataFrame:
+    """(id_col, owner, n_sets): each id of some sets once, with the first set that has it and how many do."""
+    rows = [s.select(id_col, F.lit(k).alias("_k"), F.lit(name).alias("_name")) for k, (name, s) in enumerate(sets)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    return both.groupBy(id_col).agg(F.min(F.struct("_k", "_name")).alias("_o"), F.countDistinct("_k").alias("n_sets")).select(id_col, F.col("_o._name").alias("owner"), "n_sets")
+
+
+def first_by(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key in order. The rank limit is pushed below the shuffle, so a hot key sends at most n rows a
+    task on."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """df with the place of each row in the order of a unique column, from 0: rows are range-partitioned, and counts of the
+    parts before are added to ranks within one."""
+    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    parts = stage(parts, "numbered")
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # a row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return parts.withColumn("_rank", rank).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+
+
+def sized_places(df: DataFrame, size: str, id_col: str) -> DataFrame:
+    """df with `upto`: the sizes of all rows up to it in the order of size and id. What smaller sizes sum up to comes from counts
+    by size, of which there are few; ranks within one size from hash_rank, so neither is a window over all rows."""
+    counts = df.groupBy(size).agg((F.count(F.lit(1)) * F.first(size)).alias("_sum"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    ranked = hash_rank(df, size, id_col)
+    return ranked.join(before, size).withColumn("upto", F.col("_before") + F.col(size) * F.col("rank")).drop("_before", "rank")

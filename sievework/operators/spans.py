@@ -1,15 +1,23 @@
-"""Personal-data spans: recognisers, tag decoding, filters, windows, redaction."""
+"""Personal-data spans: taggers, tag decoding, filters, a backstop for phone numbers, windows, redaction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of the recognisers and the least digits a span of a label must have.
+from sievework.functions import text as T
+from sievework.functions import textkernel as tk
+
+# Patterns of the recognisers, the least digits a span of a label must have, labels whose digits may be spelled,
+# what is cut from the ends of a span, one-letter words that Arabic joins to the next, and digit and letter forms.
 PATTERNS = {
     "EMAIL": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}",
     "IP_ADDRESS": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{N}.]*\p{N})",
@@ -17,13 +25,23 @@ PATTERNS = {
     "IBAN": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
 }
 MIN_DIGITS = {"PHONE": 6, "CARD": 12, "IBAN": 10, "NATIONAL_ID": 5, "PASSPORT": 5, "DATE_OF_BIRTH": 2, "IP_ADDRESS": 4}
-PHONE_CUES = r"(?i)(?:\b(?:phone|mobile|cell|call|tel|telefon|handy|teléfono|móvil|téléphone|portable|телефон|мобильный|cep|numaram)\b|هاتف|جوال|موبايل|تلفن|موبایل)"
-BLOCKERS = r"(?i)\b(?:order|invoice|case|ticket|batch|page|room|version)\b"
-LEADING, TRAILING = "«\"'(“", ".,;:!?،؛؟»)\"'”"
-PHONE = regex.compile(r"(?<![\p{L}\p{N}/=#@$€£])\+?\p{Nd}(?:[ ().-]{0,2}\p{Nd}){5,14}(?![\p{L}\p{N}%])")
-CUE, BLOCK, GUARD = regex.compile(PHONE_CUES), regex.compile(BLOCKERS), r"@|\p{Nd}[ ().-]{0,2}\p{Nd}|\p{Nd}\.\p{Nd}"
+SPELLED = ("PHONE", "NATIONAL_ID")
+LEADING, TRAILING, MARKS = "«\"'", ".,;:!?،؛؟»)\"'۔", "\u200e\u200f\u200c"
+CLITICS = "وبلفكس"
+NUMBER_WORDS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve double triple twenty thirty forty fifty sixty seventy eighty ninety hundred",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun", "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "tr": "sıfır bir iki üç dört beş altı yedi sekiz dokuz", "ru": "ноль один два три четыре пять шесть семь восемь девять", "ar": "صفر واحد اثنان ثلاثة أربعة خمسة ستة سبعة ثمانية تسعة", "fa": "صفر یک دو سه چهار پنج شش هفت هشت نه",
+}
+VERSIONS = ("v1", "v2", "v2.1")
+
 COMPILED = {k: regex.compile(v) for k, v in PATTERNS.items()}
+GUARD = r"@|\p{Nd}[ \x{a0}()./-]{0,3}\p{Nd}[ \x{a0}()./-]{0,3}\p{Nd}|\p{Nd}\.\p{Nd}"
 SPAN = "array<struct<start:int,end:int,label:string,text:string>>"
+ITEM = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string())])
+Span = tuple[int, int, str]
+#: Texts of a batch to the (start, end) of each one's tokens and their begin, inside and outside tags.
+Tagger = Callable[[list[str]], list[tuple[list[tuple[int, int]], list[str]]]]
 
 
 def luhn(digits: str) -> bool:
@@ -34,85 +52,440 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def trim_span(text: str, start: int, end: int) -> tuple[int, int]:
-    while start < end and (text[start].isspace() or text[start] in LEADING or text[start] in "‎‏‌"):
-        start += 1
-    while end > start and (text[end - 1].isspace() or text[end - 1] in TRAILING or text[end - 1] in "‎‏‌"):
-        end -= 1
-    return start, end
+def trim_span(text: str, start: int, end: int, initials: bool = False) -> tuple[int, int]:
+    """The span without blanks, marks and punctuation around it. With initials a full stop after a single last letter stays."""
+    head, tail = LEADING + MARKS, TRAILING + MARKS
+    body = text[start:end]
+    kept = body.lstrip()
+    while kept and kept[0] in head:
+        kept = kept[1:].lstrip()
+    start = end - len(kept)
+    while kept and (kept[-1].isspace() or kept[-1] in tail):
+        if initials and regex.search(r"(?:^|[ .\u00a0])\p{L}\.$", kept):
+            break
+        kept = kept[:-1]
+    return start, start + len(kept)
+
+
+def tag_runs(place: np.ndarray, label: np.ndarray, blank: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) token of every span, over the tokens of many texts at once. place is 0 outside, 1 inside, 2 at a beginning;
+    label numbers; blank tokens that are outside neither end nor begin anything; row is each token's text."""
+    live = np.flatnonzero(~(blank & (place == 0)))
+    p, k, r = place[live], label[live], row[live]
+    inside = p > 0
+    goes_on = np.zeros(len(live), bool)
+    goes_on[1:] = (p[1:] == 1) & inside[:-1] & (k[1:] == k[:-1]) & (r[1:] == r[:-1])
+    first = np.flatnonzero(inside & ~goes_on)
+    last = np.flatnonzero(inside & ~np.append(goes_on[1:], False))
+    return live[first], live[last]
 
 
-def decode_tags(text: str, offsets: list[tuple[int, int]], tags: list[str]) -> list[tuple[int, int, str]]:
+def decode_tags(text: str, offsets: list[tuple[int, int]], tags: list[str], initials: bool = False) -> list[Span]:
     """Begin-inside-outside tags of tokens to character spans: an outside tag over blanks doesn't end a span, tokens without
     width are passed over, and a begin tag, another label or an inside tag without a beginning starts a span."""
-    out: list[list] = []
-    open_ = False
-    for (a, b), tag in zip(offsets, tags, strict=True):
-        if a == b or (tag == "O" and open_ and not text[a:b].strip()):
-            continue
-        if tag == "O":
-            open_ = False
-            continue
-        place, label = tag[0], tag[2:]
-        if open_ and place == "I" and out[-1][2] == label:
-            out[-1][1] = b
-        else:
-            out.append([a, b, label])
-        open_ = True
-    trimmed = [(*trim_span(text, a, b), label) for a, b, label in out]
-    return [s for s in trimmed if s[0] < s[1]]
-
-
-def keep_span(text: str, start: int, end: int, label: str) -> bool:
-    """Enough digits for its label, an @ in an address, names of two characters, and not cut inside a word."""
+    wide = [(o, t) for o, t in zip(offsets, tags, strict=True) if o[0] < o[1]]
+    names = {t[2:]: i for i, t in enumerate(sorted({t for _, t in wide}))}
+    place = np.array(["OIB".index(t[0]) for _, t in wide], np.int64)
+    label = np.array([names[t[2:]] for _, t in wide], np.int64)
+    blank = np.array([not text[a:b].strip() for (a, b), _ in wide], bool)
+    out = []
+    for i, j in zip(*tag_runs(place, label, blank, np.zeros(len(wide), np.int64)), strict=True):
+        name = wide[i][1][2:]
+        a, b = trim_span(text, wide[i][0][0], wide[j][0][1], initials and name == "PERSON_NAME")
+        if a < b:
+            out.append((a, b, name))
+    return out
+
+
+@lru_cache(None)
+def _number_words() -> frozenset[str]:
+    return frozenset(w for words in NUMBER_WORDS.values() for w in words.split())
+
+
+def digit_count(body: str, spelled: bool = False) -> int:
+    """Digits of any script; a number word counts as two if they may be spelled."""
+    n = sum(c.isdecimal() for c in body)
+    return n + 2 * sum(w.lower() in _number_words() for w in regex.findall(r"\p{L}+", body)) if spelled else n
+
+
+def keep_span(text: str, start: int, end: int, label: str, spelled: bool = True) -> bool:
+    """Enough digits for its label, an @ in an address, names and places of two characters, and not cut inside a word, but for
+    a one-letter word that Arabic joins to the next."""
     body = text[start:end]
-    if sum(c.isdigit() for c in body) < MIN_DIGITS.get(label, 0) or (label == "EMAIL" and "@" not in body) or (label == "PERSON_NAME" and len(body) < 2):
+    if digit_count(body, spelled and label in SPELLED) < MIN_DIGITS.get(label, 0):
+        return False
+    if (label == "EMAIL" and "@" not in body) or (label in ("PERSON_NAME", "ADDRESS") and len(body) < 2):
+        return False
+    joined = start > 0 and text[start - 1].isalnum() and body[0].isalnum()
+    if joined and text[start - 1] in CLITICS and not (start > 1 and text[start - 2].isalnum()):
+        joined = False
+    return not joined and not (end < len(text) and text[end].isalnum() and body[-1].isalnum())
+
+
+# Runs of digits
+
+
+@dataclass
+class DigitRuns:
+    """Runs of groups of digits that little stands between, over the texts of a batch: arrays with one entry a group (start,
+    end, run) and one a run (text, first, count)."""
+
+    start: np.ndarray
+    end: np.ndarray
+    run: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    cps: np.ndarray
+
+    @cached_property
+    def gaps(self) -> list[np.ndarray]:
+        """For the gap after each group: its size, and how many of - . / and of points alone it holds (size -1 after the last)."""
+        nxt = np.append(self.start[1:], 0)
+        size = np.where(np.append(self.run[1:] == self.run[:-1], False), nxt - self.end, -1) if len(self.start) else np.zeros(0, np.int64)
+        sign = np.concatenate([[0], np.cumsum(np.isin(self.cps, SIGNS))])
+        point = np.concatenate([[0], np.cumsum(self.cps == ord("."))])
+        ends = np.where(size >= 0, nxt, self.end)
+        return [size, sign[ends] - sign[self.end], point[ends] - point[self.end]]
+
+    def per_run(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.run, weights=values, minlength=len(self.first)).astype(np.int64)
+
+    def kinds(self) -> np.ndarray:
+        """date (three groups with one sign between, of the lengths of a day, month and year), card (three or more groups of
+        four), address (three or more points), or plain, of each run."""
+        length = self.end - self.start
+        size, sign, point = self.gaps
+        inner = size >= 0
+        card = (self.count >= 4) & (self.per_run(length == 4) >= 3)
+        address = self.per_run(np.where(inner, point > 0, False)) >= 3
+        three = np.flatnonzero(self.count >= 3)
+        a = self.first[three]
+        signed = (size[a] == 1) & (sign[a] == 1) & (size[a + 1] == 1) & (sign[a + 1] == 1)
+        x, y, z = length[a], length[a + 1], length[a + 2]
+        date = np.zeros(len(self.first), bool)
+        date[three] = signed & (((x <= 2) & (y <= 2) & ((z == 2) | (z == 4))) | ((x == 4) & (y <= 2) & (z <= 2)))
+        return np.select([card, date, address], ["card", "date", "address"], "plain")
+
+
+SIGNS, LIGHT = [ord(c) for c in "-./"], [ord(c) for c in " \u00a0()"]
+
+
+@lru_cache(None)
+def _is_digit() -> np.ndarray:
+    t = np.zeros(0x110000, bool)
+    for i in range(0x20000):
+        t[i] = chr(i).isdecimal()
+    return t
+
+
+def digit_runs(cps: np.ndarray, offs: np.ndarray) -> DigitRuns:
+    """Groups of digits belong to one run where at most three signs stand between them, at most one of them - . or /, the
+    others blanks or brackets."""
+    digit = _is_digit()[cps]
+    edge = np.concatenate([[0], digit.astype(np.int8), [0]])
+    turn = np.diff(edge)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    cut = offs[1:-1]
+    cut = np.unique(cut[(cut > 0) & (cut < len(cps))])
+    cut = cut[digit[cut] & digit[cut - 1]]  # digits on both sides of the border of two texts
+    start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    text = np.searchsorted(offs, start, side="right") - 1
+    sign = np.concatenate([[0], np.cumsum(np.isin(cps, SIGNS))])
+    light = np.concatenate([[0], np.cumsum(np.isin(cps, LIGHT))])
+    gap = start[1:] - end[:-1]
+    signs, lights = sign[start[1:]] - sign[end[:-1]], light[start[1:]] - light[end[:-1]]
+    near = (text[1:] == text[:-1]) & (gap <= 3) & (signs <= 1) & (signs + lights == gap) & (gap > 0)
+    new = np.append(True, ~near)[: len(start)]
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return DigitRuns(start, end, run, text[first], first, np.bincount(run, minlength=len(first)), cps)
+
+
+# Words around numbers
+
+
+def word_key(word: str) -> str:
+    """Lower case without marks, letters of Arabic script in one form."""
+    bare = "".join(c for c in word.lower() if not unicodedata.combining(c))
+    return bare.translate(str.maketrans(T.LETTER_VARIANTS + "ے", T.LETTER_FORMS + "ی"))
+
+
+@dataclass(frozen=True)
+class WordList:
+    """Words and phrases to look up by key. An entry's last words may be marked: `*` allows up to three more letters, `_` parts the
+    words of a phrase. Words in Arabic script are also found behind joined particles."""
+
+    entries: str
+    particles: tuple[str, ...] = ("", "و", "ب", "ل", "ف", "ال", "وال", "بال", "لل", "فال")
+
+    @cached_property
+    def table(self) -> dict[str, list[tuple[tuple[str, ...], bool]]]:
+        out: dict[str, list[tuple[tuple[str, ...], bool]]] = {}
+        for e in self.entries.split():
+            words = tuple(word_key(w) for w in e.rstrip("*").split("_"))
+            out.setdefault(words[0], []).append((words, e.endswith("*")))
+        return out
+
+    def _forms(self, key: str) -> Iterator[tuple[str, int]]:
+        """What an entry's word may be for this key, with the letters it has more."""
+        arabic = key[:1] >= "\u0600"
+        for p in self.particles if arabic else ("",):
+            if key.startswith(p) and len(key) > len(p):
+                for more in range(0, min(4, len(key) - len(p))):
+                    yield key[len(p) : len(key) - more], more
+
+    def at(self, tokens: list[tuple[int, int, str]], i: int) -> int:
+        """How many tokens from i on an entry takes; 0 for none. Words of a phrase are at most two characters apart."""
+        best = 0
+        for form, more in self._forms(tokens[i][2]):
+            for words, open_ in self.table.get(form, ()):
+                n = len(words)
+                if (more and not (open_ and n == 1)) or i + n > len(tokens) or n <= best:
+                    continue
+                rest = tokens[i + 1 : i + n]
+                near = all(b[0] - a[1] <= 2 for a, b in zip(tokens[i : i + n], rest))
+                if near and all(t[2] == w or (open_ and k == n - 2 and t[2].startswith(w) and len(t[2]) - len(w) <= 3) for k, (t, w) in enumerate(zip(rest, words[1:], strict=True))):
+                    best = n
+        return best
+
+
+@dataclass(frozen=True)
+class PhoneRules:
+    """What the backstop goes by; all of it may be given. countries maps a calling code to the first digits and the lengths of
+    its national numbers; a national number begins with `trunk` or has such a length itself."""
+
+    cues: WordList = field(default_factory=lambda: WordList(
+        "phone* telephone* mobile* cell cellphone tel call dial text whatsapp* my_number telefon* handy* mobil* rufnummer anrufen téléphone* portable* appelez teléfono* móvil* llámame "
+        "телефон* мобильн* звоните cep gsm numaram* arayın هاتف* جوال* موبايل* تلفون* واتساب* رقمي اتصل* تلفن* موبایل* تماس* شماره_من شماره_همراه واتساپ*"))
+    blockers: WordList = field(default_factory=lambda: WordList(
+        "order* invoice* account* card* id ticket* case batch page room version* tracking reference serial model* price* amount* total code password pin booking* contract* customer* "
+        "bestellung* rechnung* konto* kunden* commande* facture* compte* pedido* factura* cuenta* заказ* счёт* договор* sipariş* fatura* hesap* kart* müşteri* طلب* فاتور* حساب* بطاق* رقم_الطلب سفارش* فاکتور* کارت* کد"))
+    units: WordList = field(default_factory=lambda: WordList("eur usd gbp euro* dollar* tl lira rub руб* ريال* درهم* تومان kg mb gb points puntos punkte credits"))
+    joiners: WordList = field(default_factory=lambda: WordList("or and oder und ou o y или ve veya او و یا"))
+    countries: tuple[tuple[str, str, int, int], ...] = (
+        ("1", "23456789", 10, 10), ("7", "3489", 10, 10), ("20", "12345689", 8, 10), ("31", "123456789", 9, 9), ("33", "123456789", 9, 9), ("34", "6789", 9, 9), ("39", "03", 8, 11), ("41", "234567", 9, 9),
+        ("43", "123456789", 7, 13), ("44", "1237", 9, 10), ("49", "123456789", 7, 11), ("61", "2478", 9, 9), ("81", "123456789", 9, 10), ("86", "1", 11, 11), ("90", "2345", 10, 10), ("91", "6789", 10, 10), ("92", "234589", 9, 10),
+        ("98", "123456789", 10, 10), ("212", "567", 9, 9), ("213", "23567", 8, 9), ("216", "23456789", 8, 8), ("961", "3456789", 7, 8), ("962", "2345678", 8, 9), ("963", "1234589", 8, 9), ("964", "1234567", 8, 10), ("965", "2569", 8, 8),
+        ("966", "15", 9, 9), ("968", "279", 8, 8), ("971", "23456789", 8, 9), ("973", "136", 8, 8), ("974", "34567", 8, 8),
+    )
+    trunk: str = "0"
+    toll_free: tuple[str, ...] = ("800", "0800", "0850", "0845", "0870", "0871", "0900", "1800", "1855", "1866", "1877", "1888")
+
+    def _abroad(self, digits: str) -> bool | None:
+        """Whether it is a number of the country whose code it begins with; None for a code that is not listed."""
+        for code, heads, low, high in sorted(self.countries, key=lambda c: -len(c[0])):
+            if digits.startswith(code):
+                own = digits[len(code) :].removeprefix(self.trunk)
+                return low <= len(own) <= high and own[0] in heads
+        return None
+
+    def is_number(self, digits: str, plus: bool) -> bool:
+        if plus or digits.startswith("00"):
+            own = digits.removeprefix("00")
+            known = self._abroad(own)
+            return (8 <= len(own) <= 15 and not own.startswith("0")) if known is None else known
+        if digits.startswith(self.toll_free):
+            return False
+        if digits.startswith(self.trunk):
+            return any(low <= len(digits) - 1 <= high and digits[1] in heads for _, heads, low, high in self.countries)
+        return len(digits) >= 8 and (any(low <= len(digits) <= high and digits[0] in heads for _, heads, low, high in self.countries) or bool(self._abroad(digits)))
+
+
+RULES = PhoneRules()
+TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+GLUED, AFTER, STOPS = set("/=#@_&?$€£₺%"), set("$€£₺%@"), set(".,،؛;!?\n|")
+
+
+def _cued(text: str, start: int, end: int, rules: PhoneRules) -> bool:
+    """Whether a phone word stands at most 25 characters and three words before, or at most 12 characters after, in the same
+    clause, without a word near it that names another kind of number."""
+    base = max(0, start - 80)
+    before = [(base + m.start(), base + m.end(), word_key(m[0])) for m in TOKEN.finditer(text[base:start])]
+    for back in range(1, min(5, len(before) + 1)):
+        i = len(before) - back
+        n = rules.cues.at(before, i)
+        if not n or start - before[i + n - 1][1] > 25 or i + n + 3 < len(before):
+            continue
+        between = before[i + n :]
+        gap = text[before[i + n - 1][1] : start]
+        if any(c in ";؛!?" for c in gap) or "." in gap[1:] or any(any(c.isdecimal() for c in t[2]) or rules.blockers.at(between, k) for k, t in enumerate(between)):
+            return False
+        near = [k for k in range(i) if before[k][0] >= before[i][0] - 24 and not any(c in STOPS for c in text[before[k][1] : before[i][0]])]
+        return not any(rules.blockers.at(before, k) for k in near)
+    after = [(end + m.start(), end + m.end(), word_key(m[0])) for m in TOKEN.finditer(text[end : end + 40])]
+    if after and after[0][0] - end <= 12 and "\n" not in text[end : after[0][0]] and rules.cues.at(after, 0):
+        number_next = any(any(c.isdecimal() for c in t[2]) for t in after[1:4])
+        near = [k for k, t in enumerate(before) if t[0] >= start - 24 and not any(c in STOPS for c in text[t[1] : start])]
+        return not number_next and not any(rules.blockers.at(before, k) for k in near)
+    return False
+
+
+def _chained(text: str, start: int, spans: list[Span], rules: PhoneRules) -> bool:
+    """Whether another phone number ends at most eight characters before, with nothing but signs or a joining word between."""
+    last = max((b for _, b, k in spans if k == "PHONE" and b <= start), default=-1)
+    if last < 0 or start - last > 8:
         return False
-    cut = (start > 0 and text[start - 1].isalnum() and body[0].isalnum()) or (end < len(text) and text[end].isalnum() and body[-1].isalnum())
-    return not cut
+    words = [(m.start(), m.end(), word_key(m[0])) for m in TOKEN.finditer(text[last:start])]
+    return all(rules.joiners.at(words, k) for k in range(len(words))) and not set(TOKEN.sub("", text[last:start])) - set(" \u00a0,،/-|;؛\n")
 
 
-def phone_backstop(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The spans and phone numbers that a phone word stands shortly before (25 characters) or after (12); a word that names
-    another kind of number within 24 characters of the cue cancels it. Never changes or overlaps a given span."""
-    found = list(spans)
-    for m in PHONE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, e, _ in found):
+def phone_backstop(text: str, spans: list[Span], rules: PhoneRules = RULES, runs: DigitRuns | None = None, own: range | None = None, base: int = 0) -> list[Span]:
+    """The spans and phone numbers that the tagger missed: of a run of digits that is no date, card or address, the longest head
+    of its groups that is a number, then of what remains; nothing glued to it, no unit after it, and a phone word near it
+    (see _cued) or a phone just before. Never changes or overlaps a given span. runs, own and base tell where the text's
+    runs are in a batch."""
+    if runs is None:
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        runs = digit_runs(cps, np.array([0, len(cps)]))
+        own = range(len(runs.first))
+    found, kinds = list(spans), runs.kinds() if len(runs.first) else []
+    for r in own:
+        if kinds[r] != "plain":
             continue
-        before, after = text[max(0, a - 25) : a], text[b : b + 12]
-        cue = next((c for c in CUE.finditer(before)), None) or CUE.search(after)
-        if cue and not BLOCK.search(text[max(0, a - 49) : b + 36]):
-            found.append((a, b, "PHONE"))
+        groups = [(int(runs.start[g]) - base, int(runs.end[g]) - base) for g in range(runs.first[r], runs.first[r] + runs.count[r])]
+        k = 0
+        while k < len(groups):
+            a = groups[k][0]
+            plus = k == 0 and text[a - 1 : a] == "+" and a > 0
+            heads = (j for j in range(len(groups), k, -1) if rules.is_number("".join(str(unicodedata.decimal(c)) for x, y in groups[k:j] for c in text[x:y]), plus))
+            j = next(heads, 0)
+            if not j:
+                break
+            start, end, first, k = a - plus, groups[j - 1][1], k == 0, j
+            if first and start > 0 and text[start - 1] == "(" and ")" in text[a:end]:
+                start -= 1
+            left, right = text[start - 1 : start] if start else "", text[end : end + 1]
+            if left.isalnum() or left in GLUED and left or right.isalnum() or right in AFTER and right:
+                continue
+            if (first and left and left in "-./" and text[start - 2 : start - 1].isalnum() and start > 1) or (right == ":" and text[end + 1 : end + 2].isdecimal()):
+                continue
+            if any(x < end and start < y for x, y, _ in found):
+                continue
+            words = [(end + m.start(), end + m.end(), word_key(m[0])) for m in TOKEN.finditer(text[end : end + 20])]
+            if words and words[0][0] - end <= 2 and rules.units.at(words, 0):
+                continue
+            if _chained(text, start, found, rules) or _cued(text, start, end, rules):
+                found.append((start, end, "PHONE"))
     return sorted(found)
 
 
-def find_spans(text: str) -> list[tuple[int, int, str]]:
-    """Recognised spans without overlap, the first pattern winning, then the phone backstop."""
-    out: list[tuple[int, int, str]] = []
-    for label, pattern in COMPILED.items():
-        for m in pattern.finditer(text):
-            a, b = trim_span(text, *m.span())
-            if label == "CARD" and not luhn("".join(c for c in text[a:b] if c.isdigit())):
+def pattern_tagger(texts: list[str]) -> list[tuple[list[tuple[int, int]], list[str]]]:
+    """A tagger without a model: the recognisers' patterns, the first one winning; every match is one token."""
+    out = []
+    for t in texts:
+        spans: list[Span] = []
+        for label, pattern in COMPILED.items():
+            if label == "EMAIL" and "@" not in t:
                 continue
-            if keep_span(text, a, b, label) and not any(s < b and a < e for s, e, _ in out):
-                out.append((a, b, label))
-    return phone_backstop(text, sorted(out))
+            for m in pattern.finditer(t):
+                a, b = m.span()
+                if label == "CARD" and not luhn("".join(c for c in m[0] if c.isdigit())):
+                    continue
+                if not any(x < b and a < y for x, y, _ in spans):
+                    spans.append((a, b, label))
+        spans.sort()
+        out.append(([(a, b) for a, b, _ in spans], [f"B-{k}" for *_, k in spans]))
+    return out
+
 
+def find_batch(texts: list[str], tagger: Tagger = pattern_tagger, version: str = "v2.1", rules: PhoneRules = RULES) -> list[list[Span]]:
+    """Spans of each text: tags, decoded, filtered; from v2 on names keep the full stop of an initial and number words count as
+    digits; from v2.1 on the phone backstop adds to them."""
+    if version not in VERSIONS:
+        raise ValueError(f"version must be one of {VERSIONS}")
+    later = version != "v1"
+    out = []
+    for t, (offsets, tags) in zip(texts, tagger(texts), strict=True):
+        out.append([s for s in decode_tags(t, offsets, tags, later) if keep_span(t, *s, spelled=later)])
+    if version == "v2.1" and texts:
+        cps, offs = tk.codepoints(pa.array(texts, pa.string()))
+        runs = digit_runs(cps, offs)
+        upto = np.searchsorted(runs.text, np.arange(len(texts) + 1))
+        enough = runs.per_run(runs.end - runs.start) >= 6
+        for i in np.unique(runs.text[enough]):
+            out[i] = phone_backstop(texts[i], out[i], rules, runs, [r for r in range(upto[i], upto[i + 1]) if enough[r]], int(offs[i]))
+    return out
 
-def pii_spans(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, spans) of the texts that have any; a cheap pattern in the JVM keeps the others from leaving it. Offsets are code
-    points of the original text, half open."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(GUARD))
+
+def find_spans(text: str, version: str = "v2.1") -> list[Span]:
+    return find_batch([text], version=version)[0]
+
+
+def pii_spans(df: DataFrame, id_col: str, text: str, tagger: Tagger = pattern_tagger, version: str = "v2.1", rules: PhoneRules = RULES, keep: tuple[str, ...] = (), guard: str | None = GUARD) -> DataFrame:
+    """(id, keep..., spans) of the texts that have any; the guard, a cheap pattern in the JVM, keeps texts that the tagger finds
+    nothing in from leaving it (None lets all through, as a model wants). Offsets are code points of the original text, half open."""
+    rows = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"_{c}") for c in keep], F.col(text).alias("text")).where(F.col("text").rlike(guard) if guard else F.col("text").isNotNull())
+    kept = ["id", *(f"_{c}" for c in keep)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tk.slices(whole, "text"):
+                texts = batch.column("text").to_pylist()
+                spans = [[{"start": a, "end": b, "label": k, "text": t[a:b]} for a, b, k in own] for t, own in zip(texts, find_batch(texts, tagger, version, rules), strict=True)]
+                yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(spans, pa.list_(ITEM))], [*kept, "spans"])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), f"spans {SPAN}"])
+    return rows.mapInArrow(run, schema).where(F.size("spans") > 0).withColumnsRenamed({f"_{c}": c for c in keep})
+
+
+def label_counts(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, n): spans by label."""
+    return found.select(*keys, F.explode("spans").alias("s")).groupBy(*keys, F.col("s.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tagged_segments(df: DataFrame, id_col: str, tokens: str, tags: str) -> DataFrame:
+    """(id, start, end, label): spans of texts given as tokens (which put together are the text, blanks included) and their tags.
+    Decoded over whole batches; a null list, and lists of unequal length, have no spans."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens"), F.col(tags).alias("tags")).where(F.size("tokens") == F.size("tags"))
     kind = rows.schema["id"].dataType.simpleString()
-    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [[{"start": a, "end": b, "label": k, "text": t[a:b]} for a, b, k in find_spans(t)] for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("id"), pa.array(spans, pa.list_(item))], ["id", "spans"])
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                words, marks = batch.column("tokens").flatten(), batch.column("tags").flatten().dictionary_encode()
+                row = np.repeat(np.arange(batch.num_rows), batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False))
+                cps, offs = tk.codepoints(words)
+                names = [t or "O" for t in marks.dictionary.to_pylist()]
+                code = marks.indices.to_numpy(zero_copy_only=False)
+                place = np.array(["OIB".index(t[0]) for t in names] or [0])[code] if len(code) else np.zeros(0, np.int64)
+                labels = [t[2:] for t in names]
+                number = np.array([labels.index(x) for x in labels] or [0])[code] if len(code) else np.zeros(0, np.int64)
+                space = np.isin(cps, [ord(c) for c in " \t\n\r\f\v\u00a0"])
+                dark = np.concatenate([[0], np.cumsum(~space)])
+                blank = dark[offs[1:]] == dark[offs[:-1]]
+                wide = np.flatnonzero(offs[1:] > offs[:-1])
+                first, last = (wide[x] for x in tag_runs(place[wide], number[wide], blank[wide], row[wide]))
+                begin = offs[np.searchsorted(row, np.arange(batch.num_rows))] if len(row) else offs[:1]
+                found = []
+                for i, j in zip(first, last, strict=True):
+                    body = cps[offs[i] : offs[j + 1]].tobytes().decode("utf-32-le", "surrogatepass")
+                    a, b = trim_span(body, 0, len(body), labels[code[i]] == "PERSON_NAME")
+                    if a < b:
+                        at = int(offs[i] - begin[row[i]])
+                        found.append((int(row[i]), at + a, at + b, labels[code[i]]))
+                cols = list(zip(*found, strict=True)) if found else [[]] * 4
+                yield pa.record_batch([batch.column("id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["id", "start", "end", "label"])
+
+    return rows.mapInArrow(run, f"id {kind}, start int, end int, label string")
 
-    return rows.mapInArrow(run, f"id {kind}, spans {SPAN}").where(F.size("spans") > 0)
+
+def runs_of_digits(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, start, end, groups, digits, kind) of every run of digits (see digit_runs), kind being date, card, address or plain."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike("\\p{Nd}"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tk.slices(whole, "text"):
+                cps, offs = tk.codepoints(batch.column("text"))
+                r = digit_runs(cps, offs)
+                begin = offs[r.text]
+                ends = r.end[r.first + r.count - 1] if len(r.first) else r.first
+                ints = [r.start[r.first] - begin, ends - begin, r.count, r.per_run(r.end - r.start)]
+                yield pa.record_batch([batch.column("id").take(pa.array(r.text)), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(r.kinds().astype(str).tolist() if len(r.first) else [], pa.string())], ["id", "start", "end", "groups", "digits", "kind"])
+
+    return rows.mapInArrow(run, f"id {kind}, start int, end int, groups int, digits int, kind string")
 
 
 def redact(text: Column, spans: Column, form: str = "[{label}]") -> Column:
@@ -146,3 +519,10 @@ def central_window(k: Column, starts: Column, width: int) -> Column:
     holding = F.filter(starts, lambda s: (s <= k) & (k < s + width))
     rated = F.transform(holding, lambda s: F.struct((-F.least(k - s, s + width - 1 - k)).alias("edge"), s.alias("s")))
     return F.array_min(rated)["s"]
+
+
+def renamed(spans: Column, names: dict[str, str], wanted: list[str] | None = None) -> Column:
+    """Spans under other labels; labels without one, and those not wanted, fall away."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    out = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(table, s["label"]).alias("label"), s["text"].alias("text")))
+    return F.filter(out, lambda s: s["label"].isin(*wanted) if wanted else s["label"].isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Steps of a rarity for each doubling of the count; a rarity is below 64 STEPS, however large the corpus.
 STEPS = 1024
 
@@ -51,10 +51,10 @@ def word_rarity(texts: DataFrame) -> np.ndarray:
     scale no corpus reaches the end of the range, so common words stay apart from each other and from rare ones at any
     size. The result has BUCKETS numbers however many texts there are, so the driver may hold and broadcast it; a task
     hands on at most one row a bucket that it met."""
-    counts = texts.select("text").mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.floor(F.log2(F.sum("n") + 1.0) * STEPS).cast("int").alias("n"))
     out = np.zeros(BUCKETS, np.int32)
     for r in counts.toArrow().to_batches():
-        out[r.column("bucket").to_numpy()] = (np.log2(1.0 + r.column("n").to_numpy()) * STEPS).astype(np.int32)
+        out[r.column("bucket").to_numpy()] = r.column("n").to_numpy()
     return out
 
 

@@ -1,3 +1,7 @@
+import json
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,14 +39,78 @@ def test_compile_questions():
 
 def test_windows_cover_and_fit():
     text = " ".join(f"Word{i} goes on." if i % 7 == 0 else f"word{i}" for i in range(500))
-    for limit, overlap in ((16, 4), (50, 64), (1000, 10), (9, 0)):
-        got = decide.windows(text, limit, overlap)
-        assert got[0][0] == 0 and got[-1][1] == len(text)
-        assert all(len(text[a:b].split()) <= limit for a, b in got)
-        assert all(c <= b + 1 and c > a for (a, b), (c, _) in zip(got, got[1:]))
+    for limit, overlap in ((16, 4), (50, 64), (2000, 10), (9, 0)):
+        for tokens in (decide.word_tokens, decide.piece_tokens(3)):
+            got = decide.windows(text, limit, overlap, tokens)
+            assert got[0][0] == 0 and got[-1][1] == len(text)
+            sizes = [len(tokens(np.frombuffer(text[a:b].encode("utf-32-le"), np.uint32))[0]) for a, b in got]
+            assert len(got) == 1 or max(sizes) <= limit
+            assert all(c <= b + 1 and c > a for (a, b), (c, _) in zip(got, got[1:]))
     assert decide.windows("", 5) == [(0, 0)] and decide.windows("x" * 10_000, 5) == [(0, 10_000)]
 
 
+def test_windows_end_at_sentences_and_shrink():
+    text = "One two three. Four five six. Seven eight nine. Ten eleven twelve."
+    assert [text[a:b] for a, b in decide.windows(text, 7, 0)] == ["One two three. Four five six.", "Seven eight nine. Ten eleven twelve."]
+    assert all(b - a <= 22 for a, b in decide.windows(text, 7, 2, excess=lambda t: max(0, len(t) - 22)))
+
+
+def test_piece_tokens():
+    text = "internationally, ok!  日本"
+    start, end = decide.piece_tokens(6)(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    assert [text[a:b] for a, b in zip(start, end)] == ["intern", "ationa", "lly", ",", "ok", "!", "日本"]
+
+
+def test_over_limit_policies(spark):
+    df = spark.createDataFrame([(1, "a b c. " * 30), (2, "short"), (3, None), (4, "")], "id long, state string")
+    cut = {r["id"]: r for r in decide.plan_windows(df, "id", "state", 10, over="cut", parts=True).collect()}
+    assert cut[1]["cut"] and len(cut[1]["part"].split()) == 10 and not cut[2]["cut"] and set(cut) == {1, 2, 4}
+    with pytest.raises(Exception, match="90 tokens"):
+        decide.plan_windows(df, "id", "state", 10, over="error").collect()
+    with pytest.raises(ValueError):
+        decide.plan_windows(df, "id", "state", 10, over="drop")
+    spec = {"n": {"type": "noul", "instructions": "?"}}
+    got = {r["id"]: r for r in decide.decide(df, "id", "state", spec, limit=10, meta=True).collect()}
+    assert len(got[1]["windows"]) == len(got[1]["window_probs"]) > 5 and got[2]["windows"] is None and not got[1]["truncated"]
+    got = {r["id"]: r for r in decide.decide(df, "id", "state", spec, limit=10, over="cut", meta=True).collect()}
+    assert got[1]["truncated"] and not got[2]["truncated"] and got[1]["decoded"] == []
+    coded = spark.createDataFrame([(1, "the dog begins to bark".encode().hex())], "id long, state string")
+    spec = {"t": {"type": "choice", "instructions": "?", "criteria": {"cats": "cat whiskers", "dogs": "dog bark"}}}
+    r = decide.decide(coded, "id", "state", spec, meta=True, decoded=True).first()
+    assert r["answer"] == "dogs" and r["decoded"] == ["hex"]
+
+
+def test_preset(spark, tmp_path):
+    preset = {"state": {"a": ["{text}", {"b": "{text}"}], "c": 1}, "questions": {"t": {"type": "choice", "instructions": "?", "criteria": {"cats": "cat", "dogs": "dog"}}, "s": {"type": "score", "instructions": "?", "criteria": {"low": None, "high": None}, "requires": ["k"]}}}
+    path = tmp_path / "p.json"
+    path.write_text(json.dumps(preset))
+    df = spark.createDataFrame([(1, 'a "dog"\n'), (2, '{"k": "cat"}'), (3, "[1, 2]"), (4, None)], "id long, text string")
+    states = {r["id"]: r["s"] for r in df.select("id", decide.as_state(F.col("text"), preset["state"]).alias("s")).collect()}
+    assert json.loads(states[1]) == {"a": ['a "dog"\n', {"b": 'a "dog"\n'}], "c": 1} and states[2] == '{"k": "cat"}' and states[4] is None
+    got = {r["id"]: r for r in decide.predict_many(df, "id", "text", str(path), {"n": {"type": "noul", "instructions": "?"}}, limit=2).collect()}
+    one, two = json.loads(got[1]["answers"]), json.loads(got[2]["answers"])
+    assert one["t"]["choice"] == "dogs" and set(one) == {"t", "n"} and set(two) == {"t", "n", "s"} and 4 not in got
+    assert two["s"]["legend"] == {"0": "low", "1": "high"} and abs(sum(one["t"]["probabilities"].values()) - 1) < 1e-3 and one["n"] == {"type": "noul", "noul": 0.5}
+    assert got[1]["warnings"] == [f"state is {got[1]['input_tokens']} tokens; the first 2 are read"] and got[2]["warnings"] == []
+    with pytest.raises(ValueError):
+        decide.load_preset({"state": "x"})
+
+
+def test_batch_scorer_encodes_options_once(spark):
+    spec = {"t": {"type": "choice", "instructions": "?", "criteria": {"cats": "cat whiskers", "dogs": "dog bark"}}}
+    df = spark.createDataFrame([(i, "the dog barks" if i % 2 else "whiskers of a cat") for i in range(20)] + [(99, "")], "id long, state string")
+    got = {r["id"]: r["answer"] for r in decide.decide(df, "id", "state", spec, scorer=decide.batch_scorer(decide.hashed_similarity)).collect()}
+    assert all(got[i] == ("dogs" if i % 2 else "cats") for i in range(20)) and 99 in got
+
+
+def test_too_many_options_are_an_error(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "key int, vector array<double>")
+    rows = v.select(F.col("key").alias("id"), F.col("vector").alias("embedding"))
+    assert len(decide.bi_encoder(rows, v).first()["p"]) == 5
+    with pytest.raises(Exception, match="more than 4 options"):
+        decide.bi_encoder(rows, v, max_options=4).collect()
+
+
 def test_decide(spark):
     spec = {"t": {"type": "choice", "instructions": "?", "criteria": {"cats": "cat whiskers", "dogs": "dog bark"}}, "n": {"type": "noul", "instructions": "?", "requires": ["k"]}}
     df = spark.createDataFrame([(1, "the dog began to bark"), (2, None), (3, '{"z": "cat"}'), (4, "")], "id long, state string")
@@ -90,6 +158,49 @@ def test_backstop_only_adds():
     assert spans.phone_backstop(text, given) == given
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("call +49 (0) 151 2345678 or 0152 7654321", ["+49 (0) 151 2345678", "0152 7654321"]), ("جوالي ٠٥٥١٢٣٤٥٦٧ شكرا", ["٠٥٥١٢٣٤٥٦٧"]), ("0551234567 (mobile)", ["0551234567"]), ("phone 12/05/2024", []), ("tel INV-2026-77411234", []),
+        ("phone 4111 1111 1111 1112", []), ("mobile 0151 2345678 kg", []), ("my phone broke. See 0151 2345678", []), ("phone order 0151 2345678", []), ("tel 0800 1234567", []), ("phone at 0151 2345678:30", []), ("телефон: 8 912 345 67 89", ["8 912 345 67 89"]), ("8 912 345 67 89", []),
+    ],
+)
+def test_phone_rules(text, found):
+    assert [text[a:b] for a, b, k in spans.find_spans(text) if k == "PHONE"] == found
+
+
+def test_word_lists():
+    words = spans.WordList("phone* my_number جوال* exact")
+    at = lambda t: words.at([(m.start(), m.end(), spans.word_key(m[0])) for m in spans.TOKEN.finditer(t)], 0)
+    assert at("Phones") == 1 and at("phonetics") == 0 and at("my number") == 2 and at("my   number") == 0 and at("والجوالي") == 1 and at("exacts") == 0
+
+
+def test_versions_and_taggers(spark):
+    tagged = lambda texts: [([(0, 4), (4, 5), (5, 7), (8, len(t))], ["B-PERSON_NAME", "O", "I-PERSON_NAME", "B-PHONE"]) for t in texts]
+    text = "Anna S. one two three four"
+    assert spans.find_batch([text], tagged, "v1") == [[(0, 6, "PERSON_NAME")]]
+    assert spans.find_batch([text], tagged, "v2") == [[(0, 7, "PERSON_NAME"), (8, len(text), "PHONE")]]
+    df = spark.createDataFrame([(1, text), (2, None), (3, text)], "id long, text string")
+    got = spans.pii_spans(df, "id", "text", tagged, "v2", guard=None, keep=("text",)).collect()
+    assert {(r["id"], r["text"], len(r["spans"])) for r in got} == {(1, text, 2), (3, text, 2)}
+    with pytest.raises(ValueError):
+        spans.find_batch([], version="v9")
+    assert spans.keep_span("وسارة", 1, 5, "PERSON_NAME") and not spans.keep_span("xسارة", 1, 5, "PERSON_NAME") and not spans.keep_span("ابوسارة", 3, 7, "PERSON_NAME")
+
+
+def test_segments_of_tagged_tokens(spark):
+    rows = [(1, ["Ann", " ", "Lee", ",", " ", "x"], ["B-N", "O", "I-N", "O", "O", "I-N"]), (2, ["a", "b"], ["B-N", "B-N"]), (3, None, None), (4, ["a"], []), (5, [" ", "«q»"], ["I-N", "I-N"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, tags array<string>")
+    got = sorted(map(tuple, spans.tagged_segments(df, "id", "tokens", "tags").collect()))
+    assert got == [(1, 0, 7, "N"), (1, 9, 10, "N"), (2, 0, 1, "N"), (2, 1, 2, "N"), (5, 2, 3, "N")]
+
+
+def test_digit_runs(spark):
+    df = spark.createDataFrame([(1, "am 12.05.2024, 4111 1111 1111 1111 und 1.2.3.4"), (2, "١٢-٣٤"), (3, None), (4, "9"), (5, "8  --  7")], "id long, text string")
+    got = {(r["id"], r["start"]): (r["groups"], r["digits"], r["kind"]) for r in spans.runs_of_digits(df, "id", "text").collect()}
+    assert got == {(1, 3): (3, 8, "date"), (1, 15): (4, 16, "card"), (1, 39): (4, 4, "address"), (2, 0): (2, 4, "plain"), (4, 0): (1, 1, "plain"), (5, 0): (1, 1, "plain"), (5, 7): (1, 1, "plain")}
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a@b.example and c@d.example 😀 e@f.example")], "id int, text string")
     s = spans.pii_spans(df, "id", "text")
@@ -97,7 +208,7 @@ def test_redact(spark):
     assert out == "<EMAIL:a@b.example> and <EMAIL:c@d.example> 😀 <EMAIL:e@f.example>"
 
 
-@pytest.mark.parametrize("n,w,stride", [(255, 254, 192), (300, 254, 192), (1000, 254, 192), (17, 5, 3), (11, 5, 5), (3, 5, 2)])
+@pytest.mark.parametrize("n,w,stride", [(128, 127, 90), (150, 128, 90), (700, 128, 90), (23, 7, 4), (20, 6, 6), (3, 5, 2)])
 def test_window_starts(spark, n, w, stride):
     starts = one(spark, spans.window_starts(F.lit(n), w, stride))
     assert starts[0] == 0 and (n <= w or starts[-1] == n - w)
@@ -120,8 +231,25 @@ def test_decode_text():
         assert D.decode_text(same) == (same, [])
 
 
-def test_chain_parts():
-    assert D.split_chain("cd a && ls 'x;y' | wc; echo \"a||b\" || true\nnext") == ["cd a", "ls 'x;y'", "wc", 'echo "a||b"', "true", "next"]
+def test_chain_parts(spark):
+    parts = lambda t: one(spark, D.chain_parts(F.lit(t)))
+    assert parts("cd a && ls 'x;y' | wc; echo \"a||b\" || true\nnext") == ["cd a", "ls 'x;y'", "wc", 'echo "a||b"', "true", "next"]
+    assert parts("") == [] and parts(" ; && ") == [] and parts("a 'b; c") == ["a 'b; c"] and parts(None) is None
+
+
+def test_decode_forms_and_borders():
+    texts = ["Where can a small kiln be rented?", "کوره کوچک کجا اجاره می شود", "Где взять печь в аренду?"]
+    for t in texts:
+        units = [t.encode("utf-16-be")[i : i + 2].hex() for i in range(0, 2 * len(t), 2)]
+        octets = [f"{b:02X}" for b in t.encode()]
+        for form in (" ".join(units), ", ".join("0x" + u for u in units), "\n".join(units), " ".join(octets), ",".join("0x" + b for b in octets), ":".join(octets), "".join(f"\\u{u}" for u in units)):
+            assert D.decode_text(f"<{form}>")[0] == f"<{t}>", form
+    # runs do not cross from one text of a batch to the next, and nulls, empty and long texts keep their places
+    parts = ["0057 0068", "0065 0072", "65 72 65 20", "63 61 6e 20 61 20", "", "x" * 3_000_000, texts[0].encode().hex()]
+    got = D.decode_texts(parts)
+    assert [t for t, _ in got[:6]] == parts[:6] and got[6] == (texts[0], ["hex"])
+    frame = D._decode(pd.Series([None, texts[0].encode().hex(), None, ""]))
+    assert frame["text"].tolist()[1:2] == [texts[0]] and frame["text"].isna().tolist() == [True, False, True, False]
 
 
 def test_strip_cd(spark):

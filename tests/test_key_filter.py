@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators.key_filter import likely_in, rows_in
+from sievework.functions import textkernel as tk
+from sievework.operators.key_filter import likely_in, rows_in, rows_not_in
 from sievework.operators.selection import cap_per, near_duplicates
 from sievework.operators.word_rarity import BUCKETS, STEPS, bucket, prefix_length, word_rarity
-from sievework.functions import textkernel as tk
 
 
 @pytest.mark.parametrize("most", [64, 1 << 13, 1 << 28])
@@ -23,6 +23,15 @@ def test_no_wanted_row_is_lost(spark, most):
     assert rows_in(df, "k", wanted.limit(0)).count() == 0 and rows_in(df.limit(0), "k", wanted).count() == 0
 
 
+@pytest.mark.parametrize("most", [64, 1 << 28])
+def test_only_unwanted_rows_are_lost(spark, most):
+    df = spark.range(5_000).select(F.when(F.col("id") > 3, F.col("id")).alias("k"), F.lit("text").alias("text"))
+    gone = df.where("k % 7 = 3").select("k")
+    got = rows_not_in(df, "k", gone, most)
+    assert {r["k"] for r in got.collect()} == {None} | {k for k in range(4, 5_000) if k % 7 != 3} and got.count() == 5_000 - gone.count()
+    assert rows_not_in(df, "k", gone.limit(0), most).count() == 5_000
+
+
 def test_filter_by_text_and_null(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("ü" * 9, 3), ("", 4)], "k string, v int")
     wanted = spark.createDataFrame([("a",), ("",), ("ü" * 9,)], "k string")

@@ -48,8 +48,18 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", [n for m in CORE for n in m.QUERIES if n not in m.SQL])
-def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+def test_same_rows_whatever_the_partitions(spark, name):
+    """Queries without SQL give rows, and the very same ones when the work is cut up otherwise."""
+    first = rows(entry.queries()[name](spark, SF).toPandas())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(before, ("7", "65536", "37"), strict=True):
+            spark.conf.set(k, v)
+        again = rows(entry.queries()[name](spark, SF).toPandas())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert first and first == again
 
 
 def test_entry(spark):
