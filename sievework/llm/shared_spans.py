@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import textkernel as tk
-from sievework.operators.key_filter import rows_in
+from sievework.operators.key_filter import rows_in, rows_not_in
 from sievework.operators.word_rarity import bucket, word_rarity
 from sievework.session import stage
 
@@ -315,9 +315,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
     digests = stage(rows.select("id", F.unhex(F.md5("text")).alias("digest")).dropDuplicates(["id"]), "digests")
     heads = digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
     classes = stage(digests.join(heads, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")), "span-classes")
-    copies = classes.where("id <> rep").select("id")
+    copies = stage(classes.where("id <> rep").select("id"), "span-copies")
     rarity = word_rarity(rows.select("text"))
-    seeds = stage(rows.mapInArrow(_seeds(k, span, rarity), f"seed bigint, id {kind}, at int, more array<int>").join(copies, "id", "left_anti"), "seeds")
+    seeds = rows_not_in(stage(rows.mapInArrow(_seeds(k, span, rarity), f"seed bigint, id {kind}, at int, more array<int>"), "seeds"), "id", copies)
     a = seeds.select("seed", F.col("id").alias("id_a"), F.col("at").alias("a"), F.col("more").alias("more_a"))
     b = seeds.select("seed", F.col("id").alias("id_b"), F.col("at").alias("b"), F.col("more").alias("more_b"))
     met = a.join(b, "seed").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.collect_list(F.struct("a", "b", "more_a", "more_b")).alias("seeds"))
