@@ -126,3 +126,9 @@ def ordinal(score: Column, gaps: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+
+
+def binary_cross_entropy(p: Column, target: Column) -> Column:
+    """Mean over the options of the cross-entropy of each probability with its target, clipped at 1e-12."""
+    one = lambda x, t: t * F.ln(F.greatest(x, F.lit(EPS))) + (1 - t) * F.ln(F.greatest(1 - x, F.lit(EPS)))
+    return -total(F.zip_with(p, target, one)) / F.size(p)

@@ -233,3 +233,36 @@ def fitting_heads(words_: Column, question: Column, options: Column, limit: int)
     heads = lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda k: size(F.array_join(F.slice(w, F.lit(1), k), " ")))
     fit = lambda w, h, q: F.transform(options, lambda o: F.when(q + size(o) + 1 <= limit, F.size(w)).otherwise(F.greatest(F.lit(0), F.size(F.filter(h, lambda x: x + size(o) + 1 <= limit)) - 1)).cast("bigint"))
     return let(words_, lambda w: let(heads(w), lambda h: let(size(question), lambda q: fit(w, h, q))))
+
+
+def judged_parts(state: Column, shorter_than: int = 400) -> Column:
+    """What a state asks about: the named members of a JSON object, or a short plain text itself."""
+    named = F.array_compact(F.array(*[F.get_json_object(state, f"$.{k}") for k in ("command", "goal", "proposed", "task", "input.command")]))
+    return F.when(F.json_object_keys(state).isNotNull(), named).when(F.length(state) < shorter_than, F.array(state)).otherwise(F.array().cast("array<string>"))
+
+
+def reversed_mark(c: Column) -> Column:
+    return F.concat(F.lit("⟦rev:"), F.reverse(c), F.lit("⟧"))
+
+
+def unreversed(c: Column) -> Column:
+    """The text with every marked stretch turned round and the marks gone."""
+    parts = F.regexp_extract_all(c, F.lit("(?s)⟦rev:[^⟧]*⟧|.[^⟦]*"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("⟦rev:") & p.endswith("⟧"), F.reverse(F.substring(p, F.lit(6), F.length(p) - 6))).otherwise(p)), "")
+
+
+def stands_alone(c: Column, name: Column) -> Column:
+    """Whether the name occurs with neither a letter, digit, underscore nor hyphen beside it."""
+    return F.regexp_like(F.concat(F.lit(" "), c, F.lit(" ")), F.concat(F.lit("[^\\w-]\\Q"), name, F.lit("\\E[^\\w-]")))
+
+
+def worded_options(options: Column, key: Column) -> Column:
+    """Options in one of five wordings, drawn by a hash of key; the pretty one where two come out alike."""
+    named = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    described = lambda c: F.concat(named(c), F.lit(": "), pretty_label(c))
+    bit = lambda i: _hex8(F.md5(F.concat(key, F.lit(":"), i.cast("string")))) % 2
+    u = md5_bucket("style", key)
+    pretty = F.transform(options, pretty_label)
+    mixed = F.transform(options, lambda c, i: F.when(bit(i) == 0, named(c)).otherwise(described(c)))
+    made = F.when(u < 0.33, pretty).when(u < 0.48, F.transform(options, named)).when(u < 0.56, F.transform(options, lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30)))).when(u < 0.76, F.transform(options, described)).otherwise(mixed)
+    return let(made, lambda o: F.when(F.size(F.array_distinct(o)) < F.size(o), pretty).otherwise(o))

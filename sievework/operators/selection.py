@@ -166,3 +166,16 @@ def sized_places(df: DataFrame, size: str, id_col: str) -> DataFrame:
     before = counts.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     ranked = hash_rank(df, size, id_col)
     return ranked.join(before, size).withColumn("upto", F.col("_before") + F.col(size) * F.col("rank")).drop("_before", "rank")
+
+
+def weighted_choice(df: DataFrame, id_col: str, weights: DataFrame, name: str, weight: str, salt: str, most: int = 10_000) -> DataFrame:
+    """df with one of the names of weights for each row, drawn by a salted hash of its id with the weights given; at most `most`
+    names, more are an error, so the cumulated weights travel as one broadcast row."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(weight).cast("double").alias("w"))))
+    bound = F.assert_true(F.count(F.lit(1)) <= most, F.lit(f"more than {most} names"))
+    table = weights.limit(most + 1).agg(listed.alias("_t"), F.sum(weight).alias("_n"), bound.alias("_ok")).where("_ok IS NULL").drop("_ok")
+    u = F.conv(F.substring(F.sha1(F.concat(F.lit(salt + ":"), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("string").alias("pick"))
+    step = lambda a, x: F.struct((a["upto"] + x["w"]).alias("upto"), F.coalesce(a["pick"], F.when(F.col("_u") < a["upto"] + x["w"], x["name"])).alias("pick"))
+    rows = df.crossJoin(F.broadcast(table)).withColumn("_u", u * F.col("_n"))
+    return rows.withColumn(name, F.aggregate("_t", start, step, lambda a: a["pick"])).drop("_t", "_n", "_u")

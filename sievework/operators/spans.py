@@ -526,3 +526,9 @@ def renamed(spans: Column, names: dict[str, str], wanted: list[str] | None = Non
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     out = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(table, s["label"]).alias("label"), s["text"].alias("text")))
     return F.filter(out, lambda s: s["label"].isin(*wanted) if wanted else s["label"].isNotNull())
+
+
+def digits_in(c: Column) -> Column:
+    """Digits of any script in a text, a number word counting as two."""
+    words_ = F.regexp_extract_all(F.lower(c), F.lit("\\p{L}+"), F.lit(0))
+    return F.regexp_count(c, F.lit("\\p{Nd}")) + 2 * F.size(F.filter(words_, lambda w: w.isin(*sorted(_number_words()))))

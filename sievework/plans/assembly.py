@@ -72,15 +72,6 @@ def l05_first_n(spark, d):
     return table(spark, d, "items").where("group_id IS NULL").withColumn("r", F.row_number().over(w)).where("r <= 5").select("suite", "id")
 
 
-_U = "('0x' || substr(sha1('w:' || row_id), 1, 8))::BIGINT / 4294967296.0"
-
-
-@query(f"SELECT row_id, CASE WHEN {_U} < 0.5 THEN 'a' WHEN {_U} < 0.8 THEN 'b' ELSE 'c' END AS choice FROM examples")
-def l09_weighted_choice(spark, d):
-    u = F.conv(F.substring(F.sha1(F.concat(F.lit("w:"), F.col("row_id").cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    return table(spark, d, "examples").select("row_id", F.when(u < 0.5, "a").when(u < 0.8, "b").otherwise("c").alias("choice"))
-
-
 @query("SELECT i.id, coalesce(m.lang, i.lang) AS lang, coalesce(m.kind, i.kind) AS kind FROM items i LEFT JOIN manifest m USING (id)")
 def u05_merge_right_wins(spark, d):
     right = table(spark, d, "manifest").select("id", F.col("lang").alias("l"), F.col("kind").alias("k"))
@@ -141,16 +132,6 @@ def p27_mask_or_block(spark, d):
     return s.select(F.col("id").alias("doc_id"), spans.mask_or_block(F.col("text"), F.col("spans"), labels=["EMAIL", "CARD", "IBAN"]).alias("r")).select("doc_id", "r.*")
 
 
-_NUM = "one|two|three|four|five|six|seven|eight|nine|ten|twice"
-
-
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '[0-9٠-٩۰-۹]')) + 2 * len(regexp_extract_all(replace(' ' || lower(text) || ' ', ' ', '  '), '[^\\p{{L}}]({_NUM})[^\\p{{L}}]')) AS n FROM documents WHERE text IS NOT NULL")
-def f36_digit_count(spark, d):
-    padded = F.replace(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lit(" "), F.lit("  "))
-    n = F.regexp_count("text", F.lit("[0-9٠-٩۰-۹]")) + 2 * F.regexp_count(padded, F.lit(f"[^\\p{{L}}]({_NUM})[^\\p{{L}}]"))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", n.cast("bigint").alias("n"))
-
-
 @query("SELECT DISTINCT question, array_to_string(list_transform(regexp_extract_all(question, '[\\p{L}]+'), lambda w: upper(substr(w, 1, 1))), '') AS acronym FROM items")
 def f43_acronym(spark, d):
     letters = F.transform(F.regexp_extract_all("question", F.lit("[\\p{L}]+"), F.lit(0)), lambda w: F.upper(F.substring(w, 1, 1)))
@@ -248,4 +229,13 @@ def e10_bootstrap_by_suite(spark, d):
     return metrics.bootstrap_ci(_ev(spark, d), ["system_name", "suite"], F.md5("state"))
 
 
+_NUMBERS = ", ".join(f"'{w}'" for w in sorted(spans._number_words()))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '\\p{{Nd}}')) + 2 * len(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: w IN ({_NUMBERS}))) AS n FROM documents WHERE text IS NOT NULL")
+def f36_digit_count(spark, d):
+    """Digits of any script, and two for each number word of eight languages."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", spans.digits_in(F.col("text")).cast("bigint").alias("n"))
+
+
 QUERIES = Q

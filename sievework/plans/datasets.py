@@ -161,16 +161,6 @@ def f24_smooth_labels(spark, d):
     return _ex(spark, d).select("row_id", F.transform(A.smooth_labels(F.col("n_choices"), F.col("gold")), lambda x: F.round(x, 6)).alias("p"))
 
 
-@query("""WITH k AS (SELECT row_id, n_choices AS n, list_position(probs, list_max(probs)) - 1 AS i, list_max(probs) AS v FROM examples WHERE probs IS NOT NULL AND kind = 'choose'),
-    e AS (SELECT row_id, list_transform(range(n), lambda j: greatest(1e-4, CASE WHEN j = i THEN v ELSE greatest(0, 1 - v) / greatest(1, n - 1) END)) AS e FROM k WHERE v BETWEEN 0.5 AND 1.02)
-    SELECT row_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS p FROM e""")
-def f25_densify(spark, d):
-    rows = _ex(spark, d).where("probs IS NOT NULL AND kind = 'choose'")
-    top = A.argmax_first(F.col("probs"))
-    p = A.densify(F.array(top), F.array(F.array_max("probs")), F.col("n_choices"))
-    return rows.select("row_id", F.transform(p, lambda x: F.round(x, 6)).alias("p")).where("p IS NOT NULL")
-
-
 @query("""SELECT row_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS p FROM (SELECT row_id, list_transform(probs, lambda x: greatest(x, 1e-4)) AS e FROM examples WHERE probs IS NOT NULL AND kind <> 'rank' AND list_sum(probs) BETWEEN 0.9 AND 1.1)""")
 def f26_floor_probs(spark, d):
     rows = _ex(spark, d).where("probs IS NOT NULL AND kind <> 'rank'").withColumn("q", A.floor_probs(F.col("probs"))).where("q IS NOT NULL")
@@ -260,38 +250,12 @@ def p17_judged_text(spark, d):
     return _ex(spark, d).where("state IS NOT NULL").select("row_id", F.md5(kept).alias("digest"))
 
 
-@query("SELECT row_id, list_filter([state ->> '$.command', state ->> '$.goal', state ->> '$.proposed', state ->> '$.task'], lambda x: x IS NOT NULL) AS parts FROM examples WHERE json_valid(state)")
-def p18_goals(spark, d):
-    parts = F.array_compact(F.array(*[F.get_json_object("state", f"$.{k}") for k in ("command", "goal", "proposed", "task")]))
-    return _ex(spark, d).where(F.json_object_keys("state").isNotNull()).select("row_id", parts.alias("parts"))
-
-
-@query("SELECT DISTINCT regexp_replace(reverse('abc' || kind), 'cba$', '') AS back, kind FROM examples")
-def p30_reverse(spark, d):
-    marked = F.concat(F.lit("⟦rev:"), F.reverse(F.concat(F.lit("abc"), "kind")), F.lit("⟧"))
-    inner = F.element_at(F.regexp_extract_all(marked, F.lit("⟦rev:(.*?)⟧"), F.lit(1)), 1)
-    return _ex(spark, d).select(F.regexp_replace(inner, "cba$", "").alias("back"), "kind").distinct()
-
-
-@query("SELECT DISTINCT md5(text) AS digest FROM documents WHERE regexp_matches(text, '(?i)refund|password|invoice')")
-def p31_keyword_filter(spark, d):
-    return _docs(spark, d).where(F.col("text").rlike("(?i)refund|password|invoice")).select(F.md5("text").alias("digest")).distinct()
-
-
 @query(f"""SELECT row_id, CASE WHEN source = 'hand-written' THEN 'test' WHEN {_HEX.format("md5('s:' || source || coalesce(group_id, ''))")} / 4294967296.0 < 0.1 THEN 'test' ELSE 'train' END AS part FROM examples""")
 def p32_source_split(spark, d):
     bucket = T.md5_bucket("s", F.concat("source", F.coalesce("group_id", F.lit(""))))
     return _ex(spark, d).select("row_id", F.when(F.col("source") == "hand-written", "test").when(bucket < 0.1, "test").otherwise("train").alias("part"))
 
 
-@query("""SELECT row_id, CASE label_format WHEN 'key' THEN list_transform(choices, lambda c: replace(lower(c), ' ', '_')) WHEN 'title' THEN list_transform(choices, lambda c: upper(substr(c, 1, 1)) || substr(c, 2)) ELSE choices END AS options FROM examples""")
-def p33_option_style(spark, d):
-    c = F.col("choices")
-    key = F.transform(c, lambda x: F.replace(F.lower(x), F.lit(" "), F.lit("_")))
-    title = F.transform(c, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30)))
-    return _ex(spark, d).select("row_id", F.when(F.col("label_format") == "key", key).when(F.col("label_format") == "title", title).otherwise(c).alias("options"))
-
-
 @query("SELECT row_id, md5(concat_ws(chr(10), question, state)) AS digest FROM examples")
 def p34_question_first(spark, d):
     return _ex(spark, d).select("row_id", F.md5(F.concat_ws("\n", "question", "state")).alias("digest"))
@@ -317,12 +281,6 @@ def p36_verbatim_kept(spark, d):
     return _prior(spark, d).select("id", T.verbatim_kept(F.col("before"), F.col("after")).alias("kept"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^\\p{L}\\p{N}](reader|tenant|courier)[^\\p{L}\\p{N}]')) AS n FROM documents WHERE text IS NOT NULL")
-def p37_name_occurrence(spark, d):
-    padded = F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" "))
-    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.regexp_count(padded, F.lit("[^\\p{L}\\p{N}](reader|tenant|courier)[^\\p{L}\\p{N}]")).cast("bigint").alias("n"))
-
-
 @query("SELECT e.row_id FROM examples e JOIN (SELECT group_id FROM examples WHERE kind = 'verify' GROUP BY group_id HAVING min(gold) < max(gold)) USING (group_id) WHERE kind = 'verify'")
 def p38_two_sided(spark, d):
     rows = _ex(spark, d).where("kind = 'verify'")
@@ -352,14 +310,6 @@ def w04_round_robin(spark, d):
     return S.round_robin(_ex(spark, d).select("source", "row_id"), "source", ["row_id"], 200, 60)
 
 
-@query("SELECT domain_name, slot, row_id FROM (SELECT domain_name, slot, row_id, row_number() OVER (PARTITION BY domain_name, slot ORDER BY sha1(row_id || '/' || slot), row_id) AS r FROM examples, range(2) s(slot)) WHERE r <= 5")
-def w05_domain_slots(spark, d):
-    rows = _ex(spark, d).select("domain_name", "row_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("slot"))
-    rows = rows.withColumn("h", F.sha1(F.concat(F.col("row_id").cast("string"), F.lit("/"), F.col("slot").cast("string"))))
-    w = Window.partitionBy("domain_name", "slot").orderBy("h", "row_id")
-    return rows.withColumn("r", F.row_number().over(w)).where("r <= 5").select("domain_name", "slot", "row_id")
-
-
 @query("SELECT row_id, list_transform(list_slice(list_reverse_sort(list_transform(probs, lambda x, i: {'p': x, 'i': -i})), 1, 3), lambda s: -s.i - 1) AS top, greatest(0, len(probs) - 3) AS more FROM examples WHERE probs IS NOT NULL")
 def w08_top_options(spark, d):
     order = F.array_sort(F.transform("probs", lambda x, i: F.struct((-x).alias("p"), i.alias("i"))))
@@ -477,13 +427,6 @@ def j26_exclude_pairs(spark, d):
     return own.join(rows.where("source = 'paraphrase'").select("state", "question"), ["state", "question"], "left_anti").select("row_id")
 
 
-@query("SELECT scenario, count(*) AS n, sum((source = 'hand-written')::INT)::BIGINT AS n_selected FROM examples WHERE scenario IS NOT NULL GROUP BY scenario HAVING sum((source = 'hand-written')::INT) > 0")
-def j25_selected_pool(spark, d):
-    rows = _ex(spark, d).where("scenario IS NOT NULL")
-    chosen = rows.where("source = 'hand-written'").select("scenario").distinct()
-    return rows.join(chosen, "scenario", "left_semi").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "hand-written").alias("n_selected"))
-
-
 @query("SELECT source, kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM examples GROUP BY source, kind")
 def a29_histogram(spark, d):
     h = _ex(spark, d).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -559,13 +502,6 @@ def u04_token_sets(spark, d):
     return _ex(spark, d).where("state IS NOT NULL AND question IS NOT NULL").select("row_id", F.size(F.array_intersect(a, b)).cast("bigint").alias("both"), F.size(F.array_union(a, b)).cast("bigint").alias("either"))
 
 
-@query(f"""SELECT row_id, len(list_filter(list_filter(choices, lambda c, i: i - 1 <> gold), lambda c: len(list_intersect({_W.format("c")}, {_W.format("choices[gold + 1]")})) > 0)) AS near FROM examples WHERE kind = 'choose'""")
-def u07_near_labels(spark, d):
-    gold = F.array_distinct(T.words(F.lower(F.get("choices", F.col("gold")))))
-    near = F.filter("choices", lambda c, i: (i != F.col("gold")) & F.arrays_overlap(T.words(F.lower(c)), gold))
-    return _ex(spark, d).where("kind = 'choose'").select("row_id", F.size(near).cast("bigint").alias("near"))
-
-
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN state IS NULL OR trim(state) = '' THEN 'blank state' WHEN trim(question) = '' THEN 'blank question' WHEN len(list_filter(choices, lambda c: c IS NULL OR trim(c) = '')) > 0 THEN 'blank option'
     WHEN probs IS NULL THEN 'no probabilities' WHEN len(probs) <> len(choices) THEN 'lengths differ' WHEN NOT gold BETWEEN 0 AND len(choices) - 1 THEN 'gold out of range' WHEN len(list_filter(probs, lambda x: x < 0 OR x > 1)) > 0 THEN 'probability out of range'
     WHEN kind <> 'rank' AND abs(list_sum(probs) - 1) > 1e-3 THEN 'sum is not 1' WHEN kind = 'verify' AND len(choices) <> 2 THEN 'verify needs 2 options' WHEN none_idx IS NOT NULL AND NOT none_idx BETWEEN 0 AND len(choices) - 1 THEN 'none option out of range' END AS reason FROM examples) WHERE reason IS NOT NULL GROUP BY reason""")

@@ -368,12 +368,6 @@ def p25_chain_parts(spark, d):
     return rows.where(proposed.isNotNull()).select("row_id", D.chain_parts(proposed).alias("parts"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)password|secret') THEN 'deny' WHEN regexp_matches(text, '(?i)delete|drop') THEN 'ask' ELSE 'allow' END AS outcome FROM documents WHERE text IS NOT NULL")
-def p24_first_rule(spark, d):
-    rules = [("(?i)password|secret", "deny"), ("(?i)delete|drop", "ask")]
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", decide.first_rule(F.col("text"), rules, "allow").alias("outcome"))
-
-
 @query("SELECT DISTINCT id, system_name FROM preds")
 def t01_idempotent_append(spark, d):
     return logs.append_once(spark, f"{d}/preds.parquet", table(spark, d, "preds").schema, ["id", "system_name"]).select("id", "system_name")
