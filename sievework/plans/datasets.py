@@ -509,15 +509,4 @@ def e22_rejects(spark, d):
     return S.validate(_ex(spark, d))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH v AS (SELECT *, {_SPLIT} AS part, row_number() OVER (PARTITION BY id ORDER BY row_id) AS r FROM examples), ok AS (SELECT * FROM v WHERE r = 1 AND state IS NOT NULL AND trim(state) <> '' AND probs IS NOT NULL AND len(probs) = len(choices)),
-    t AS (SELECT DISTINCT state FROM ok WHERE part = 'test') SELECT config, coalesce(part, 'train') AS part, count(*) AS n FROM ok WHERE part IS NOT DISTINCT FROM 'test' OR state NOT IN (SELECT state FROM t) GROUP BY ALL""")
-def e15_release(spark, d):
-    """Release build: first row of each id, valid rows, split names, no training state that is in the test split, counts."""
-    rows = _ex(spark, d).select("id", "row_id", "config", "state", "split", "choices", "probs")
-    rows = S.first_wins(rows, ["id"], ["row_id"]).where("state IS NOT NULL AND trim(state) <> '' AND probs IS NOT NULL AND size(probs) = size(choices)").withColumn("part", split_name(F.col("split")))
-    test = rows.where("part = 'test'").select("state").distinct()
-    kept = rows.where("part IS DISTINCT FROM 'test'").join(test, "state", "left_anti").unionByName(rows.where("part = 'test'"))
-    return kept.groupBy("config", F.coalesce("part", F.lit("train")).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = Q

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import fnmatch
 import tomllib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sievework.session import stage
+
 EXAMPLE = "id string, kind string, state string, question string, choices array<string>, gold int, probs array<double>, state_lang string, choice_lang string"
 ITEM = "id string, suite string, lang string, kind string, question string, choices array<string>, gold int, split string, state string, group_id string, perm array<int>"
 PREDICTION = "system_name string, id string, probs array<double>"
@@ -21,19 +24,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> Data
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType, needs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): lines that don't parse, and rows without one of the needed fields, go to rejects as text."""
+    """(rows, rejects): lines that don't parse, and rows without one of the needed fields, go to rejects as text with the reason.
+    The input is read and parsed once, into a staged table that both come from."""
     own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    full = StructType([*own.fields, StructField("_line", StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").json(path)
+    full = StructType([*own.fields, StructField("_corrupt", StringType())])
     text = spark.read.text(path).where(F.trim("value") != "")
-    parsed = text.withColumn("r", F.from_json("value", own, {"mode": "PERMISSIVE"}))
-    ok = F.lit(True)
-    for c in needs:
-        ok = ok & F.col(f"r.{c}").isNotNull()
-    good = rows.where(F.col("_line").isNull())
+    parsed = text.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    reason = F.when(F.col("r._corrupt").isNotNull() | F.col("r").isNull(), "not JSON")
     for c in needs:
-        good = good.where(F.col(c).isNotNull())
-    return good.drop("_line"), parsed.where(~F.coalesce(ok, F.lit(False))).select(F.col("value").alias("line"))
+        reason = reason.when(F.col(f"r.{c}").isNull(), f"no {c}")
+    parsed = stage(parsed.withColumn("reason", reason), "lines")
+    return parsed.where("reason IS NULL").select(*[f"r.{f.name}" for f in own.fields]), parsed.where("reason IS NOT NULL").select(F.col("value").alias("line"), "reason")
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -69,10 +70,48 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Compressed Parquet. The committer makes the whole output appear at once."""
-    w = df.write.mode("overwrite").option("compression", "zstd")
-    (w.partitionBy(*by) if by else w).parquet(path)
+def write_table(df: DataFrame, path: str, by: list[str] | None = None, schema: str | StructType | None = None, group_rows: int | None = None) -> None:
+    """Compressed Parquet that takes the place of what is there only when it is whole (see replace_folder). schema: the columns and
+    types the table must have; a column that is missing or doesn't fit is an error. group_rows: the most rows of a row group."""
+    if schema is not None:
+        df = df.to(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def write(place: str) -> None:
+        w = df.write.option("compression", "zstd")
+        if group_rows:
+            w = w.option("parquet.block.row.count.limit", group_rows)
+        (w.partitionBy(*by) if by else w).parquet(place)
+
+    replace_folder(df.sparkSession, path, write)
+
+
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside the path, then change names: a reader sees the old folder or the new one, and a failure before the change leaves
+    the old one as it was. What stood there is put aside first and deleted last."""
+    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(new)
+        there = fs.exists(hadoop(path))
+        if there:
+            fs.rename(hadoop(path), hadoop(old))
+        if not fs.rename(hadoop(new), hadoop(path)):
+            if there:
+                fs.rename(hadoop(old), hadoop(path))
+            raise OSError(f"cannot put {path} in its place")
+        if there:
+            fs.delete(hadoop(old), True)
+    finally:
+        fs.delete(hadoop(new), True)
+
+
+def write_sorted_gzip(df: DataFrame, path: str, order: list[str], files: int = 1) -> None:
+    """JSON lines in order, compressed: each file holds a range, fields are sorted by name and the archive has no time stamp, so equal rows
+    give equal bytes. With more than one file the ranges' borders come from a sample, as range partitioning has it."""
+    rows = df.select(*sorted(df.columns))
+    ranged = rows.coalesce(1).sortWithinPartitions(*order) if files == 1 else rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    replace_folder(df.sparkSession, path, lambda place: ranged.write.option("compression", "gzip").json(place))
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:

@@ -16,7 +16,7 @@ def test_json_lines(spark, tmp_path):
     q = tmp_path / "b.jsonl"
     q.write_text('{"id": "1", "state": "x"}\nnot json\n{"id": "2"}\n')
     good, bad = files.read_jsonl_tolerant(spark, str(q), "id string, state string", ["state"])
-    assert [r["id"] for r in good.collect()] == ["1"] and bad.count() == 2
+    assert [r["id"] for r in good.collect()] == ["1"] and {(r["line"], r["reason"]) for r in bad.collect()} == {("not json", "not JSON"), ('{"id": "2"}', "no state")}
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(q), "id string").collect()
 
@@ -49,6 +49,34 @@ def test_append_new_and_digest(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path / "t"), ["id"]).count() == 3
 
 
+def test_replacing_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.write_table(spark.range(100), path, group_rows=30)
+    assert spark.read.parquet(path).count() == 100
+    import pyarrow.parquet as pq
+
+    sizes = [pq.ParquetFile(f).metadata.row_group(0).num_rows for f in (tmp_path / "t").glob("*.parquet")]
+    assert max(sizes) <= 30
+    failing = spark.range(3).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_table(failing, path)
+    assert spark.read.parquet(path).count() == 100
+    files.write_table(spark.range(5).withColumn("x", F.lit(1)), path, schema="id bigint")
+    assert spark.read.parquet(path).columns == ["id"] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(Exception):
+        files.write_table(spark.range(5), path, schema="id bigint, missing string not null")
+
+
+def test_equal_rows_give_equal_bytes(spark, tmp_path):
+    df = spark.range(500).select(F.col("id"), F.sha1(F.col("id").cast("string")).alias("a"))
+    for name, rows in (("x", df), ("y", df.repartition(7).select("a", "id"))):
+        files.write_sorted_gzip(rows, str(tmp_path / name), ["id"])
+    x, y = (next((tmp_path / n).glob("*.gz")).read_bytes() for n in ("x", "y"))
+    assert x == y and gzip.decompress(x).splitlines()[1].startswith(b'{"a":')
+    files.write_sorted_gzip(df, str(tmp_path / "x"), ["id"], files=3)
+    assert len(list((tmp_path / "x").glob("*.gz"))) == 3 and spark.read.json(str(tmp_path / "x")).count() == 500
+
+
 def test_registry(spark):
     r = files.Registry()
     r.add("a/x", lambda s: s.range(2))
@@ -74,3 +102,32 @@ def test_streams(spark, tmp_path):
     logs.decide_batches(logs.stream(spark, str(src), schema), lambda b: b, out, check).awaitTermination()
     assert spark.read.json(out).count() == 6
     assert json.loads(spark.read.json(out).toJSON().first())["answer"] == "yes"
+
+
+def test_protocols(spark):
+    from sievework.sources import protocols
+
+    df = spark.createDataFrame([(1, "a", "b", 2, 0.4), (2, None, "b", 0, 2.0), (3, " ", "b", 9, None), (4, "x", None, 1, -1.0)], "id int, p string, h string, y int, z double")
+    got = protocols.pair_items(df, F.col("id"), F.col("p"), F.col("h"), F.col("y"), ["l", "m", "n"], "?").collect()
+    assert {(r["id"], r["state"], r["gold"]) for r in got} == {("1", "Premise: a\nHypothesis: b", 2)}
+    got = protocols.scored_items(df, F.col("id"), F.col("h"), F.col("z"), ["low", "high"], 0, 1, "?").collect()
+    assert {(r["id"], r["gold"]) for r in got} == {("1", 0), ("2", 1)}
+    got = protocols.labelled_items(df, F.col("id"), F.col("h"), F.col("p"), ["a", "x_y"], "?").collect()
+    assert [(r["id"], r["gold"], r["choices"]) for r in got] == [("1", 0, ["a", "x y"])]
+    ranked = protocols.ranked_items(df.where("h = 'b'"), F.col("h"), F.col("id").cast("string"), F.col("y"), F.col("id"), most=2).collect()
+    assert [(r["choices"], r["gold"]) for r in ranked] == [(["1", "2"], 0)]
+    assert protocols.binary_items(df.limit(0), F.col("id"), F.col("h"), F.col("y") > 0, "?").collect() == []
+
+
+def test_training_batches(spark):
+    from sievework.operators import batches
+
+    rows = [(i, "x" * (i % 90) * 20, "q" * (i % 7), ["o"] * (i % 11 + 1)) for i in range(700)] + [(1000, None, None, None), (1001, "y", "q", ["o"] * 80)]
+    df = spark.createDataFrame(rows, "id long, state string, question string, choices array<string>")
+    got = batches.training_batches(df, "id", choice_budget=40, max_states=8, token_budget=1500, chunk=200).toPandas()
+    assert sorted(got.id) == sorted(r[0] for r in rows)
+    for _, b in got.groupby(["chunk", "batch"]):
+        assert len(b) == 1 or (b.n_options.sum() <= 40 and len(b) <= 8 and b.tokens.max() * len(b) <= 1500)
+    other = batches.training_batches(df, "id", choice_budget=40, max_states=8, token_budget=1500, chunk=200, seed=1).toPandas()
+    assert not got.set_index("id").chunk.equals(other.set_index("id").chunk)
+    assert batches.training_batches(df.limit(0), "id").collect() == []
