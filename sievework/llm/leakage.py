@@ -25,9 +25,9 @@ def _windows(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _prefixes(rarity: np.ndarray, run_length: int, shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each text the shingles that the prefix filter needs: of every window of run_length words, the rarest one, with its
-    places and the number of the text's words."""
+def _prefixes(rarity: np.ndarray, run_length: int, shingle: int, least: int | None = None, every: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each text the shingles that the prefix filter needs, with their places and the number of the text's words: of every
+    window of run_length words the rarest one; of a shorter text of at least `least` words, its own rarest one; or every one."""
     seen = rarity.astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,17 +35,26 @@ def _prefixes(rarity: np.ndarray, run_length: int, shingle: int) -> Callable[[It
             for batch in tk.slices(whole, "text"):
                 cps, offs = tk.codepoints(batch.column("text"))
                 start, end, text = tk.words(cps, offs)
-                if len(start) < run_length:
+                if len(start) < (least or run_length):
                     continue
                 h = tk.word_hashes(cps, start, end)
                 rare = tk.sliding(seen[bucket(h)].astype(np.uint64), shingle, np.minimum)
                 value = _windows(h, shingle)
                 n = len(value)
                 order = (rare << np.uint64(48)) | (value >> np.uint64(16)) | np.uint64(1)
-                whole_window = np.zeros(n, bool)
-                m = len(h) - run_length + 1
-                whole_window[:m] = text[:m] == text[run_length - 1 :]
-                at = tk.minimal(order, run_length - shingle + 1, whole_window)
+                inside = text[:n] == text[shingle - 1 :]
+                if every:
+                    at = np.flatnonzero(inside)
+                else:
+                    whole_window = np.zeros(n, bool)
+                    m = max(0, len(h) - run_length + 1)
+                    whole_window[:m] = text[:m] == text[run_length - 1 :]
+                    at = tk.minimal(order, run_length - shingle + 1, whole_window)
+                    if least:
+                        size = np.bincount(text, minlength=batch.num_rows)[text[:n]]
+                        of_short = np.flatnonzero(inside & (size >= least) & (size < run_length))
+                        by = of_short[np.lexsort((order[of_short], text[of_short]))]
+                        at = np.sort(np.concatenate([at, by[np.append(True, text[by][1:] != text[by][:-1])[: len(by)]]]))
                 doc, key = text[at], value[at]
                 first_word, last_word = np.searchsorted(text, doc), np.searchsorted(text, doc, side="right")
                 by = np.lexsort((at, key, doc))
@@ -60,9 +69,9 @@ def _prefixes(rarity: np.ndarray, run_length: int, shingle: int) -> Callable[[It
 
 
 def room(at_d: Column, n_d: Column, at_e: Column, n_e: Column, run_length: int) -> Column:
-    """Whether a run of run_length words can pass through an equal shingle at one of these places of both texts: as many words
-    must lie around it on both sides together, within the shorter reach of either text."""
-    return F.exists(at_d, lambda i: F.exists(at_e, lambda j: F.least(i, j) + F.least(n_d - i, n_e - j) >= run_length))
+    """Whether a run of run_length words, or of all words of a shorter text of an item, can pass through an equal shingle at one
+    of these places of both texts: as many words must lie around it, within the shorter reach of either text."""
+    return F.exists(at_d, lambda i: F.exists(at_e, lambda j: F.least(i, j) + F.least(n_d - i, n_e - j) >= F.least(F.lit(run_length), n_e)))
 
 
 class Words:
@@ -80,6 +89,9 @@ class Words:
         """Hashes of the runs of text i, by their first word."""
         return self.runs[self.first[i] : max(self.first[i], self.first[i + 1] - self.n + 1)]
 
+    def words(self, i: int) -> list[bytes]:
+        return [self.low[self.start[w] : self.end[w]].tobytes() for w in range(self.first[i], self.first[i + 1])]
+
     def run(self, i: int, at: int) -> list[bytes]:
         a = self.first[i] + at
         return [self.low[self.start[w] : self.end[w]].tobytes() for w in range(a, a + self.n)]
@@ -88,6 +100,9 @@ class Words:
 def holds_run(d: Words, i: int, e: Words, j: int) -> bool:
     """Whether text i of d and text j of e hold a run of words in common. Runs of equal hash are compared letter by letter."""
     a, b = d.of(i), e.of(j)
+    if not len(b):  # a text shorter than a run is sought as a whole
+        text, own = d.words(i), e.words(j)
+        return any(text[k : k + len(own)] == own for k, w in enumerate(text) if w == own[0]) if own else False
     for h in np.intersect1d(a, b):
         of_b = [e.run(j, int(y)) for y in np.flatnonzero(b == h)]
         if any(d.run(i, int(x)) in of_b for x in np.flatnonzero(a == h)):
@@ -106,9 +121,10 @@ def _verify(run_length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "doc_id", item_id: str = "id", text: str = "text", run_length: int = 16, shingle: int = 3) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "doc_id", item_id: str = "id", text: str = "text", run_length: int = 16, shingle: int = 3, least: int | None = None) -> DataFrame:
     """(doc_id, item_id, field): each document whose text holds run_length consecutive words that are also consecutive words
-    of a field of an item.
+    of a field of an item. With `least` (no fewer than `shingle`), a field with fewer words than run_length, but at least that
+    many, counts where a document holds all of them in a row; else such fields are never found.
 
     Words are runs of letters and digits, compared in lower case, letter by letter. Null and short texts (fewer than
     run_length words) hold nothing; equal texts of items are compared once; rows without an id are left out and
@@ -127,11 +143,14 @@ def leaked(docs: DataFrame, items: DataFrame, fields: list[str], doc_id: str = "
     e = stage(e.withColumn("id", F.md5("text")), "eval-fields")
     distinct = e.groupBy("id").agg(F.first("text").alias("text"))
     rarity = word_rarity(d.select("text").unionByName(distinct.select("text")))
-    run = _prefixes(rarity, run_length, shingle)
+    if least is not None and least < shingle:
+        raise ValueError("least must not be below the size of a shingle")
+    run = _prefixes(rarity, run_length, shingle, least)
     kind = d.schema["id"].dataType.simpleString()
     right = distinct.select("id", "text").mapInArrow(run, "key bigint, id string, at array<int>, n int")
     right = stage(right.select("key", F.col("id").alias("id_e"), F.col("at").alias("e"), F.col("n").alias("n_e")), "eval-shingles")
-    left = d.mapInArrow(run, f"key bigint, id {kind}, at array<int>, n int").select("key", F.col("id").alias("id_d"), F.col("at").alias("d"), F.col("n").alias("n_d"))
+    # shorter fields may stand anywhere, so every shingle of a document counts; those that no field has fall to the filter
+    left = d.mapInArrow(run if least is None else _prefixes(rarity, run_length, shingle, least, every=True), f"key bigint, id {kind}, at array<int>, n int").select("key", F.col("id").alias("id_d"), F.col("at").alias("d"), F.col("n").alias("n_d"))
     left = likely_in(left, "key", right.select("key"))
     met = left.join(right, "key").where(room(F.col("d"), F.col("n_d"), F.col("e"), F.col("n_e"), run_length)).select("id_d", "id_e").distinct()
     met = stage(met, "leak-candidates")

@@ -57,6 +57,24 @@ def test_leaked_against_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_short_fields_are_sought_whole(spark):
+    items = [("a", "one two three four"), ("b", "two three"), ("c", "four five six seven eight"), ("d", " ".join(f"w{i}" for i in range(20)))]
+    docs = [(1, "Zero ONE two, three: four five six seven"), (2, "one two three"), (3, "x four five six seven eight"), (4, " ".join(f"w{i}" for i in range(2, 18))), (5, None), (6, "one two four three")]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "id string, state string")
+    got = {tuple(r) for r in leakage.leaked(d, e, ["state"], least=3).collect()}
+    assert got == {(1, "a", "state"), (3, "c", "state"), (4, "d", "state")}
+    assert {tuple(r) for r in leakage.leaked(d, e, ["state"]).collect()} == {(4, "d", "state")}
+    with pytest.raises(ValueError):
+        leakage.leaked(d, e, ["state"], least=2)
+
+
+def test_room_is_a_bound_only(spark):
+    cases = [([0], 16, [0], 16, True), ([0], 15, [0], 16, False), ([10], 40, [2], 17, True), ([10], 12, [2], 40, False), ([3, 30], 40, [0], 16, True), ([0], 5, [0], 5, True)]
+    df = spark.createDataFrame([c[:4] for c in cases], "d array<int>, n int, e array<int>, m int")
+    got = [r["r"] for r in df.select(leakage.room(F.col("d"), F.col("n"), F.col("e"), F.col("m"), 16).alias("r")).collect()]
+    assert got == [c[4] for c in cases]
+
+
 def test_leaked_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     i = spark.createDataFrame([], "id string, state string")
