@@ -216,10 +216,46 @@ def confidence(cosines: np.ndarray, sharpness: float = 12.0) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _pieces(ids: list, cps: np.ndarray, offs: np.ndarray, starts: np.ndarray, row: np.ndarray, cosines: np.ndarray, n: np.ndarray, found: dict[int, dict[int, list]], min_letters: int) -> list[tuple]:
+    """(id, text, segment, lang, confidence, letters, content) of the rows with several languages: each stretch has the row's
+    language whose prototype is nearest; a short one that is not written in a script of one of them alone goes with the
+    stretch before it (the first with the next); neighbours of one language in one text are a segment."""
+    text = np.searchsorted(offs, starts, side="right") - 1
+    group = letters()[1][cps]
+    high = np.maximum.reduceat(group, starts)
+    low = np.minimum.reduceat(np.where(group == 0, 9, group), starts)
+    ends = np.append(starts[1:], len(cps))
+    out = []
+    for i, langs in found.items():
+        if len(langs) < 2:
+            continue
+        own, mine = np.array(sorted(langs)), np.flatnonzero(row == i)
+        pick = own[cosines[mine][:, own].argmax(1)]
+        sure = n[mine] >= min_letters
+        for k in np.flatnonzero(~sure & (high[mine] == low[mine])):
+            fit = own[SCRIPT[own] == high[mine[k]]]
+            if len(fit) and len(fit) < len(own):
+                pick[k], sure[k] = fit[cosines[mine[k]][fit].argmax()], True
+        known = np.flatnonzero(sure)
+        if len(known):
+            pick = pick[known[np.maximum(0, np.searchsorted(known, np.arange(len(mine)), side="right") - 1)]]
+        new = np.append(True, (pick[1:] != pick[:-1]) | (text[mine][1:] != text[mine][:-1]))
+        for number, (a, b) in enumerate(zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(mine)), strict=True)):
+            part = mine[a:b]
+            size = int(n[part].sum())
+            if not size:
+                continue
+            joined = (cosines[part] * np.sqrt(np.maximum(1, n[part]))[:, None]).sum(0) / np.sqrt(size)
+            content = "".join(map(chr, cps[starts[part[0]] : ends[part[-1]]])).strip()
+            first = int(np.searchsorted(text[mine], text[part[0]]))
+            out.append((ids[i], int(text[part[0]] - text[mine[0]]), number - int(new[:first].sum()), LANGUAGES[pick[a]], float(confidence(joined)[pick[a]]), size, content))
+    return out
+
+
 def _detect(states: Model, choices: Model, min_letters: int, margin: float, part: int = 32) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = np.array(LANGUAGES)
 
-    def field(ids: list, lists: list[list[str] | None], model: Model, name: str, mixed: bool) -> Iterator[tuple]:
+    def field(ids: list, lists: list[list[str] | None], model: Model, name: str, mixed: bool, pieces: list | None = None) -> Iterator[tuple]:
         texts, rows = _flat(lists)
         cps, offs = tk.codepoints(texts)
         if not len(cps):
@@ -295,6 +331,8 @@ def _detect(states: Model, choices: Model, min_letters: int, margin: float, part
         for i, langs in found.items():
             for lang, (p, size) in langs.items():
                 yield ids[i], name, str(names[lang]), p, size, len(langs)
+        if pieces is not None:
+            pieces += _pieces(ids, cps, offs, starts, row[: len(own)], cosines[: len(own)], n[: len(own)], found, min_letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -309,6 +347,24 @@ def _detect(states: Model, choices: Model, min_letters: int, margin: float, part
                 kinds = [batch.schema.field("id").type, pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "field_name", "lang", "confidence", "letters", "n_langs"])
 
+    run.field = field
+    return run
+
+
+def _segments(states: Model, choices: Model, min_letters: int, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    detect = _detect(states, choices, min_letters, margin).field
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tk.slices(whole, "state"):
+                found: list[tuple] = []
+                lists = [strings_of(s) if s is not None and s.strip() else None for s in batch.column("state").to_pylist()]
+                for _ in detect(batch.column("id").to_pylist(), lists, states, "state", True, found):
+                    pass
+                cols = list(zip(*found, strict=True)) if found else [[]] * 7
+                kinds = [batch.schema.field("id").type, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "text", "segment", "lang", "confidence", "letters", "content"])
+
     return run
 
 
@@ -353,16 +409,11 @@ def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices:
     that no label of one field names is fitted on the other field's texts. Without any usable label in either, nothing can be
     fitted and no row comes out.
     """
-    joined = F.concat_ws(" | ", F.col(choices))
-    parts = [_sample(df, F.col(state), F.col(state_label), id_col, per_language, seed), _sample(df, joined, F.col(choice_label), id_col, per_language, seed)]
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, field_name string, lang string, confidence double, letters int, n_langs int"
-    if not any(len(t) for t, _ in parts):
+    models = fit_models(df, id_col, state, choices, state_label, choice_label, per_language, seed)
+    if models is None:
         return df.sparkSession.createDataFrame([], f"{schema}, fits boolean")
-    states, options = parts
-    texts, of = _flat([strings_of(s) for s in states[0].to_pylist()]) if len(states[0]) else states
-    states = (texts, states[1][of] if len(of) else of)
-    models = [Model(4096, seed=seed).fit(*_with_lacking(states, options)), Model(32768, seed=seed).fit(*_with_lacking(options, states))]
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(models)
 
@@ -376,3 +427,33 @@ def detect_languages(df: DataFrame, id_col: str, state: str = "state", choices:
     out = packed.mapInArrow(run, schema.replace(f"id {kind},", f"id {packed_kind},", 1))
     label = F.when(F.col("field_name") == "state", F.col("id.sl")).otherwise(F.col("id.cl"))
     return out.select(F.col("id.id").alias("id"), "field_name", "lang", "confidence", "letters", "n_langs", (label == F.col("lang")).alias("fits"))
+
+
+def fit_models(df: DataFrame, id_col: str, state: str, choices: str, state_label: str, choice_label: str, per_language: int, seed: int) -> list[Model] | None:
+    """The models of states and of options, each fitted on about per_language labelled rows of a language; None without any label."""
+    joined = F.concat_ws(" | ", F.col(choices))
+    parts = [_sample(df, F.col(state), F.col(state_label), id_col, per_language, seed), _sample(df, joined, F.col(choice_label), id_col, per_language, seed)]
+    if not any(len(t) for t, _ in parts):
+        return None
+    states, options = parts
+    texts, of = _flat([strings_of(s) for s in states[0].to_pylist()]) if len(states[0]) else states
+    states = (texts, states[1][of] if len(of) else of)
+    return [Model(4096, seed=seed).fit(*_with_lacking(states, options)), Model(32768, seed=seed).fit(*_with_lacking(options, states))]
+
+
+def segment_languages(df: DataFrame, id_col: str, state: str = "state", choices: str = "choices", state_label: str = "state_lang", choice_label: str = "choice_lang", per_language: int = 1000, min_letters: int = 15, margin: float = 0.05, seed: int = 0) -> DataFrame:
+    """(id, text, segment, lang, confidence, letters, content): the segments of each state that holds several languages (see
+    detect_languages, which decides which these are), in their order within each of the state's texts (of a JSON state its
+    string values); content is in compatibility form, as the prototypes see it. States of one language and those without any
+    have no row; nulls and empty tables give none. One pass without a shuffle."""
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, text int, segment int, lang string, confidence double, letters int, content string"
+    models = fit_models(df, id_col, state, choices, state_label, choice_label, per_language, seed)
+    if models is None:
+        return df.sparkSession.createDataFrame([], schema)
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _segments(*shared.value, min_letters, margin)(batches)
+
+    return df.select(F.col(id_col).alias("id"), F.col(state).alias("state")).mapInArrow(run, schema)

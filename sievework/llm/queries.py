@@ -40,6 +40,12 @@ def p2_found(spark, d):
     return rows.select("row_id", "field_name", "lang")
 
 
+def p2_segments(spark, d):
+    """Each segment of the states that hold several languages."""
+    rows = langid.segment_languages(table(spark, d, "examples"), "row_id")
+    return rows.select(F.col("id").alias("row_id"), "text", "segment", "lang", F.round("confidence", 4).alias("confidence"), F.md5("content").alias("digest"))
+
+
 def p3_found(spark, d):
     pairs = record_dups.layout_duplicates(table(spark, d, "examples"), "row_id")
     return pairs.select(F.col("rep").alias("row_id_a"), F.col("id").alias("row_id_b"))
@@ -128,7 +134,7 @@ def p9_passages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_items, p2_found, p2_languages, p3_found, p3_records, p4_found, p4_repaired, p5_found, p5_assign, p5_shares, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p8_balanced_shares,
+        p1_found, p1_items, p2_found, p2_languages, p2_segments, p3_found, p3_records, p4_found, p4_repaired, p5_found, p5_assign, p5_shares, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p8_balanced_shares,
         p9_found, p9_shared, p9_passages,
     )
 }

@@ -1,5 +1,6 @@
 """The operators on training text: brute force on small tables, and every odd case."""
 
+import json
 import os
 import random
 import unicodedata
@@ -135,6 +136,22 @@ def test_languages(spark):
     assert langid.detect_languages(df.limit(0), "row_id").collect() == []
 
 
+def test_segments_of_mixed_states(spark):
+    rows = language_rows(random.Random(1))
+    n = len(rows)
+    en, de, ru = PHRASES["en"], PHRASES["de"], PHRASES["ru"]
+    rows += [
+        (n, f"{en}. Right. {de}. {de}. {en}.", ["yes"], "en", "en"),
+        (n + 1, json.dumps({"a": f"{ru}. {en}.", "b": en + "."}, ensure_ascii=False), ["yes"], "en", "en"),
+        (n + 2, f"{en}. {en}.", ["yes"], "en", "en"), (n + 3, None, None, None, None), (n + 4, "", [], "en", "en"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "row_id long, state string, choices array<string>, state_lang string, choice_lang string, lang string")
+    got = sorted((r["id"], r["text"], r["segment"], r["lang"], r["content"]) for r in langid.segment_languages(df, "row_id").collect() if r["id"] >= n)
+    assert got == [(n, 0, 0, "en", f"{en}. Right."), (n, 0, 1, "de", f"{de}. {de}."), (n, 0, 2, "en", f"{en}."), (n + 1, 0, 0, "ru", f"{ru}."), (n + 1, 0, 1, "en", f"{en}."), (n + 1, 1, 0, "en", f"{en}.")]
+    assert all(0.3 < r["confidence"] <= 1 and r["letters"] > 20 for r in langid.segment_languages(df, "row_id").collect())
+    assert langid.segment_languages(df.limit(0), "row_id").collect() == []
+
+
 def test_short_sentences_in_another_script(spark):
     rows = language_rows(random.Random(8))
     n = len(rows)
