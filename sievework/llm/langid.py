@@ -373,9 +373,14 @@ def label_code(label: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(label, F.lit("")), r"^([^-_]*)", 1))
 
 
+#: Longer texts are not drawn for fitting, so that what the driver reads is bounded in size too; they are labelled as all others.
+LONGEST_SAMPLE = 20_000
+
+
 def _sample(df: DataFrame, text: Column, label: Column, id_col: str, per_language: int, seed: int) -> tuple[pa.Array, np.ndarray]:
-    """At most about per_language labelled texts of each language, drawn by a hash of the id over the whole table."""
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), label_code(label).alias("lang")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
+    """At most about per_language labelled texts of each language, drawn by a hash of the id over the whole table, of at most
+    LONGEST_SAMPLE characters."""
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), label_code(label).alias("lang")).where(F.col("lang").isin(*LANGUAGES) & (F.length("text") <= LONGEST_SAMPLE))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return pa.array([], pa.string()), np.zeros(0, np.int64)

@@ -460,6 +460,35 @@ def test_repeats_count_on_both_sides(spark):
         assert shared[i] == len(covered), i
 
 
+def test_both_ways_of_comparing_cover_the_same(monkeypatch):
+    """Whether a pair has few or very many equal seeds, the same characters of both texts are shared."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    rarity = np.zeros(1 << 18, np.int32)
+    span, k = 40, 22
+    for trial in range(40):
+        block, other = text(rng.choice([41, 60, 90])), "".join(rng.choice("xy") for _ in range(3)) * 30
+        make = lambda: "".join(rng.choice([block, other, text(rng.randrange(1, 50)), block[:45]]) for _ in range(rng.randrange(2, 9)))
+        a, b = make(), make()
+        if min(len(a), len(b)) < span or a == b:
+            continue
+        batch = pa.record_batch([pa.array([0, 1]), pa.array([a, b])], ["id", "text"])
+        found = [r for out in shared_spans._seeds(k, span, rarity)(iter([batch])) for r in out.to_pylist()]
+        places = [{r["seed"]: r["more"] or [r["at"]] for r in found if r["id"] == i} for i in (0, 1)]
+        seeds = [(places[0][x], places[1][x]) for x in places[0] if x in places[1]]
+        covered = []
+        for many, per_place in ((10**9, 10**9), (-1, -1)):
+            monkeypatch.setattr(shared_spans, "MANY", many)
+            monkeypatch.setattr(shared_spans, "PER_PLACE", per_place)
+            runs, passages = shared_spans.compare(a, b, seeds, k, span) if seeds else ([], [])
+            covered.append([{x for r in runs for x in range(r[side], r[side] + r[2])} for side in (0, 1)])
+            assert all(shared_spans.edits(a[p["a"] : p["a_end"]], b[p["b"] : p["b_end"]]) <= p["edits"] for p in passages)
+        assert covered[0] == covered[1], trial
+        for side, (x, y) in enumerate(((a, b), (b, a))):
+            want = {j for i in range(len(x) - span + 1) if x[i : i + span] in y for j in range(i, i + span)}
+            assert covered[0][side] == want, (trial, side)
+
+
 def test_passages_of_pairs_with_many_seeds(spark):
     rng = random.Random(16)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -478,8 +507,23 @@ def test_passages_of_pairs_with_many_seeds(spark):
 
 @tables
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
-def test_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+def test_same_rows_whatever_the_partitions(spark, name):
+    """Queries without SQL give rows, and the very same ones when the work is cut up otherwise."""
+
+    def rows():
+        df = queries.QUERIES[name](spark, SF)
+        return sorted(map(repr, df.select(sorted(df.columns)).collect()))
+
+    first = rows()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(before, ("7", "65536", "37"), strict=True):
+            spark.conf.set(k, v)
+        again = rows()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert first and first == again
 
 
 @tables
@@ -492,3 +536,32 @@ def test_queries_match_sql(spark, name):
     want = con.sql(queries.SQL[name])
     found = con.sql(f"SELECT {', '.join(sorted(want.columns))} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, got.select(sorted(got.columns)).collect()), key=repr) == sorted(found, key=repr)
+
+
+@tables
+@vocabulary
+def test_mix_query_keeps_caps_and_sums(spark):
+    """Sums over what is chosen are those reported; no document is used more often than its source may be; whole epochs come first."""
+    chosen, shares = queries._mix(spark, SF)
+    uses = chosen.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last"), F.countDistinct("epoch").alias("epochs"), F.sum("n_tokens").alias("t")).toPandas()
+    report = {r["source"]: r for r in shares.collect()}
+    assert (uses.n == uses.epochs).all() and (uses.n == uses["last"]).all()
+    for source, part in uses.groupby("source"):
+        r = report[source]
+        assert part.n.max() <= r["max_repeats"] and part.t.sum() == r["mixed_tokens"] and part.n.max() - (part.n.min() if len(part) == r["n_documents"] else 0) <= 1
+    total = sum(r["mixed_tokens"] for r in report.values())
+    assert all(abs(r["share"] - r["mixed_tokens"] / total) < 1e-6 for r in report.values())
+    short = [r for r in report.values() if r["n_documents"] and r["share"] < 0.9 * r["target_share"]]
+    assert short and all(r["mixed_tokens"] >= 0.9 * r["available_tokens"] * r["max_repeats"] for r in short)
+
+
+@tables
+def test_passages_are_aligned_chains(spark):
+    """Each passage's two stretches differ by no more edits than it tells, and its ends are equal stretches."""
+    rapidly = shared_spans.edits
+    text = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().itertuples(index=False))
+    rows = queries.p9_passages(spark, SF).collect()
+    assert rows
+    for r in rows:
+        a, b = text[r["doc_id_a"]][r["a"] : r["a_end"]], text[r["doc_id_b"]][r["b"] : r["b_end"]]
+        assert rapidly(a, b) <= r["edits"] and a[:20] == b[:20] and a[-20:] == b[-20:] and r["exact"] <= min(len(a), len(b))
