@@ -30,7 +30,7 @@ def score_suites(items: DataFrame, preds: DataFrame) -> DataFrame:
     want = items.where(PLAIN).groupBy("suite").agg(F.count(F.lit(1)).alias("n_items"))
     text = ev.withColumns({"gold_text": A.at(F.col("choices"), F.col("gold")), "pred_text": A.at(F.col("choices"), F.col("pred"))})
     f1 = M.macro_f1(text, KEYS, F.col("gold_text"), F.col("pred_text")).withColumnRenamed("f1", "macro_f1")
-    fit = M.temperature_grid(rows.where("split = 'calib' AND group_id IS NULL AND kind <> 'rank'"), ["system_name"]).select("system_name", "temperature")
+    fit = M.temperature_fit(rows.where("split = 'calib' AND group_id IS NULL AND kind <> 'rank'"), ["system_name"]).select("system_name", "temperature")
     cooled = ev.where("kind <> 'rank'").join(fit, "system_name").withColumn("top", F.array_max(A.temper(F.col("p"), F.col("temperature"))))
     flips = rows.where("split = 'eval' AND group_id IS NOT NULL").select(*KEYS, F.col("group_id").alias("id"), A.at(F.col("perm"), F.col("pred")).alias("back"))
     flips = flips.join(ev.select("system_name", "id", "pred"), ["system_name", "id"]).groupBy(*KEYS).agg(_r(F.avg((F.col("back") != F.col("pred")).cast("int")), "flip_rate"))

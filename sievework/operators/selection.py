@@ -179,3 +179,22 @@ def weighted_choice(df: DataFrame, id_col: str, weights: DataFrame, name: str, w
     step = lambda a, x: F.struct((a["upto"] + x["w"]).alias("upto"), F.coalesce(a["pick"], F.when(F.col("_u") < a["upto"] + x["w"], x["name"])).alias("pick"))
     rows = df.crossJoin(F.broadcast(table)).withColumn("_u", u * F.col("_n"))
     return rows.withColumn(name, F.aggregate("_t", start, step, lambda a: a["pick"])).drop("_t", "_n", "_u")
+
+
+def read_replies(reply: Column, n: Column, kind: Column) -> Column:
+    """struct(ids, values, reason) of a teacher's reply, which should be JSON, perhaps with other text around it, with a list `top` of
+    pairs of an option's number and its probability. reason is null for a good one, else the first thing wrong with it."""
+    made = F.from_json(T.lenient_json(reply), "top array<array<double>>")
+
+    def judged(r: Column) -> Column:
+        top = r["top"]
+        ids, values = F.transform(top, lambda x: F.get(x, F.lit(0))), F.transform(top, lambda x: F.get(x, F.lit(1)))
+        mass = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        reason = (
+            F.when(r.isNull(), "not JSON").when(top.isNull() | (F.size(top) == 0), "no list").when(F.exists(top, lambda x: x.isNull() | (F.size(x) != 2)), "bad pair")
+            .when(F.exists(ids, lambda i: i.isNull() | (i != F.floor(i)) | (i < 0) | (i >= n)) | (F.size(F.array_distinct(ids)) < F.size(ids)), "bad option")
+            .when(F.exists(values, lambda v: v.isNull() | (v < 0) | (v > 1)), "bad probability").when((kind != "rank") & ~mass.between(0.5, 1.02), "bad mass")
+        )
+        return F.struct(F.transform(ids, lambda i: i.cast("int")).alias("ids"), values.alias("values"), reason.alias("reason"))
+
+    return F.element_at(F.transform(F.array(made), judged), 1)

@@ -163,6 +163,21 @@ def e19_prompt_guard(spark, d):
     return guard_build(_guard_rows(spark, d, _LLM), T.norm_guard(F.col("state")), sets, 5, 40, 15, 20)
 
 
+@query("""WITH r AS (SELECT row_id % 6 AS d, kind, probs, CASE WHEN row_id % 6 = 5 THEN 0.1 ELSE 1 END * (probs[1] + probs[2]) AS mass FROM examples WHERE len(probs) >= 2 AND len(probs) = len(choices) AND list_max(probs) <= 1 AND list_min(probs) >= 0)
+    SELECT CASE WHEN d = 1 THEN 'not JSON' WHEN d = 2 THEN 'bad pair' WHEN d = 3 THEN 'bad option' WHEN d = 4 THEN 'bad probability' WHEN kind <> 'rank' AND NOT mass BETWEEN 0.5 AND 1.02 THEN 'bad mass' ELSE 'good' END AS reason, kind, count(*) AS n FROM r GROUP BY ALL""")
+def e22_replies(spark, d):
+    """Replies made from the examples' two first probabilities, five of six spoilt in another way each, read and judged."""
+    rows = _ex(spark, d).where((F.size("probs") >= 2) & (F.size("probs") == F.size("choices")) & (F.array_max("probs") <= 1) & (F.array_min("probs") >= 0))
+    way = F.col("row_id") % 6
+    p = [F.get("probs", F.lit(i)) * F.when(way == 5, 0.1).otherwise(1.0) for i in (0, 1)]
+    pair = lambda i: F.array(F.lit(float(i)), p[i])
+    last = F.when(way == 2, F.array(F.lit(1.0), p[1], F.lit(0.0))).when(way == 3, F.array(F.lit(99.0), p[1])).when(way == 4, F.array(F.lit(1.0), F.lit(1.7))).otherwise(pair(1))
+    whole = F.to_json(F.struct(F.array(pair(0), last).alias("top")))
+    reply = F.concat(F.lit("Here it is:\n"), F.when(way == 1, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole), F.lit("\nDone."))
+    read = rows.select("kind", S.read_replies(reply, F.size("choices"), F.col("kind")).alias("r"))
+    return read.groupBy(F.coalesce("r.reason", F.lit("good")).alias("reason"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT count(*) AS n_rows, sum(len(choices))::BIGINT AS n_options, true AS fits, true AS whole FROM examples WHERE state IS NOT NULL AND choices IS NOT NULL")
 def e26_training_batches(spark, d):
     """Every row in one batch, no batch over its budgets of options, states and tokens; the sums over all batches are those of the table."""

@@ -159,7 +159,7 @@ def a20_coverage(spark, d):
 
 
 def a21_temperature(spark, d):
-    return M.temperature_grid(_all(spark, d).where("split = 'calib' AND group_id IS NULL AND kind <> 'rank'"), ["system_name"])
+    return M.temperature_fit(_all(spark, d).where("split = 'calib' AND group_id IS NULL AND kind <> 'rank'"), ["system_name"])
 
 
 def a22_tempered_ece(spark, d):
@@ -349,13 +349,22 @@ nd AS (SELECT system_name, suite, id, sum(CASE WHEN i = gold AND r <= 10 THEN 1
 """
 _FAM = ", fam AS (SELECT system_name, suite, split_part(suite, '/', 1) AS family, avg(correct) AS x, avg(1.0 / len(p)) AS b FROM ev GROUP BY ALL)"
 _GATE = ", gate AS (SELECT system_name, suite, lang, p[1] AS p0, gold AS harmful FROM ev WHERE kind = 'verify')"
-_TEMP = """, ts AS (SELECT i, 0.05 * pow(400.0, i / 80.0) AS t FROM range(81) r(i)),
-cal AS (SELECT * FROM sc WHERE split = 'calib' AND group_id IS NULL AND kind <> 'rank'),
-tn AS (SELECT system_name, i, t, list_transform(p, lambda x: exp((ln(greatest(x, 1e-12)) - ln(greatest(list_max(p), 1e-12))) / t)) AS e, gold FROM cal, ts),
-ta AS (SELECT system_name, i, t, round(avg(round(-ln(greatest(e[gold + 1] / list_sum(e), 1e-12)), 9)), 6) AS nll FROM tn GROUP BY ALL),
-tb AS (SELECT system_name, arg_min(i, (nll, i)) AS i, min(nll) AS nll FROM ta GROUP BY 1),
-tfit AS (SELECT system_name, round(0.05 * pow(400.0, i / 80.0), 6) AS temperature, nll FROM tb)
+def _temp_sql(rounds: int = 4, steps: int = 32) -> str:
+    """tfit: the temperature of each system, by the rounds of brackets."""
+    sql = """, cal AS (SELECT system_name, p, gold FROM sc WHERE split = 'calib' AND group_id IS NULL AND kind <> 'rank'),
+b0 AS (SELECT DISTINCT system_name, ln(0.01) AS lo, ln(100) AS hi FROM cal)"""
+    for r in range(rounds):
+        sql += f""",
+e{r} AS (SELECT system_name, i, lo, hi, list_transform(p, lambda x: exp((ln(greatest(x, 1e-12)) - ln(greatest(list_max(p), 1e-12))) / exp(lo + (hi - lo) * i / {steps}.0))) AS e, gold FROM cal JOIN b{r} USING (system_name), range({steps + 1}) r(i)),
+a{r} AS (SELECT system_name, lo, hi, i, round(avg(-ln(greatest(e[gold + 1] / list_sum(e), 1e-12))), 12) AS nll FROM e{r} GROUP BY ALL),
+c{r} AS (SELECT system_name, lo, hi, arg_min(i, (nll, i)) AS i, min(nll) AS nll FROM a{r} GROUP BY ALL),
+b{r + 1} AS (SELECT system_name, lo + (hi - lo) * greatest(i - 1, 0) / {steps}.0 AS lo, lo + (hi - lo) * least(i + 1, {steps}) / {steps}.0 AS hi FROM c{r})"""
+    return sql + f""",
+tfit AS (SELECT system_name, round(exp(lo + (hi - lo) * i / {steps}.0), 4) AS temperature, round(nll, 6) AS nll FROM c{rounds - 1})
 """
+
+
+_TEMP = _temp_sql()
 _HASH = "sha256('[' || coalesce(to_json(state), 'null') || ',' || coalesce(to_json(question), 'null') || ',' || to_json(choices) || ',' || coalesce(gold::VARCHAR, 'null') || ']')"
 _G = "count(*) FILTER (WHERE harmful = 1 AND p0 >= 0.5) AS missed"
 _FA = "count(*) FILTER (WHERE harmful = 0 AND p0 < 0.5) AS false_alarms"

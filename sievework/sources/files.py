@@ -42,6 +42,19 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def read_budgeted(spark: SparkSession, path: str, columns: list[str], max_bytes: int) -> DataFrame:
+    """The columns of as many of a folder's Parquet files, in the order of their names, as have at most max_bytes together (at least
+    one): a look into a table that is too large to read. Sizes come from the listing; no other file is opened."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length").orderBy("path")
+    chosen, total = [], 0
+    for r in listing.toLocalIterator():
+        if chosen and total + r["length"] > max_bytes:
+            break
+        chosen.append(r["path"])
+        total += r["length"]
+    return spark.read.parquet(*chosen).select(*columns)
+
+
 def read_tsv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Tab-separated text in which quotation marks mean nothing."""
     return spark.read.option("sep", "\t").option("quote", "").option("header", header).csv(path)

@@ -77,6 +77,15 @@ def test_equal_rows_give_equal_bytes(spark, tmp_path):
     assert len(list((tmp_path / "x").glob("*.gz"))) == 3 and spark.read.json(str(tmp_path / "x")).count() == 500
 
 
+def test_budgeted_read(spark, tmp_path):
+    spark.range(4000).withColumn("x", F.sha1(F.col("id").cast("string"))).repartition(4).write.parquet(str(tmp_path / "t"))
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert files.read_budgeted(spark, str(tmp_path / "t"), ["id"], 1).count() == 1000
+    assert files.read_budgeted(spark, str(tmp_path / "t"), ["id"], 3 * sizes[-1]).count() >= 3000
+    whole = files.read_budgeted(spark, str(tmp_path / "t"), ["id"], 10**9)
+    assert whole.columns == ["id"] and whole.count() == 4000
+
+
 def test_registry(spark):
     r = files.Registry()
     r.add("a/x", lambda s: s.range(2))
