@@ -69,23 +69,26 @@ def segments(df: DataFrame, id_col: str, text: str, least: int = 8, prefix: int
     return df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.concat(lines, long))).alias("seg")).select("id", F.md5("seg").alias("key"))
 
 
-def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, sets: str, threshold: float = 0.8, least: int = 5) -> DataFrame:
+def near_duplicates(left: DataFrame, right: DataFrame, id_col: str, sets: str | Column, threshold: float = 0.8, least: int = 5) -> DataFrame:
     """(id_a, id_b, jaccard): pairs of a left and a right row whose string sets are at least `threshold` similar, both of at
     least `least` members; ids are unique on each side. Members are ordered by how common they are; a pair must share one of
     each side's rarest n - ceil(threshold n) + 1, so only the hashes of these are shuffled and joined, with a bound on
-    positions. The sets of candidates alone are fetched, and compared exactly."""
-    sides = [x.select(F.lit(i).alias("side"), F.col(id_col).alias("id"), F.col(sets).alias("s")).where(F.size("s") >= least) for i, x in enumerate((left, right))]
-    both = sides[0].unionByName(sides[1])
+    positions. The rows of candidates alone are fetched, and their sets compared exactly; give sets as an expression, so that
+    they are made after the filter there."""
+    own = F.col(sets) if isinstance(sets, str) else sets
+    both, other = (x.select(F.lit(i).alias("side"), F.col(id_col).alias("id"), own.alias("s")) for i, x in enumerate((left, right)))
+    both = both.unionByName(other)
     kind = both.schema["id"].dataType.simpleString()
     rarity = word_rarity(both.select(F.col("s").alias("text")))
-    signed = both.mapInArrow(set_prefixes(rarity, threshold), f"side int, id {kind}, n int, prefix array<bigint>")
+    signed = both.mapInArrow(set_prefixes(rarity, threshold), f"side int, id {kind}, n int, prefix array<bigint>").where(F.col("n") >= least)
     keys = signed.select("side", "id", "n", F.posexplode("prefix").alias("at", "key"))
     a = keys.where("side = 0").select("key", F.col("id").alias("id_a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     b = keys.where("side = 1").select("key", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     common = enough(F.col("na"), F.col("nb"), threshold)
     near = a.join(b, "key").where((F.col("na") - F.col("ia") >= common) & (F.col("nb") - F.col("ib") >= common)).select("id_a", "id_b").distinct()
     near = stage(near, "near-sets")
-    of_a, of_b = (rows_in(x.select("id", "s"), "id", stage(near.select(F.col(c).alias("id")).distinct(), "near-ids")).withColumnsRenamed({"id": c, "s": v}) for x, c, v in ((sides[0], "id_a", "sa"), (sides[1], "id_b", "sb")))
+    wanted = (stage(near.select(F.col(c).alias(id_col)).distinct(), "near-ids") for c in ("id_a", "id_b"))
+    of_a, of_b = (rows_in(x, id_col, w).select(F.col(id_col).alias(c), own.alias(v)) for x, w, c, v in zip((left, right), wanted, ("id_a", "id_b"), ("sa", "sb"), strict=True))
     pairs = near.join(of_a, "id_a").join(of_b, "id_b")
     return pairs.withColumn("jaccard", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("jaccard") >= threshold).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
@@ -127,8 +130,7 @@ def command_overlap(evals: DataFrame, train: DataFrame, id_col: str, text: str,
     whose sets of at least 4 tokens are 0.8 similar. Texts of at most `least` characters and nulls are left out."""
     e, t = (x.select(F.col(id_col).alias("id"), T.norm_agent(F.col(text)).alias("text")).where(F.length("text") > least) for x in (evals, train))
     equal = e.withColumnRenamed("id", "id_e").join(t.withColumnRenamed("id", "id_t"), "text").select("id_e", "id_t")
-    sets = [x.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("s")) for x in (e, t)]
-    near = near_duplicates(*sets, "id", "s", 0.8, 4).select(F.col("id_a").alias("id_e"), F.col("id_b").alias("id_t"))
+    near = near_duplicates(e, t, "id", F.array_distinct(T.tokens(F.col("text"))), 0.8, 4).select(F.col("id_a").alias("id_e"), F.col("id_b").alias("id_t"))
     return equal.unionByName(contained(e, t)).unionByName(near).distinct()
 
 

@@ -84,13 +84,13 @@ def u06_distinct_texts(spark, d):
 
 
 @query("""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))::BIGINT AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT n, count(*) AS k, coalesce(sum(n * count(*)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t GROUP BY n),
-    r AS (SELECT t.n, before + t.n * row_number() OVER (PARTITION BY t.n ORDER BY doc_id) AS upto FROM t JOIN c USING (n)) SELECT ((upto - 1) // 4096)::BIGINT AS batch, count(*) AS docs, max(n) AS longest, sum(n)::BIGINT AS words FROM r GROUP BY batch""")
+    r AS (SELECT t.n, before + t.n * row_number() OVER (PARTITION BY t.n ORDER BY doc_id) AS upto FROM t JOIN c USING (n)) SELECT (greatest(0, upto - 1) // 4096)::BIGINT AS batch, count(*) AS docs, max(n) AS longest, sum(n)::BIGINT AS words FROM r GROUP BY batch""")
 def w14_length_batches(spark, d):
     """Batches of documents of like length under a budget of words. Counts by length give the words before each length; within
     a length all sizes are equal, so a rank gives a document's place: the same batches however the table is partitioned."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f]+")).cast("bigint").alias("n"))
     placed = S.sized_places(docs, "n", "doc_id")
-    return placed.groupBy(F.floor((F.col("upto") - 1) / 4096).alias("batch")).agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("longest"), F.sum("n").alias("words"))
+    return placed.groupBy(F.floor(F.greatest(F.lit(0), F.col("upto") - 1) / 4096).alias("batch")).agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("longest"), F.sum("n").alias("words"))
 
 
 _TOKENS = "[\\p{L}\\p{N}]{1,6}|[^\\p{L}\\p{N}\\s]"

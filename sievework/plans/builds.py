@@ -122,7 +122,7 @@ def guard_build(rows: DataFrame, key, sets, least: int, test_quota: int, test_ca
     test = stage(S.round_robin(whole.select("source", "row_id"), "source", ["row_id"], test_quota, test_cap).select("row_id"), "guard-test")
     held = stage(whole.join(F.broadcast(test), "row_id"), "guard-held")  # test_quota rows at most
     rest = whole.join(F.broadcast(test), "row_id", "left_anti")
-    near = S.near_duplicates(held.select("row_id", sets.alias("s")), rest.select("row_id", sets.alias("s")), "row_id", "s", 0.8, least).select(F.col("id_b").alias("row_id")).distinct()
+    near = S.near_duplicates(held.select("row_id", "state"), rest.select("row_id", "state"), "row_id", sets, 0.8, least).select(F.col("id_b").alias("row_id")).distinct()
     groups = held.where("group_id IS NOT NULL").select("group_id").distinct()
     clean = rest.join(near, "row_id", "left_anti").join(F.broadcast(groups), "group_id", "left_anti")
     train = S.first_by(clean.select("source", "gold", "row_id"), ["source", "gold"], ["row_id"], train_cap)

@@ -383,8 +383,8 @@ def _near_sql(setexpr, least):
 
 
 def _near(spark, d, f, least):
-    train, evals = (x.where("state IS NOT NULL AND trim(state) <> ''").select("row_id", f(F.col("state")).alias("s")) for x in _parts(spark, d))
-    return S.near_duplicates(evals, train, "row_id", "s", 0.8, least)
+    train, evals = (x.where("state IS NOT NULL AND trim(state) <> ''").select("row_id", "state") for x in _parts(spark, d))
+    return S.near_duplicates(evals, train, "row_id", f(F.col("state")), 0.8, least)
 
 
 @query(_near_sql(f"list_distinct({_TOK.format(_NORM_AGENT.format('state'))})", 5))
