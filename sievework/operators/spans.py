@@ -151,6 +151,7 @@ class DigitRuns:
     def per_run(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.run, weights=values, minlength=len(self.first)).astype(np.int64)
 
+    @cached_property
     def kinds(self) -> np.ndarray:
         """date (three groups with one sign between, of the lengths of a day, month and year), card (three or more groups of
         four), address (three or more points), or plain, of each run."""
@@ -272,12 +273,22 @@ class PhoneRules:
     trunk: str = "0"
     toll_free: tuple[str, ...] = ("800", "0800", "0850", "0845", "0870", "0871", "0900", "1800", "1855", "1866", "1877", "1888")
 
+    @cached_property
+    def _codes(self) -> dict[str, tuple[str, str, int, int]]:
+        return {c[0]: c for c in self.countries}
+
+    @cached_property
+    def _national(self) -> frozenset[tuple[str, int]]:
+        """First digits and lengths of national numbers without their trunk digit."""
+        return frozenset((h, n) for _, heads, low, high in self.countries for h in heads for n in range(low, high + 1))
+
     def _abroad(self, digits: str) -> bool | None:
         """Whether it is a number of the country whose code it begins with; None for a code that is not listed."""
-        for code, heads, low, high in sorted(self.countries, key=lambda c: -len(c[0])):
-            if digits.startswith(code):
+        for n in (3, 2, 1):
+            if (found := self._codes.get(digits[:n])) is not None:
+                code, heads, low, high = found
                 own = digits[len(code) :].removeprefix(self.trunk)
-                return low <= len(own) <= high and own[0] in heads
+                return low <= len(own) <= high and own[:1] in heads
         return None
 
     def is_number(self, digits: str, plus: bool) -> bool:
@@ -288,8 +299,8 @@ class PhoneRules:
         if digits.startswith(self.toll_free):
             return False
         if digits.startswith(self.trunk):
-            return any(low <= len(digits) - 1 <= high and digits[1] in heads for _, heads, low, high in self.countries)
-        return len(digits) >= 8 and (any(low <= len(digits) <= high and digits[0] in heads for _, heads, low, high in self.countries) or bool(self._abroad(digits)))
+            return (digits[1:2], len(digits) - 1) in self._national
+        return len(digits) >= 8 and ((digits[0], len(digits)) in self._national or bool(self._abroad(digits)))
 
 
 RULES = PhoneRules()
@@ -339,16 +350,17 @@ def phone_backstop(text: str, spans: list[Span], rules: PhoneRules = RULES, runs
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         runs = digit_runs(cps, np.array([0, len(cps)]))
         own = range(len(runs.first))
-    found, kinds = list(spans), runs.kinds() if len(runs.first) else []
+    found, kinds = list(spans), runs.kinds if len(runs.first) else []
     for r in own:
         if kinds[r] != "plain":
             continue
         groups = [(int(runs.start[g]) - base, int(runs.end[g]) - base) for g in range(runs.first[r], runs.first[r] + runs.count[r])]
+        parts = [text[x:y] if text[x:y].isascii() else "".join(str(unicodedata.decimal(c)) for c in text[x:y]) for x, y in groups]
         k = 0
         while k < len(groups):
             a = groups[k][0]
             plus = k == 0 and text[a - 1 : a] == "+" and a > 0
-            heads = (j for j in range(len(groups), k, -1) if rules.is_number("".join(str(unicodedata.decimal(c)) for x, y in groups[k:j] for c in text[x:y]), plus))
+            heads = (j for j in range(len(groups), k, -1) if rules.is_number("".join(parts[k:j]), plus))
             j = next(heads, 0)
             if not j:
                 break
@@ -489,7 +501,7 @@ def runs_of_digits(df: DataFrame, id_col: str, text: str) -> DataFrame:
                 begin = offs[r.text]
                 ends = r.end[r.first + r.count - 1] if len(r.first) else r.first
                 ints = [r.start[r.first] - begin, ends - begin, r.count, r.per_run(r.end - r.start)]
-                yield pa.record_batch([batch.column("id").take(pa.array(r.text)), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(r.kinds().astype(str).tolist() if len(r.first) else [], pa.string())], ["id", "start", "end", "groups", "digits", "kind"])
+                yield pa.record_batch([batch.column("id").take(pa.array(r.text)), *(pa.array(x.astype(np.int32)) for x in ints), pa.array(r.kinds.astype(str).tolist() if len(r.first) else [], pa.string())], ["id", "start", "end", "groups", "digits", "kind"])
 
     return rows.mapInArrow(run, f"id {kind}, start int, end int, groups int, digits int, kind string")
 
