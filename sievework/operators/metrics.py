@@ -56,10 +56,10 @@ def macro_f1(rows: DataFrame, keys: list[str], gold: Column, pred: Column, union
     return counts.groupBy(*keys).agg(F.round(F.avg(2 * F.col("tp") / (F.col("n_gold") + F.col("n_pred"))), 6).alias("f1"))
 
 
-def temperature_fit(rows: DataFrame, keys: list[str], low: float = 0.01, high: float = 100.0, rounds: int = 4, steps: int = 32) -> DataFrame:
+def temperature_fit(rows: DataFrame, keys: list[str], low: float = 0.01, high: float = 100.0, rounds: int = 3, steps: int = 64) -> DataFrame:
     """(keys, temperature, nll): the T between low and high with the least mean NLL of softmax(ln p / T), which has one minimum in
-    ln T. Each round tries steps + 1 places of the bracket that is left and keeps the two steps around the best: four rounds
-    leave a sixty-thousandth of it. The sums per place are plain partial aggregates, so no task sees a whole group."""
+    ln T. Each round tries steps + 1 places of the bracket that is left and keeps the two steps around the best: three rounds
+    leave a thirty-thousandth of it. The sums per place are plain partial aggregates, so no task sees a whole group."""
     each = stage(rows.select(*keys, "p", "gold"), "calibration")
     bracket = each.select(*keys).distinct().withColumns({"lo": F.ln(F.lit(low)), "hi": F.ln(F.lit(high))})
     place = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / float(steps)

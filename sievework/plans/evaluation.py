@@ -349,7 +349,7 @@ nd AS (SELECT system_name, suite, id, sum(CASE WHEN i = gold AND r <= 10 THEN 1
 """
 _FAM = ", fam AS (SELECT system_name, suite, split_part(suite, '/', 1) AS family, avg(correct) AS x, avg(1.0 / len(p)) AS b FROM ev GROUP BY ALL)"
 _GATE = ", gate AS (SELECT system_name, suite, lang, p[1] AS p0, gold AS harmful FROM ev WHERE kind = 'verify')"
-def _temp_sql(rounds: int = 4, steps: int = 32) -> str:
+def _temp_sql(rounds: int = 3, steps: int = 64) -> str:
     """tfit: the temperature of each system, by the rounds of brackets."""
     sql = """, cal AS (SELECT system_name, p, gold FROM sc WHERE split = 'calib' AND group_id IS NULL AND kind <> 'rank'),
 b0 AS (SELECT DISTINCT system_name, ln(0.01) AS lo, ln(100) AS hi FROM cal)"""
