@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
@@ -305,81 +306,105 @@ class PhoneRules:
 
 RULES = PhoneRules()
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
-GLUED, AFTER, STOPS = set("/=#@_&?$€£₺%"), set("$€£₺%@"), set(".,،؛;!?\n|")
-
-
-def _cued(text: str, start: int, end: int, rules: PhoneRules) -> bool:
-    """Whether a phone word stands at most 25 characters and three words before, or at most 12 characters after, in the same
-    clause, without a word near it that names another kind of number."""
-    base = max(0, start - 80)
-    before = [(base + m.start(), base + m.end(), word_key(m[0])) for m in TOKEN.finditer(text[base:start])]
-    for back in range(1, min(5, len(before) + 1)):
-        i = len(before) - back
-        n = rules.cues.at(before, i)
-        if not n or start - before[i + n - 1][1] > 25 or i + n + 3 < len(before):
+# What may not touch a phone number (a letter, digit or sign, a code's hyphen, a time's colon), what ends a clause,
+# and how far words reach, in characters and in words.
+TOUCHES_BEFORE = regex.compile(r"(?:[\p{L}\p{N}/=#@_&?$€£₺%]|[\p{L}\p{N}][-./])$")
+TOUCHES_AFTER = regex.compile(r"[\p{L}\p{N}$€£₺%@]|:\p{Nd}")
+CLAUSE_END = regex.compile(r"[;؛!?]|(?<!^)\.")
+STOP = regex.compile(r"[.,،؛;!?\n|]")
+REACH, REACH_BACK, FILLERS, BLOCKER_REACH, CHAIN_REACH = 25, 12, 3, 24, 8
+Token = tuple[int, int, str]
+
+
+def word_tokens(text: str, start: int = 0) -> list[Token]:
+    return [(start + m.start(), start + m.end(), word_key(m[0])) for m in TOKEN.finditer(text)]
+
+
+def _numeric(t: Token) -> bool:
+    return any(c.isdecimal() for c in t[2])
+
+
+def cue_ranges(text: str, tokens: list[Token], rules: PhoneRules) -> list[tuple[int, int, int, int]]:
+    """What each phone word of a text reaches: (least and greatest place where a number after it may begin, least and greatest
+    place where one before it may end). A word that stands behind one for another kind of number, close by in its clause,
+    reaches nothing. Forward, the reach ends at the first token with digits, at a word for another kind of number, at the end
+    of the clause, or before a fourth word; backward at a line break, and nothing if a number follows the word."""
+    out = []
+    i = 0
+    while i < len(tokens):
+        n = rules.cues.at(tokens, i)
+        if not n:
+            i += 1
             continue
-        between = before[i + n :]
-        gap = text[before[i + n - 1][1] : start]
-        if any(c in ";؛!?" for c in gap) or "." in gap[1:] or any(any(c.isdecimal() for c in t[2]) or rules.blockers.at(between, k) for k, t in enumerate(between)):
-            return False
-        near = [k for k in range(i) if before[k][0] >= before[i][0] - 24 and not any(c in STOPS for c in text[before[k][1] : before[i][0]])]
-        return not any(rules.blockers.at(before, k) for k in near)
-    after = [(end + m.start(), end + m.end(), word_key(m[0])) for m in TOKEN.finditer(text[end : end + 40])]
-    if after and after[0][0] - end <= 12 and "\n" not in text[end : after[0][0]] and rules.cues.at(after, 0):
-        number_next = any(any(c.isdecimal() for c in t[2]) for t in after[1:4])
-        near = [k for k, t in enumerate(before) if t[0] >= start - 24 and not any(c in STOPS for c in text[t[1] : start])]
-        return not number_next and not any(rules.blockers.at(before, k) for k in near)
-    return False
-
-
-def _chained(text: str, start: int, spans: list[Span], rules: PhoneRules) -> bool:
-    """Whether another phone number ends at most eight characters before, with nothing but signs or a joining word between."""
-    last = max((b for _, b, k in spans if k == "PHONE" and b <= start), default=-1)
-    if last < 0 or start - last > 8:
-        return False
-    words = [(m.start(), m.end(), word_key(m[0])) for m in TOKEN.finditer(text[last:start])]
-    return all(rules.joiners.at(words, k) for k in range(len(words))) and not set(TOKEN.sub("", text[last:start])) - set(" \u00a0,،/-|;؛\n")
+        begin, end = tokens[i][0], tokens[i + n - 1][1]
+        clause = max((m.end() for m in STOP.finditer(text, max(0, begin - BLOCKER_REACH), begin)), default=0)
+        near = (k for k in range(max(0, i - BLOCKER_REACH), i) if tokens[k][0] >= max(clause, begin - BLOCKER_REACH))
+        after = tokens[i + n : i + n + FILLERS + 1]
+        i += n
+        if any(rules.blockers.at(tokens, k) for k in near):
+            continue
+        stop = CLAUSE_END.search(text[end : end + REACH + 1])
+        upto = min(end + REACH, end + stop.start() if stop else end + REACH)
+        for k, t in enumerate(after):
+            if _numeric(t) or k == FILLERS or rules.blockers.at(after, k):
+                upto = min(upto, t[0] if _numeric(t) else t[0] - 1)
+                break
+        line = text.rfind("\n", max(0, begin - REACH_BACK), begin)
+        back = begin + 1 if any(map(_numeric, after[:FILLERS])) else max(begin - REACH_BACK, line + 1)
+        out.append((end, upto, back, begin))
+    return out
+
+
+def numbers_in(text: str, groups: list[tuple[int, int]], rules: PhoneRules) -> list[tuple[int, int]]:
+    """The phone numbers that a run of groups of digits makes: the longest head of the groups that is one, and so on with what is
+    left, as long as there is one. A plus or bracket before the first group belongs to it."""
+    parts = [text[x:y] if text[x:y].isascii() else "".join(str(unicodedata.decimal(c)) for c in text[x:y]) for x, y in groups]
+    plus = groups[0][0] > 0 and text[groups[0][0] - 1] == "+"
+    first = groups[0][0] - plus
+    first -= first > 0 and text[first - 1] == "(" and ")" in text[first : groups[-1][1]]
+    out, at = [], 0
+    while at < len(groups):
+        sizes = [n for n in range(len(groups) - at, 0, -1) if rules.is_number("".join(parts[at : at + n]), plus and at == 0)]
+        if not sizes:
+            break
+        out.append((groups[at][0] if at else first, groups[at + sizes[0] - 1][1]))
+        at += sizes[0]
+    return out
 
 
 def phone_backstop(text: str, spans: list[Span], rules: PhoneRules = RULES, runs: DigitRuns | None = None, own: range | None = None, base: int = 0) -> list[Span]:
-    """The spans and phone numbers that the tagger missed: of a run of digits that is no date, card or address, the longest head
-    of its groups that is a number, then of what remains; nothing glued to it, no unit after it, and a phone word near it
-    (see _cued) or a phone just before. Never changes or overlaps a given span. runs, own and base tell where the text's
-    runs are in a batch."""
+    """The spans, and the phone numbers that the tagger missed: numbers (see numbers_in) of runs of digits that are no date, card
+    or address, with nothing touching them and no unit after, that a phone word reaches (see cue_ranges), or that follow
+    another phone number with nothing but signs or a joining word between. Never changes or overlaps a given span. runs, own
+    and base tell where the text's runs are in a batch."""
     if runs is None:
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         runs = digit_runs(cps, np.array([0, len(cps)]))
         own = range(len(runs.first))
-    found, kinds = list(spans), runs.kinds if len(runs.first) else []
+    numbers = []
     for r in own:
-        if kinds[r] != "plain":
+        if runs.kinds[r] == "plain":
+            groups = range(runs.first[r], runs.first[r] + runs.count[r])
+            numbers += numbers_in(text, [(int(runs.start[g]) - base, int(runs.end[g]) - base) for g in groups], rules)
+    free = [(a, b) for a, b in numbers if not TOUCHES_BEFORE.search(text[max(0, a - 2) : a]) and not TOUCHES_AFTER.match(text, b) and not any(x < b and a < y for x, y, _ in spans)]
+    if not free:
+        return spans
+    tokens = word_tokens(text)
+    begins = [t[0] for t in tokens]
+    ranges = cue_ranges(text, tokens, rules)
+    out = list(spans)
+    ends = [b for _, b, k in spans if k == "PHONE"]
+    for a, b in sorted(free):
+        after = bisect_left(begins, b)
+        if after < len(tokens) and begins[after] - b <= 2 and rules.units.at(tokens, after):
             continue
-        groups = [(int(runs.start[g]) - base, int(runs.end[g]) - base) for g in range(runs.first[r], runs.first[r] + runs.count[r])]
-        parts = [text[x:y] if text[x:y].isascii() else "".join(str(unicodedata.decimal(c)) for c in text[x:y]) for x, y in groups]
-        k = 0
-        while k < len(groups):
-            a = groups[k][0]
-            plus = k == 0 and text[a - 1 : a] == "+" and a > 0
-            heads = (j for j in range(len(groups), k, -1) if rules.is_number("".join(parts[k:j]), plus))
-            j = next(heads, 0)
-            if not j:
-                break
-            start, end, first, k = a - plus, groups[j - 1][1], k == 0, j
-            if first and start > 0 and text[start - 1] == "(" and ")" in text[a:end]:
-                start -= 1
-            left, right = text[start - 1 : start] if start else "", text[end : end + 1]
-            if left.isalnum() or left in GLUED and left or right.isalnum() or right in AFTER and right:
-                continue
-            if (first and left and left in "-./" and text[start - 2 : start - 1].isalnum() and start > 1) or (right == ":" and text[end + 1 : end + 2].isdecimal()):
-                continue
-            if any(x < end and start < y for x, y, _ in found):
-                continue
-            words = [(end + m.start(), end + m.end(), word_key(m[0])) for m in TOKEN.finditer(text[end : end + 20])]
-            if words and words[0][0] - end <= 2 and rules.units.at(words, 0):
-                continue
-            if _chained(text, start, found, rules) or _cued(text, start, end, rules):
-                found.append((start, end, "PHONE"))
-    return sorted(found)
+        last = max((e for e in ends if e <= a), default=-CHAIN_REACH - 1)
+        gap = text[max(0, last) : a]
+        joined = a - last <= CHAIN_REACH and all(rules.joiners.at([t], 0) for t in word_tokens(gap)) and not set(TOKEN.sub("", gap)) - set(" \u00a0,،/-|;؛\n")
+        if joined or any(low <= a <= high or back <= b <= begin for low, high, back, begin in ranges):
+            out.append((a, b, "PHONE"))
+            ends.append(b)
+    return sorted(out) if len(out) > len(spans) else spans
 
 
 def pattern_tagger(texts: list[str]) -> list[tuple[list[tuple[int, int]], list[str]]]:
