@@ -137,7 +137,8 @@ def look(texts: pa.Array, model: langid.Model | None, by_sentence: bool = True)
 
 def _is_persian(model: langid.Model, cps: np.ndarray, offs: np.ndarray, starts: np.ndarray, least: int = 15) -> np.ndarray:
     """For each stretch, whether its Arabic-script text is Persian rather than Arabic. The profile doesn't tell the forms of
-    yeh and kaf apart, so they have no say; a stretch with few letters goes with its neighbours, or with its whole text."""
+    yeh and kaf apart, so they have no say; a stretch with few letters goes with the one before it, or with the next if it is the
+    first or the beginning of a sentence that is broken over lines, or with its whole text."""
     fa, ar = langid.LANGUAGES.index("fa"), langid.LANGUAGES.index("ar")
     cosines, n = model.score(cps, offs, starts)
     lead = (cosines[:, fa] - cosines[:, ar]) * np.sqrt(np.maximum(1, n))
@@ -145,10 +146,13 @@ def _is_persian(model: langid.Model, cps: np.ndarray, offs: np.ndarray, starts:
     whole = np.bincount(row, weights=lead, minlength=len(offs) - 1)
     near, size = lead.copy(), n.copy()
     same = row[1:] == row[:-1]
-    near[1:] += np.where(same, lead[:-1], 0)
-    near[:-1] += np.where(same, lead[1:], 0)
-    size[1:] += np.where(same, n[:-1], 0)
-    size[:-1] += np.where(same, n[1:], 0)
+    dark = np.maximum.accumulate(np.where(np.isin(cps, [32, 10, 13, 9, 34]), 0, np.arange(len(cps))))
+    closed = np.isin(cps[dark[np.append(starts[1:], len(cps)) - 1]], langid.ENDS)
+    opens = np.append(True, ~same | (closed[:-1] & ~closed[1:]))[: len(row)]
+    near[1:] += np.where(same & ~opens[1:], lead[:-1], 0)
+    near[:-1] += np.where(same & opens[:-1], lead[1:], 0)
+    size[1:] += np.where(same & ~opens[1:], n[:-1], 0)
+    size[:-1] += np.where(same & opens[:-1], n[1:], 0)
     return np.where(n >= least, lead, np.where(size >= least, near, whole[row])) > 0
 
 

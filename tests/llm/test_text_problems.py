@@ -220,6 +220,16 @@ def test_lookalikes(spark):
     assert lookalikes.find_lookalikes(df.limit(0), "row_id", fields).collect() == [] == lookalikes.repair_lookalikes(df.limit(0), "row_id", fields).collect()
 
 
+def test_short_sentences_go_with_what_they_close(spark):
+    rows = [(i, s, c, sl, cl) for i, s, c, sl, cl in language_rows(random.Random(6))]
+    n, fa, ar = len(rows), PHRASES["fa"], PHRASES["ar"]
+    cases = [f"{fa}. پاسخی نیامد. {ar}.", f"{ar}. لم يرد أحد. {fa}.", f"{fa}.\nفي\n{ar}.", f"{fa}. پاسخي نيامد. {ar}."]
+    rows += [(n + i, t, None, "xx", "xx") for i, t in enumerate(cases)]
+    df = spark.createDataFrame(rows, "row_id long, state string, choices array<string>, state_lang string, choice_lang string")
+    got = {r["id"] - n for r in lookalikes.find_lookalikes(df, "row_id", {"state": "state_lang"}).collect()}
+    assert got == {3}
+
+
 def test_substitutes():
     assert lookalikes.substitutes("cору") == ["сору", "copy"] and lookalikes.substitutes("cоpy") == ["copy", "сору"]
     assert lookalikes.substitutes("haηdled") == ["handled"] and lookalikes.substitutes("дaтa") == ["дата"]
