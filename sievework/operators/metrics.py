@@ -75,12 +75,13 @@ def temperature_fit(rows: DataFrame, keys: list[str], low: float = 0.01, high: f
 
 def bootstrap_ci(rows: DataFrame, keys: list[str], cluster: Column, value: str = "correct", draws: int = 1000, seed: int = 0, blocks: int = 4096) -> DataFrame:
     """(keys, mean, low, high): a 95 % interval over clusters by the Poisson bootstrap, each cluster counting as often as a
-    Poisson(1) number hashed from (seed, draw, cluster) says. Clusters fold into at most `blocks` hash blocks first, so the
+    Poisson(1) number hashed from (seed, draw, block) says. Clusters fold into at most `blocks` hash blocks first, so the
     draws multiply a bounded table; with fewer clusters than blocks nearly every block is one cluster."""
-    block = F.pmod(F.xxhash64(F.lit(seed), cluster), F.lit(blocks))
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
+    block = number(F.concat(F.lit(f"{seed}:"), F.coalesce(cluster.cast("string"), F.lit("")))) % blocks
     cells = rows.groupBy(*keys, block.alias("block")).agg(F.sum(value).cast("double").alias("v"), F.count(F.lit(1)).alias("n"))
     drawn = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw", "block"), 11).cast("double") / F.lit(float(1 << 53))
+    u = number(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("block").cast("string"))) / F.lit(4294967296.0)
     times, edge, mass = F.lit(0), 0.0, 0.36787944117144233
     for k in range(9):  # the distribution function of Poisson(1)
         edge += mass

@@ -10,7 +10,7 @@ from sievework.functions import text as T
 from sievework.operators import metrics, spans
 from sievework.operators import selection as S
 from sievework.plans.decisions import _EMAIL as EMAIL
-from sievework.plans.evaluation import _BASE, _ev
+from sievework.plans.evaluation import _BASE, _boot_sql, _ev
 from sievework.session import table
 from sievework.streaming import logs
 
@@ -224,7 +224,7 @@ def a15_by_language(spark, d):
     return _ev(spark, d).groupBy("system_name", "lang").agg(F.round(F.avg("correct"), 6).alias("accuracy"), F.round(F.avg("top"), 6).alias("mean_top"), F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
-@query()
+@query(_BASE + _boot_sql("ev", "system_name, suite"))
 def e10_bootstrap_by_suite(spark, d):
     return metrics.bootstrap_ci(_ev(spark, d), ["system_name", "suite"], F.md5("state"))
 

@@ -370,7 +370,25 @@ _G = "count(*) FILTER (WHERE harmful = 1 AND p0 >= 0.5) AS missed"
 _FA = "count(*) FILTER (WHERE harmful = 0 AND p0 < 0.5) AS false_alarms"
 _GOALS = ", goals AS (SELECT suite, choices[gold + 1] AS label, count(*) AS n_items FROM items WHERE split = 'eval' AND group_id IS NULL GROUP BY ALL), sys AS (SELECT DISTINCT system_name FROM preds)"
 
+
+
+def _boot_sql(source: str, keys: str, draws: int = 1000, blocks: int = 4096) -> str:
+    """The bootstrap's draws again: what a block counts is how many steps of the distribution function of Poisson(1) its number passes."""
+    edges, edge, mass = [], 0.0, 0.36787944117144233
+    for k in range(9):
+        edge += mass
+        edges.append(f"(u >= {edge!r})::INT")
+        mass /= k + 1
+    return f""", cell AS (SELECT {keys}, ('0x' || substr(md5('0:' || coalesce(md5(state), '')), 1, 8))::BIGINT % {blocks} AS block, sum(correct)::DOUBLE AS v, count(*) AS n FROM {source} GROUP BY ALL),
+        drawn AS (SELECT {keys}, draw, v, n, ('0x' || substr(md5('0:' || draw || ':' || block), 1, 8))::BIGINT / 4294967296.0 AS u FROM cell, range(1, {draws + 1}) r(draw)),
+        m AS (SELECT {keys}, draw, sum(t * v) / nullif(sum(t * n), 0) AS m FROM (SELECT *, {" + ".join(edges)} AS t FROM drawn) GROUP BY ALL),
+        q AS (SELECT {keys}, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL)
+        SELECT * FROM (SELECT {keys}, round(avg(correct), 6) AS mean FROM {source} GROUP BY ALL) JOIN q USING ({keys})"""
+
+
 SQL = {
+    "a23_bootstrap_ci": _BASE + _boot_sql("ev", "system_name"),
+    "a24_paired_difference": _BASE + ", df AS (SELECT 'base-a - base-b' AS pair, a.state, a.correct - b.correct AS correct FROM ev a JOIN ev b ON a.id = b.id AND a.system_name = 'base-a' AND b.system_name = 'base-b')" + _boot_sql("df", "pair"),
     "a01_accuracy": _BASE + "SELECT system_name, suite, round(avg(correct), 6) AS accuracy, count(*) AS n FROM ev GROUP BY ALL",
     "a02_brier": _BASE + "SELECT system_name, suite, round(avg(brier), 6) AS brier FROM ev GROUP BY ALL",
     "a03_nll": _BASE + "SELECT system_name, suite, round(avg(-ln(p[gold + 1] + 1e-12)), 6) AS nll_added, round(avg(nll), 6) AS nll_clipped FROM ev GROUP BY ALL",

@@ -230,4 +230,16 @@ def e27_rank_loss(spark, d):
     return rows.groupBy("kind").agg(F.round(F.avg(A.binary_cross_entropy(F.col("probs"), target)), 6).alias("bce"))
 
 
+@query("SELECT config, true AS distinct_close, true AS median_close FROM examples GROUP BY config")
+def a44_sketch_error(spark, d):
+    """The sketches' distinct counts and medians against the exact ones: within 15 %, and of the rank asked for."""
+    rows = _ex(spark, d)
+    sketched = rows.groupBy("config").agg(F.approx_count_distinct("state", 0.03).alias("a"), F.percentile_approx("n_choices", 0.5, 1000).alias("m"))
+    exact = rows.groupBy("config").agg(F.countDistinct("state").alias("e"), F.count("n_choices").alias("n"))
+    both = sketched.join(exact, "config")
+    below = rows.join(sketched.select("config", "m"), "config").groupBy("config").agg(F.count_if(F.col("n_choices") < F.col("m")).alias("lo"), F.count_if(F.col("n_choices") <= F.col("m")).alias("hi"))
+    near = (F.col("lo") <= 0.51 * F.col("n")) & (F.col("hi") >= 0.49 * F.col("n"))
+    return both.join(below, "config").select("config", (F.abs(F.col("a") - F.col("e")) <= 0.15 * F.col("e")).alias("distinct_close"), near.alias("median_close"))
+
+
 QUERIES = Q
