@@ -320,10 +320,11 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
     stands somewhere in the fields of df, in its dominant
     script if that is there, else in another; words are looked up in lower case, as they are once the field is plain. A
     non-joiner inside a word of Arabic script goes if the whole is a word elsewhere, else it becomes a blank if its parts are,
-    else it goes. kinds tells what the field had before. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
+    else it goes. Rows without an id are left out, and a row that repeats an id adds nothing. kinds tells what the field had before. The vocabulary is joined by hashes, never collected: a row brings only the replacements of its own words.
     """
+    df = df.where(F.col(id_col).isNotNull())
     models = fit_models(df, id_col, fields)
-    found = find_lookalikes(df, id_col, fields, models).select("id", "field_name", "kinds")
+    found = find_lookalikes(df, id_col, fields, models).groupBy("id", "field_name").agg(F.bit_or("kinds").alias("kinds"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -343,7 +344,7 @@ def repair_lookalikes(df: DataFrame, id_col: str, fields: dict[str, str | None])
     kind = df.schema[id_col].dataType.simpleString()
     found = stage(found, "lookalike-fields")
     long = likely_in(long, "id", found.select("id"))
-    odd = long.join(found, ["id", "field_name"]).mapInArrow(collect, f"id {kind}, field_name string, text string, parts array<string>, kinds int, words array<string>")
+    odd = long.join(found, ["id", "field_name"]).dropDuplicates(["id", "field_name"]).mapInArrow(collect, f"id {kind}, field_name string, text string, parts array<string>, kinds int, words array<string>")
     odd = stage(odd, "lookalikes")
     # words are matched as they are after the other repairs
     words = odd.select(F.explode("words").alias("word")).distinct()

@@ -249,6 +249,13 @@ def test_repair_of_words_with_two_disguises(spark):
     assert len(got) == 2 * len(cases)
 
 
+def test_repair_of_repeated_and_nameless_rows(spark):
+    rows = [(1, "a\u200bb", ["x\u00a0y", None], "p"), (1, "a\u200bb", ["x\u00a0y", None], "q"), (None, "c\u200bd", None, "p"), (2, None, [], "p"), (3, "", None, "p")]
+    df = spark.createDataFrame(rows, "row_id long, state string, choices array<string>, id string").withColumns({c: F.lit("x") for c in ("text", "kinds", "field_name", "words")})
+    got = sorted((r["id"], r["field_name"], r["text"]) for r in lookalikes.repair_lookalikes(df, "row_id", {"state": None, "choices": None}).collect())
+    assert got == [(1, "choices", '["x y", null]'), (1, "state", "ab")]
+
+
 def test_parted_words_and_joined_emoji(spark):
     cases = {"می\u200cروم": "میروم", "کار\u200cنامه": "کار نامه", "ناپ\u200cقغ": "ناپقغ", "👩\u200d💻 ok": "👩\u200d💻 ok", "a\u200db": "ab"}
     rows = [(i, t, "en") for i, t in enumerate(cases)] + [(99, "میروم کار نامه", "en")]
